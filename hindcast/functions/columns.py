@@ -23,32 +23,50 @@ def kind_of(data_type: T.DataType) -> str:
     return "categorical"
 
 
-def time_text(column: Column) -> Column:
+def quoted(name: str) -> str:
+    """A column name for use in a SQL expression."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def literal(text: str) -> str:
+    """A text for use in a SQL expression."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def time_sql(sql: str) -> str:
     """A time as text whose text order is its time order: no fraction, or all six digits of it."""
-    text = column.cast("timestamp_ntz").cast("string")
-    return F.when(F.length(text) == 19, text).otherwise(F.rpad(text, 26, "0"))
+    text = f"CAST(CAST({sql} AS TIMESTAMP_NTZ) AS STRING)"
+    return f"CASE WHEN LENGTH({text}) = 19 THEN {text} ELSE RPAD({text}, 26, '0') END"
 
 
-def value_text(column: Column, data_type: T.DataType) -> Column:
+def time_text(sql: str) -> Column:
+    return F.expr(time_sql(sql))
+
+
+def value_sql(sql: str, data_type: T.DataType) -> str:
     """Text of a value as the evidence and the profile show it."""
     if isinstance(data_type, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return time_text(column)
+        return time_sql(sql)
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
-        return (column + F.lit(0.0)).cast("string")  # -0.0 and 0.0 are one value
+        return f"CAST({sql} + 0D AS STRING)"  # -0.0 and 0.0 are one value
     if isinstance(data_type, NESTED):
-        return F.to_json(column)
-    return column.cast("string")
+        return f"to_json({sql})"
+    return f"CAST({sql} AS STRING)"
+
+
+def value_text(sql: str, data_type: T.DataType) -> Column:
+    return F.expr(value_sql(sql, data_type))
 
 
-def looks_like_time(text: Column) -> Column:
+def looks_like_time_sql(sql: str) -> str:
     """At least ten characters, four leading digits and a dash somewhere."""
-    return (F.length(text) >= 10) & text.rlike("^[0-9]{4}") & text.contains("-")
+    return f"(LENGTH({sql}) >= 10 AND {sql} RLIKE '^[0-9]{{4}}' AND CONTAINS({sql}, '-'))"
 
 
-def epoch_seconds(time: Column) -> Column:
+def epoch_seconds_sql(sql: str) -> str:
     """Whole seconds since 1970 of a wall-clock time, independent of the session time zone."""
-    days = F.datediff(time.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
-    return days * 86400 + F.hour(time) * 3600 + F.minute(time) * 60 + F.second(time)
+    days = f"CAST(DATEDIFF(CAST({sql} AS DATE), DATE'1970-01-01') AS BIGINT)"
+    return f"({days} * 86400 + HOUR({sql}) * 3600 + MINUTE({sql}) * 60 + CAST(SECOND({sql}) AS INT))"
 
 
 def hash_uniform(seed: int | str, *parts: Column) -> Column:

@@ -43,3 +43,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
 
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def small_relation(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows known to the driver (names, schemas, cutoffs) as a relation the optimizer knows the size of."""
+    import pyarrow as pa
+    from pyspark.sql.types import StructType
+
+    types = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "timestamp_ntz": pa.timestamp("us")}
+    fields = [f.split() for f in schema.split(",")]
+    columns = list(zip(*rows)) if rows else [[] for _ in fields]
+    table = pa.table({n: pa.array(list(c), types[t]) for (n, t), c in zip(fields, columns)})
+    return spark.createDataFrame(table, schema=StructType.fromDDL(schema))

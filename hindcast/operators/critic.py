@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from hindcast import fixed_values as fixed
 from hindcast.functions.columns import filled
 from hindcast.operators.evidence import evidence_queries, initial_plan, question_text
-from hindcast.operators.predict import answer_text
+from hindcast.operators.predict import answer_text, first_label
 from hindcast.operators.profile import nulls_and_distinct, primary_keys, relationships, schema_summary
 from hindcast.sources.tables import column_inventory
 from hindcast.tasks import Task, relevant_tables
@@ -59,16 +59,20 @@ def sample_states(samples: DataFrame, fact_rows: DataFrame, task: Task, context:
     query = F.struct("query_ordinal", "table_name", "fact_key", "purpose", "sql", "row_count", "sample_rows")
     gathered = fact_rows.groupBy("sample_id").agg(
         F.array_sort(F.collect_list(query)).cast(QUERY_TYPE).alias("queries"),
+        first_label(task.priority_tables).alias("label"),
     )
     row_columns = [c for c in samples.columns if c not in ("sample_id", "entity_id", "cutoff", "truth")]
-    asked = samples.withColumn("question", question_text(task.question_template, row_columns, task)).withColumn(
-        "dataset_name", F.lit(task.dataset)
-    )
     return (
-        asked.join(initial_plan(samples, task), "sample_id")
+        samples.withColumns(
+            {
+                "question": question_text(task.question_template, row_columns, task),
+                "dataset_name": F.lit(task.dataset),
+                "plan": initial_plan(task),
+                "additional": F.array().cast(ADDITION_TYPE),
+            }
+        )
         .join(gathered, "sample_id")
         .join(F.broadcast(context), "dataset_name")
-        .withColumn("additional", F.array().cast(ADDITION_TYPE))
     )
 
 
@@ -134,18 +138,37 @@ def packet_texts() -> dict[str, Column]:
         "queries_run": _filled_array(
             "queries", F.concat(F.lit("["), F.array_join(F.transform("queries", _query), ","), F.lit("]"))
         ),
-        "additional_evidence": _filled_array("additional", _object(F.transform("additional", _addition))),
+        "additional_evidence": null,  # see final_prompt
     }
 
 
-def final_prompt() -> Column:
-    """Header and labelled sections in their fixed order; empty sections are left out."""
+ADDED_LABEL = "CRITIC-REQUESTED EVIDENCE"
+
+
+def prompt_parts() -> dict[str, Column]:
+    """The sections before and after the requested evidence, which refinement leaves as they are."""
     texts = packet_texts()
     shown = [
         F.when(texts[field].isNotNull(), F.concat(F.lit(f"{label}:\n"), texts[field]))
         for label, field in fixed.PROMPT_SECTIONS
     ]
-    return F.concat(F.lit(fixed.PROMPT_HEADER), F.concat_ws("\n\n", *shown))
+    at = [label for label, _field in fixed.PROMPT_SECTIONS].index(ADDED_LABEL)
+    return {
+        "prompt_head": F.concat_ws("\n\n", *shown[:at]),
+        "prompt_tail": F.concat_ws("\n\n", *shown[at + 1 :]),
+    }
+
+
+def final_prompt() -> Column:
+    """Header and labelled sections in their fixed order; empty sections are left out."""
+    added = F.concat(F.lit(f"{ADDED_LABEL}:\n"), _object(F.transform("additional", _addition)))
+    sections = F.concat_ws(
+        "\n\n",
+        F.nullif("prompt_head", F.lit("")),
+        _filled_array("additional", added),
+        F.nullif("prompt_tail", F.lit("")),
+    )
+    return F.concat(F.lit(fixed.PROMPT_HEADER), sections)
 
 
 def available_sections() -> Column:
@@ -191,37 +214,42 @@ def evidence_requests(missing: Column) -> Column:
     )
 
 
-def judgement(prompt: Column, answer: Column, truth: Column) -> dict[str, Column]:
-    """Whether the truth can be found, and how the blame is shared between planner and predictor."""
+def truth_found(text: Column, truth: Column) -> Column:
+    """Whether a text holds the truth, ignoring case; an empty truth is in no text."""
     wanted = F.lower(truth.cast("string"))
-    known = F.coalesce(wanted, F.lit("")) != ""
-    in_prompt = known & F.contains(F.lower(prompt), wanted)
-    in_answer = known & F.contains(F.lower(answer), wanted)
-    planner = (
-        F.when(in_answer, fixed.SCORE_TRUTH_IN_ANSWER)
-        .when(in_prompt, fixed.SCORE_TRUTH_IN_PROMPT)
-        .otherwise(fixed.SCORE_TRUTH_ABSENT)
+    return F.coalesce((wanted != "") & F.contains(F.lower(text), wanted), F.lit(False))
+
+
+def judged(states: DataFrame, expected: list[str] | tuple[str, ...]) -> DataFrame:
+    """Add what the critic's report follows from: truth in prompt, truth in answer, missing information."""
+    items = F.array(*[F.lit(e) for e in expected]).cast("array<string>")
+    return states.withColumns(
+        {
+            "in_prompt": truth_found(F.col("prompt"), F.col("truth")),
+            "in_answer": truth_found(answer_text(), F.col("truth")),
+            "missing": missing_information(items, available_sections()),
+        }
     )
-    return {
-        "prompt_sufficient": F.coalesce(in_prompt | in_answer, F.lit(False)),
-        "planner_responsibility_score": planner,
-        "predictor_responsibility_score": F.round(F.lit(1.0) - planner, 10),
-    }
 
 
-def critic_report(expected: list[str] | tuple[str, ...]) -> Column:
-    """The critic's report on a state with columns prompt, answer and truth."""
-    parts = judgement(F.col("prompt"), answer_text(), F.col("truth"))
-    sufficient = parts["prompt_sufficient"]
-    missing = missing_information(F.array(*[F.lit(e) for e in expected]).cast("array<string>"), available_sections())
+def critic_report() -> Column:
+    """The critic's report on a judged state: sufficiency, how planner and predictor share the blame, requests."""
+    sufficient = F.col("in_prompt") | F.col("in_answer")
+    planner = (
+        F.when(F.col("in_answer"), fixed.SCORE_TRUTH_IN_ANSWER)
+        .when(F.col("in_prompt"), fixed.SCORE_TRUTH_IN_PROMPT)
+        .otherwise(fixed.SCORE_TRUTH_ABSENT)
+    )
     nothing = F.array().cast("array<string>")
     return F.struct(
-        *[c.alias(n) for n, c in parts.items()],
+        sufficient.alias("prompt_sufficient"),
+        planner.alias("planner_responsibility_score"),
+        F.round(F.lit(1.0) - planner, 10).alias("predictor_responsibility_score"),
         F.lit(fixed.CRITIC_CONFIDENCE).alias("confidence_in_critique"),
-        missing.alias("missing_information"),
+        F.col("missing").alias("missing_information"),
         nothing.alias("irrelevant_information"),
         F.when(sufficient, nothing).otherwise(F.array(F.lit(fixed.CRITIC_ASSUMPTION))).alias("wrong_assumptions"),
-        evidence_requests(missing).alias("additional_evidence_requests"),
+        evidence_requests(F.col("missing")).alias("additional_evidence_requests"),
         F.array(F.when(sufficient, fixed.CRITIC_SUFFICIENT).otherwise(fixed.CRITIC_INSUFFICIENT)).alias("comments"),
     )
 

@@ -14,8 +14,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hindcast.functions.columns import epoch_seconds
-from hindcast.functions.scale import BROADCAST_ROWS
+from hindcast.functions.columns import epoch_seconds_sql, quoted
+from hindcast.functions.scale import BROADCAST_ROWS, small_relation
 
 DAY = 86_400
 
@@ -78,8 +78,8 @@ def index_cutoffs(samples: DataFrame) -> CutoffIndex:
     if count <= LISTED_CUTOFFS:
         listed = sorted(r["cutoff"] for r in distinct.collect())
         rows = [(c, i + 1, listed[i - 1] if i else None) for i, c in enumerate(listed)]
-        numbered = samples.sparkSession.createDataFrame(
-            rows, "cutoff timestamp_ntz, idx bigint, previous timestamp_ntz"
+        numbered = small_relation(
+            samples.sparkSession, rows, "cutoff timestamp_ntz, idx bigint, previous timestamp_ntz"
         )
     else:
         numbered = _numbered_by_bin(distinct, seconds)
@@ -88,7 +88,7 @@ def index_cutoffs(samples: DataFrame) -> CutoffIndex:
 
 def _numbered_by_bin(distinct: DataFrame, seconds: int) -> DataFrame:
     """Global numbers from numbers within time bins: only the bins, bounded by the calendar, meet in one task."""
-    binned = distinct.withColumn("bin", _bin(F.col("cutoff"), seconds))
+    binned = distinct.withColumn("bin", _bin("cutoff", seconds))
     inside = Window.partitionBy("bin").orderBy("cutoff")
     across = Window.orderBy("bin")
     totals = (
@@ -112,13 +112,13 @@ def _numbered_by_bin(distinct: DataFrame, seconds: int) -> DataFrame:
     )
 
 
-def _bin(time: Column, seconds: int) -> Column:
-    return F.floor(epoch_seconds(time) / seconds).cast("long")
+def _bin(time: str, seconds: int) -> Column:
+    return F.expr(f"CAST(FLOOR({epoch_seconds_sql(time)} / {seconds}) AS BIGINT)")
 
 
 def with_interval(df: DataFrame, time_column: str, index: CutoffIndex) -> DataFrame:
     """Keep rows not later than the last cutoff and add ``idx``, the number of the first cutoff not before the row."""
-    time = F.col(f"`{time_column}`")
+    time = F.col(quoted(time_column))
     if index.last is None:
         return df.filter(F.lit(False)).withColumn("idx", F.lit(1).cast("long"))
     kept = df.filter(time <= time_literal(index.last))
@@ -127,32 +127,33 @@ def with_interval(df: DataFrame, time_column: str, index: CutoffIndex) -> DataFr
     # Rows up to the first cutoff are interval 1. Later intervals are listed under every bin they touch.
     listed = index.cutoffs.filter(F.col("previous").isNotNull()).select(
         F.explode(
-            F.sequence(_bin(F.col("previous"), index.bin_seconds), _bin(F.col("cutoff"), index.bin_seconds))
+            F.sequence(_bin("previous", index.bin_seconds), _bin("cutoff", index.bin_seconds))
         ).alias("_bin"),
         F.col("previous").alias("_after"),
         F.col("cutoff").alias("_until"),
         F.col("idx").alias("_idx"),
     )
-    exact = time.cast("timestamp_ntz")
-    binned = kept.withColumn("_time", exact).withColumn("_bin", _bin(exact, index.bin_seconds))
-    joined = binned.alias("r").join(
-        index.broadcast(listed).alias("i"),
-        (F.col("r._bin") == F.col("i._bin"))
-        & (F.col("r._time") > F.col("i._after"))
-        & (F.col("r._time") <= F.col("i._until")),
-        "left",
+    exact = f"CAST({quoted(time_column)} AS TIMESTAMP_NTZ)"
+    binned = kept.select("*", F.expr(exact).alias("_time"), _bin(exact, index.bin_seconds).alias("_bin"))
+    within = F.expr("r._bin = i._bin AND r._time > i._after AND r._time <= i._until")
+    joined = binned.alias("r").join(index.broadcast(listed).alias("i"), within, "left")
+    first = f"TIMESTAMP_NTZ'{index.first.isoformat(sep=' ')}'"
+    return joined.selectExpr(
+        *[f"r.{quoted(c)}" for c in df.columns],
+        f"CASE WHEN r._time <= {first} THEN 1L ELSE i._idx END AS idx",
     )
-    idx = F.when(F.col("r._time") <= time_literal(index.first), F.lit(1).cast("long")).otherwise(F.col("i._idx"))
-    return joined.select(*[F.col(f"r.`{c}`") for c in df.columns], idx.alias("idx"))
 
 
-def blocks_holding(idx: Column, levels: int) -> Column:
-    """The blocks interval ``idx`` belongs to, one per level, as far as any cutoff asks for them (even ones)."""
-    blocks = [F.struct(F.lit(l).alias("level"), F.shiftright(idx - 1, l).alias("block")) for l in range(levels)]
-    return F.filter(F.array(*blocks), lambda b: b["block"] % 2 == 0)
+def blocks_holding(idx: str, levels: int) -> str:
+    """SQL for the (level, block) pairs interval ``idx`` belongs to, one per level, as far as any cutoff asks for them.
+
+    Only even blocks are ever asked for.
+    """
+    blocks = ", ".join(f"named_struct('level', {l}, 'block', shiftright({idx} - 1, {l}))" for l in range(levels))
+    return f"filter(array({blocks}), b -> b.block % 2 = 0)"
 
 
-def blocks_up_to(idx: Column, levels: int) -> Column:
-    """Disjoint blocks whose union is the intervals 1..idx: one per set bit."""
-    blocks = [F.struct(F.lit(l).alias("level"), (F.shiftright(idx, l) - 1).alias("block")) for l in range(levels)]
-    return F.filter(F.array(*blocks), lambda b: b["block"] % 2 == 0)
+def blocks_up_to(idx: str, levels: int) -> str:
+    """SQL for the disjoint blocks whose union is the intervals 1..idx: one per set bit."""
+    blocks = ", ".join(f"named_struct('level', {l}, 'block', shiftright({idx}, {l}) - 1)" for l in range(levels))
+    return f"filter(array({blocks}), b -> b.block % 2 = 0)"

@@ -8,17 +8,29 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hindcast import fixed_values as fixed
-from hindcast.functions.columns import filled, kind_of, looks_like_time, strict_filled, time_text, value_text
+from hindcast.functions.columns import (
+    filled,
+    kind_of,
+    literal,
+    looks_like_time_sql,
+    quoted,
+    strict_filled,
+    time_sql,
+    time_text,
+    value_sql,
+    value_text,
+)
+from hindcast.functions.scale import small_relation
 from hindcast.operators.cutoffs import CutoffIndex, blocks_holding, blocks_up_to, index_cutoffs, with_interval
 from hindcast.tasks import TableRole, Task, relevant_tables
 
 
-def sample_id(task_name: str, entity: Column, cutoff: Column) -> Column:
+def sample_id(task_name: str, entity: Column, cutoff: str) -> Column:
     return F.concat_ws("|", F.lit(task_name), entity, time_text(cutoff))
 
 
@@ -36,8 +48,8 @@ def date_ranges(tables: dict[str, DataFrame]) -> DataFrame:
                 df.agg(F.min(c).alias("lo"), F.max(c).alias("hi"), F.count("*").alias("row_count")).select(
                     F.lit(name).alias("table_name"),
                     F.lit(temporal[0].name).alias("time_column"),
-                    value_text(F.col("lo"), temporal[0].dataType).alias("min_value"),
-                    value_text(F.col("hi"), temporal[0].dataType).alias("max_value"),
+                    value_text("lo", temporal[0].dataType).alias("min_value"),
+                    value_text("hi", temporal[0].dataType).alias("max_value"),
                     "row_count",
                 )
             )
@@ -59,11 +71,11 @@ def aggregate_per_cutoff(table: DataFrame, time_column: str, index: CutoffIndex)
         .agg(F.count("*").alias("n"), F.min(time).alias("lo"), F.max(time).alias("hi"))
     )
     per_block = (
-        per_interval.select("n", "lo", "hi", F.inline(blocks_holding(F.col("idx"), index.levels)))
+        per_interval.selectExpr("n", "lo", "hi", f"inline({blocks_holding('idx', index.levels)})")
         .groupBy("level", "block")
         .agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     )
-    asked = index.cutoffs.select("cutoff", F.inline(blocks_up_to(F.col("idx"), index.levels)))
+    asked = index.cutoffs.selectExpr("cutoff", f"inline({blocks_up_to('idx', index.levels)})")
     return (
         asked.join(per_block, ["level", "block"], "left")
         .groupBy("cutoff")
@@ -119,30 +131,24 @@ def entity_rows(
     rows = table.filter(key.isNotNull())
     if index.few_entities:
         known = F.broadcast(asked.select(F.col("_key").alias(key_column)).distinct())
-        rows = rows.join(known, key_column, "left_semi").select(*[F.col(f"`{c}`") for c in columns])
+        rows = rows.join(known, key_column, "left_semi").select(*[quoted(c) for c in columns])
 
     if time_column is None or index.count <= 1:
         # One interval: the limit per entity is already the answer.
         kept = rows if time_column is None else with_interval(rows, time_column, index).drop("idx")
         kept = _first_rows(kept, [key_column], order_by, keep).withColumn("_key", key)
-        return asked.join(kept, "_key").select("sample_id", "rn", *[F.col(f"`{c}`") for c in columns])
+        return asked.join(kept, "_key").select("sample_id", "rn", *[quoted(c) for c in columns])
 
+    names = [quoted(c) for c in columns]
     per_interval = _first_rows(with_interval(rows, time_column, index), [key_column, "idx"], order_by, keep)
-    spread = per_interval.select(
-        *[F.col(f"`{c}`") for c in columns],
-        F.inline(blocks_holding(F.col("idx"), index.levels)),
-    ).withColumnRenamed("level", "_level").withColumnRenamed("block", "_block")
+    spread = per_interval.selectExpr(*names, f"inline({blocks_holding('idx', index.levels)}) AS (_level, _block)")
     per_block = _first_rows(spread, [key_column, "_level", "_block"], order_by, keep).drop("rn")
     numbered = asked.join(index.broadcast(index.cutoffs.select("cutoff", "idx")), "cutoff")
-    wanted = (
-        numbered.select("sample_id", "_key", F.inline(blocks_up_to(F.col("idx"), index.levels)))
-        .withColumnRenamed("level", "_level")
-        .withColumnRenamed("block", "_block")
+    wanted = numbered.selectExpr(
+        "sample_id", "_key", f"inline({blocks_up_to('idx', index.levels)}) AS (_level, _block)"
     )
     found = wanted.join(per_block.withColumn("_key", key), ["_key", "_level", "_block"])
-    return _first_rows(found, ["sample_id"], order_by, keep).select(
-        "sample_id", "rn", *[F.col(f"`{c}`") for c in columns]
-    )
+    return _first_rows(found, ["sample_id"], order_by, keep).select("sample_id", "rn", *names)
 
 
 def _first_rows(df: DataFrame, keys: list[str], order_by: list[Column], keep: int) -> DataFrame:
@@ -182,58 +188,57 @@ def query_list(roles: list[TableRole]) -> list[tuple[int, TableRole, str, str]]:
     return [(i, *entry) for i, entry in enumerate(flat)]
 
 
-def query_sql(role: TableRole, fact: str, cap: int) -> Column:
-    """The SQL text that states a query, over columns entity_id and cutoff."""
+def query_sql(role: TableRole, fact: str, cap: int) -> str:
+    """SQL expression over entity_id and cutoff whose value is the text of the statement."""
     table = f'"{role.table}"'
-    cutoff = time_text(F.col("cutoff"))
-    entity = F.col("entity_id")
-    literal = F.when(entity.rlike("^[0-9]+$"), entity).otherwise(
-        F.concat(F.lit("'"), F.replace(entity, F.lit("'"), F.lit("''")), F.lit("'"))
-    )
-    before = [F.lit(f'"{role.time_column}" <= TIMESTAMP \''), cutoff, F.lit("'")]
+    digits = "entity_id RLIKE '^[0-9]+$'"
+    entity = f"CASE WHEN {digits} THEN entity_id ELSE concat('\\'', replace(entity_id, '\\'', '\\'\\''), '\\'') END"
+    before = f"""{literal(f'"{role.time_column}" <= TIMESTAMP ')}, '\\'', {time_sql("cutoff")}, '\\''"""
     if fact == fixed.FACT_AGGREGATE:
         c = f'"{role.time_column}"'
         head = f"SELECT COUNT(*) AS row_count, MIN({c}) AS min_time, MAX({c}) AS max_time FROM {table} WHERE "
-        return F.concat(F.lit(head), *before, F.lit(f" LIMIT {cap}"))
+        return f"concat({literal(head)}, {before}, ' LIMIT {cap}')"
     if fact == fixed.FACT_ENTITY:
-        head = F.lit(f"SELECT * FROM {table} WHERE ")
-        time = [*before, F.lit(" AND ")] if role.time_column else []
-        return F.concat(head, *time, F.lit(f'"{role.key_column}" = '), literal, F.lit(f" ORDER BY 1 LIMIT {fixed.ENTITY_ROWS}"))
-    return F.lit(f"SELECT * FROM {table} LIMIT {fixed.ENTITY_ROWS}")
+        time = f"{before}, ' AND ', " if role.time_column else ""
+        equal = literal(f'"{role.key_column}" = ')
+        tail = f" ORDER BY 1 LIMIT {fixed.ENTITY_ROWS}"
+        return f"concat({literal(f'SELECT * FROM {table} WHERE ')}, {time}{equal}, {entity}, '{tail}')"
+    return literal(f"SELECT * FROM {table} LIMIT {fixed.ENTITY_ROWS}")
 
 
-def _shown(schema: T.StructType) -> Column:
-    """A row as one JSON object; times and nested values as text, nulls kept."""
+def _shown(schema: T.StructType) -> str:
+    """SQL for a row as one JSON object; times as text, nulls kept."""
     fields = []
     for f in schema.fields:
-        c = F.col(f"`{f.name}`")
-        as_text = kind_of(f.dataType) == "temporal"
-        fields.append((value_text(c, f.dataType) if as_text else c).alias(f.name))
-    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+        value = value_sql(quoted(f.name), f.dataType) if kind_of(f.dataType) == "temporal" else quoted(f.name)
+        fields += [literal(f.name), value]
+    return f"to_json(named_struct({', '.join(fields)}), map('ignoreNullFields', 'false'))"
 
 
-def _times(schema: T.StructType) -> Column:
-    """The texts of a row that look like times."""
+def _times(schema: T.StructType) -> str:
+    """SQL for the texts of a row that look like times."""
     texts = [
-        value_text(F.col(f"`{f.name}`"), f.dataType)
+        value_sql(quoted(f.name), f.dataType)
         for f in schema.fields
         if kind_of(f.dataType) == "temporal" or isinstance(f.dataType, T.StringType)
     ]
-    return F.filter(F.array(*texts), lambda t: t.isNotNull() & looks_like_time(t)) if texts else F.array().cast("array<string>")
+    if not texts:
+        return "CAST(array() AS ARRAY<STRING>)"
+    return f"filter(array({', '.join(texts)}), t -> {looks_like_time_sql('t')})"
 
 
 ROW_COLUMNS = ["sample_id", "query_ordinal", "rn", "row_json", "times", "label"]
 
 
 def _as_evidence(df: DataFrame, schema: T.StructType, ordinal: int, label_column: str) -> DataFrame:
-    label = F.col(f"`{label_column}`").cast("string") if label_column in schema.names else F.lit(None).cast("string")
-    return df.select(
+    label = quoted(label_column) if label_column in schema.names else "NULL"
+    return df.selectExpr(
         "sample_id",
-        F.lit(ordinal).alias("query_ordinal"),
-        F.col("rn").cast("int").alias("rn"),
-        _shown(schema).alias("row_json"),
-        _times(schema).alias("times"),
-        label.alias("label"),
+        f"{ordinal} AS query_ordinal",
+        "CAST(rn AS INT) AS rn",
+        f"{_shown(schema)} AS row_json",
+        f"{_times(schema)} AS times",
+        f"CAST({label} AS STRING) AS label",
     )
 
 
@@ -284,41 +289,41 @@ def facts(
     if queries is None:
         queries = query_list(relevant_tables(task, {n: df.schema for n, df in tables.items()}))
     rows = evidence_rows(samples, task, tables, index, queries)
-    ordinals = F.array(*[F.lit(q[0]) for q in queries])
-    listed = samples.select(
-        "sample_id", F.explode(ordinals).alias("query_ordinal"), "entity_id", "cutoff"
-    )
-    together = rows.withColumn("entity_id", F.lit(None).cast("string")).withColumn(
-        "cutoff", F.lit(None).cast("timestamp_ntz")
-    ).unionByName(listed, allowMissingColumns=True)
-    within = F.col("rn") <= kept
+    ordinals = ", ".join(str(q[0]) for q in queries)
+    placeholders = samples.selectExpr(
+        "sample_id", f"explode(array({ordinals})) AS query_ordinal", "CAST(NULL AS INT) AS rn",
+        "CAST(NULL AS STRING) AS row_json", "CAST(NULL AS ARRAY<STRING>) AS times", "CAST(NULL AS STRING) AS label",
+        "entity_id", "cutoff",
+    )
+    together = rows.selectExpr(
+        *ROW_COLUMNS, "CAST(NULL AS STRING) AS entity_id", "CAST(NULL AS TIMESTAMP_NTZ) AS cutoff"
+    ).unionByName(placeholders)
     grouped = (
         together.repartition("sample_id")
         .groupBy("sample_id", "query_ordinal")
         .agg(
-            F.max("entity_id").alias("entity_id"),
-            F.max("cutoff").alias("cutoff"),
-            F.least(F.count("rn"), F.lit(cap)).alias("row_count"),
-            F.array_sort(F.collect_list(F.when(within, F.struct("rn", "row_json", "times")))).alias("kept"),
-            F.min(F.when(within & F.col("label").isNotNull(), F.struct("rn", "label")))["label"].alias("label"),
+            F.expr("max(entity_id)").alias("entity_id"),
+            F.expr("max(cutoff)").alias("cutoff"),
+            F.expr(f"least(count(rn), {cap})").alias("row_count"),
+            F.expr(f"array_sort(collect_list(struct(rn, row_json, times)) FILTER (WHERE rn <= {kept}))").alias("kept"),
+            F.expr(f"min(struct(rn, label)) FILTER (WHERE rn <= {kept} AND label IS NOT NULL).label").alias("label"),
         )
     )
 
-    def per_query(value) -> Column:
-        cases = [(F.col("query_ordinal") == q[0], value(q)) for q in queries]
-        return F.coalesce(*[F.when(c, v) for c, v in cases])
+    def per_query(value) -> str:
+        return "CASE query_ordinal " + " ".join(f"WHEN {q[0]} THEN {value(q)}" for q in queries) + " END"
 
-    return grouped.select(
+    return grouped.selectExpr(
         "sample_id",
         "query_ordinal",
-        per_query(lambda q: F.lit(q[1].table)).alias("table_name"),
-        per_query(lambda q: F.lit(q[2])).alias("fact_key"),
-        per_query(lambda q: F.lit(q[3])).alias("purpose"),
-        per_query(lambda q: query_sql(q[1], q[2], cap)).alias("sql"),
-        per_query(lambda q: F.lit(q[1].time_column is not None)).alias("cutoff_applied"),
+        f"{per_query(lambda q: literal(q[1].table))} AS table_name",
+        f"{per_query(lambda q: literal(q[2]))} AS fact_key",
+        f"{per_query(lambda q: literal(q[3]))} AS purpose",
+        f"{per_query(lambda q: query_sql(q[1], q[2], cap))} AS sql",
+        f"{per_query(lambda q: str(q[1].time_column is not None))} AS cutoff_applied",
         "row_count",
-        F.transform("kept", lambda k: k["row_json"]).alias("sample_rows"),
-        F.flatten(F.transform("kept", lambda k: k["times"])).alias("times"),
+        "transform(kept, k -> k.row_json) AS sample_rows",
+        "flatten(transform(kept, k -> k.times)) AS times",
         "label",
     )
 
@@ -351,6 +356,16 @@ def matched_table(evidence_type: Column, tables: list[str]) -> Column:
     return F.coalesce(F.get(hits, F.lit(0)), F.get(names, F.lit(0)))
 
 
+def matched_tables(
+    spark: SparkSession, task: Task, tables: dict[str, DataFrame], evidence_types: list[str]
+) -> dict[str, str]:
+    """Table of each evidence type a task lists. As small as the task's definition."""
+    names = sorted(n for n in tables if n in task.tables)
+    types = small_relation(spark, [(t,) for t in evidence_types], "evidence_type string")
+    matched = types.select("evidence_type", matched_table(F.col("evidence_type"), names).alias("table_name"))
+    return {r["evidence_type"]: r["table_name"] for r in matched.collect()}
+
+
 def first_facts(
     samples: DataFrame,
     task: Task,
@@ -379,13 +394,7 @@ def followup_evidence(
     ``requests`` holds an array of (evidence_type, reason, priority) per sample; ``evidence_types`` are the types a
     request can have, which the task lists, so only the tables they match are read.
     """
-    names = sorted(n for n in tables if n in task.tables)
-    matches = {
-        r["evidence_type"]: r["table_name"]
-        for r in samples.sparkSession.createDataFrame([(t,) for t in evidence_types], "evidence_type string")
-        .select("evidence_type", matched_table(F.col("evidence_type"), names).alias("table_name"))
-        .collect()
-    }
+    matches = matched_tables(samples.sparkSession, task, tables, evidence_types)
     fetched = first_facts(samples, task, tables, sorted(set(matches.values())), index)
     asked = requests.select("sample_id", F.posexplode(F.slice("requests", 1, fixed.MAX_REQUESTS)).alias("position", "r"))
     table_of = F.create_map(*[F.lit(x) for pair in matches.items() for x in pair])
@@ -408,10 +417,10 @@ def question_text(template: str | None, row_columns: list[str], task: Task, stri
     values: dict[str, Column | str] = {c: F.col(f"`{c}`").cast("string") for c in row_columns}
     values["entity_id"] = F.col("entity_id")
     if strict:
-        values["cutoff_time"] = time_text(F.col("cutoff"))
+        values["cutoff_time"] = time_text("cutoff")
         return strict_filled(template, **values)
     values |= {
-        "cutoff_time": time_text(F.col("cutoff")),
+        "cutoff_time": time_text("cutoff"),
         "target_col": task.target_column,
         "entity_col": task.lookup_column,
     }
@@ -435,13 +444,13 @@ def classify_question(question: Column) -> list[Column]:
     ]
 
 
-def initial_plan(samples: DataFrame, task: Task) -> DataFrame:
-    """Plan of every sample: what is asked, which tables and information it needs, and the no-leak note."""
-    cutoff = time_text(F.col("cutoff"))
+def initial_plan(task: Task) -> Column:
+    """Plan for a sample: what is asked, which tables and information it needs, and the no-leak note."""
+    cutoff = time_text("cutoff")
     note = filled(fixed.PLAN_LEAKAGE_NOTE, cutoff=cutoff)
     stated = F.array(F.lit(fixed.PLAN_ASSUMPTION), filled(fixed.PLAN_CUTOFF_ASSUMPTION, cutoff=cutoff))
     texts = lambda items: F.array(*[F.lit(i) for i in items]).cast("array<string>")
-    plan = F.struct(
+    return F.struct(
         F.lit(fixed.PLAN_INTENT).alias("intent"),
         F.lit(fixed.PLAN_TYPE).alias("prediction_type"),
         F.struct(F.lit("entity").alias("name"), F.col("entity_id")).alias("entity"),
@@ -455,4 +464,3 @@ def initial_plan(samples: DataFrame, task: Task) -> DataFrame:
         F.when(F.array_contains(stated, note), stated).otherwise(F.array_append(stated, note)).alias("assumptions"),
         cutoff.alias("cutoff_time"),
     )
-    return samples.select("sample_id", plan.alias("plan"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hindcast import fixed_values as fixed
-from hindcast.functions.columns import filled, time_text
+from hindcast.functions.columns import filled, literal, time_text
 
 
 def train_mean(train: DataFrame, target_column: str, by: str = "task_name") -> DataFrame:
@@ -14,18 +14,22 @@ def train_mean(train: DataFrame, target_column: str, by: str = "task_name") -> D
     return train.groupBy(by).agg(F.avg(target_column).alias("train_mean"))
 
 
+def first_label(priority_tables: tuple[str, ...]) -> Column:
+    """Aggregate over a sample's facts: its first non-null label, priority queries first, then in query order."""
+    named = " OR ".join(f"contains(lower(purpose), {literal(t)})" for t in priority_tables) or "false"
+    place = f"struct(CASE WHEN {named} THEN 0 ELSE 1 END AS place, query_ordinal, label)"
+    return F.expr(f"min({place}) FILTER (WHERE label IS NOT NULL).label")
+
+
 def inferred_label(fact_rows: DataFrame, priority_tables: tuple[str, ...]) -> DataFrame:
-    """Per sample the first non-null label among the kept rows: priority queries first, then query order."""
-    first = F.least(*[F.when(F.lower("purpose").contains(t), 0).otherwise(1) for t in priority_tables], F.lit(1))
-    label = F.when(F.col("label").isNotNull(), F.struct(first.alias("p"), F.col("query_ordinal"), F.col("label")))
-    return fact_rows.groupBy("sample_id").agg(F.min(label)["label"].alias("label"))
+    return fact_rows.groupBy("sample_id").agg(first_label(priority_tables).alias("label"))
 
 
-def heuristic_answer(labelled: DataFrame, purposes: list[str]) -> DataFrame:
-    """Answer of every sample (sample_id, entity_id, cutoff, label) from its label and the first three purposes."""
+def heuristic_answer(purposes: list[str]) -> Column:
+    """Answer to a sample (entity_id, cutoff, label) from its label and the first three purposes."""
     support = F.array(*[F.lit(p) for p in purposes[:3]]).cast("array<string>")
     outcome = F.coalesce(F.when(F.col("label") != "", F.col("label")), F.lit(fixed.ANSWER_UNCERTAIN))
-    cutoff = time_text(F.col("cutoff"))
+    cutoff = time_text("cutoff")
     named = {"entity": F.col("entity_id"), "cutoff": cutoff}
     entity = F.struct(
         F.col("entity_id"),
@@ -35,15 +39,12 @@ def heuristic_answer(labelled: DataFrame, purposes: list[str]) -> DataFrame:
         support.alias("reasoning"),
         F.struct(cutoff.alias("cutoff_time")).alias("supporting_facts"),
     )
-    return labelled.select(
-        "sample_id",
-        F.struct(
-            F.lit(fixed.ANSWER_TYPE).alias("answer_type"),
-            filled(fixed.ANSWER_SUMMARY, **named).alias("summary"),
-            F.array(entity).alias("ranked_entities"),
-            filled(fixed.ANSWER_NARRATIVE, outcome=outcome, **named).alias("narrative_answer"),
-            F.array().cast("array<string>").alias("limitations"),
-        ).alias("answer"),
+    return F.struct(
+        F.lit(fixed.ANSWER_TYPE).alias("answer_type"),
+        filled(fixed.ANSWER_SUMMARY, **named).alias("summary"),
+        F.array(entity).alias("ranked_entities"),
+        filled(fixed.ANSWER_NARRATIVE, outcome=outcome, **named).alias("narrative_answer"),
+        F.array().cast("array<string>").alias("limitations"),
     )
 
 
@@ -104,7 +105,7 @@ def leakage_audit(fact_rows: DataFrame, samples: DataFrame) -> DataFrame:
     seen = fact_rows.groupBy("sample_id").agg(
         F.flatten(F.collect_list("times")).alias("times"),
     )
-    cutoff = time_text(F.col("cutoff"))
+    cutoff = time_text("cutoff")
     past = F.size(F.filter("times", lambda t: t > cutoff))
     return seen.join(samples.select("sample_id", "cutoff"), "sample_id").select(
         "sample_id",

@@ -25,8 +25,8 @@ from hindcast.fixed_values import (
     SUMMARY_SCHEMA_HEADER,
     TOP_VALUES,
 )
-from hindcast.functions.columns import filled, kind_of, value_text
-from hindcast.functions.scale import BROADCAST_ROWS, cut_lineage
+from hindcast.functions.columns import filled, kind_of, literal, quoted, value_sql, value_text
+from hindcast.functions.scale import BROADCAST_ROWS, cut_lineage, small_relation
 from hindcast.sources.tables import column_inventory, row_counts
 from hindcast.tasks import IdRule
 
@@ -36,9 +36,9 @@ HEAD = 64
 LONG_KEY = HEAD + 1 + 64
 
 
-def value_key(text: Column) -> Column:
-    long = F.concat(F.substring(text, 1, HEAD), F.lit("\x01"), F.sha2(text, 256))
-    return F.when(F.length(text) <= HEAD, text).otherwise(long)
+def key_sql(text: str) -> str:
+    long = f"concat(substring({text}, 1, {HEAD}), '\\u0001', sha2({text}, 256))"
+    return f"CASE WHEN length({text}) <= {HEAD} THEN {text} ELSE {long} END"
 
 
 def family_of(data_type: T.DataType) -> str:
@@ -52,11 +52,11 @@ def family_of(data_type: T.DataType) -> str:
     return "generic" if kind_of(data_type) == "generic" else "string"
 
 
-def _comparable(column: Column, data_type: T.DataType) -> Column:
+def _comparable(sql: str, data_type: T.DataType) -> str:
     family = family_of(data_type)
     if family == "string":
-        return value_key(value_text(column, data_type))
-    return column.cast("double") + F.lit(0.0) if family == "double" else column.cast(family)
+        return key_sql(value_sql(sql, data_type))
+    return f"CAST({sql} AS DOUBLE) + 0D" if family == "double" else f"CAST({sql} AS {family})"
 
 
 def _unpivot(tables: dict[str, DataFrame], families: tuple[str, ...], form) -> DataFrame | None:
@@ -65,9 +65,9 @@ def _unpivot(tables: dict[str, DataFrame], families: tuple[str, ...], form) -> D
     for name, df in tables.items():
         fields = [f for f in df.schema.fields if family_of(f.dataType) in families]
         if fields:
-            values = df.select(*[form(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in fields])
-            long = values.unpivot([], [F.col(f"`{f.name}`") for f in fields], "column_name", "value")
-            parts.append(long.select(F.lit(name).alias("table_name"), "column_name", "value"))
+            values = df.selectExpr(*[f"{form(quoted(f.name), f.dataType)} AS {quoted(f.name)}" for f in fields])
+            long = values.unpivot([], [quoted(f.name) for f in fields], "column_name", "value")
+            parts.append(long.selectExpr(f"{literal(name)} AS table_name", "column_name", "value"))
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 
@@ -83,7 +83,7 @@ def value_counts(tables: dict[str, DataFrame], family: str) -> DataFrame | None:
 
 def nested_nulls(tables: dict[str, DataFrame]) -> DataFrame | None:
     """Null counts of nested columns, which have no distinct count."""
-    long = _unpivot(tables, ("generic",), lambda c, t: c.isNull().cast("long"))
+    long = _unpivot(tables, ("generic",), lambda c, _type: f"CAST({c} IS NULL AS BIGINT)")
     if long is None:
         return None
     return long.groupBy("table_name", "column_name").agg(
@@ -148,25 +148,19 @@ def column_ranges(tables: dict[str, DataFrame]) -> DataFrame:
         fields = [f for f in df.schema.fields if kind_of(f.dataType) in ("numeric", "temporal")]
         if not fields:
             continue
-        aggregates = []
+        aggregates, entries = [], []
         for i, f in enumerate(fields):
-            c = F.col(f"`{f.name}`")
-            aggregates += [F.min(c).alias(f"min{i}"), F.max(c).alias(f"max{i}")]
-            if kind_of(f.dataType) == "numeric":
-                aggregates += [F.avg(c).cast("double").alias(f"avg{i}"), F.stddev_samp(c).alias(f"dev{i}")]
-        none = F.lit(None).cast("double")
-        entries = [
-            F.struct(
-                F.lit(f.name).alias("column_name"),
-                F.lit(kind_of(f.dataType)).alias("kind"),
-                value_text(F.col(f"min{i}"), f.dataType).alias("min_value"),
-                value_text(F.col(f"max{i}"), f.dataType).alias("max_value"),
-                (F.col(f"avg{i}") if kind_of(f.dataType) == "numeric" else none).alias("avg_value"),
-                (F.col(f"dev{i}") if kind_of(f.dataType) == "numeric" else none).alias("stddev_value"),
+            c, kind = quoted(f.name), kind_of(f.dataType)
+            moments = f"avg(CAST({c} AS DOUBLE)), stddev_samp({c})" if kind == "numeric" else "CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)"
+            aggregates.append(f"struct(min({c}) AS lo, max({c}) AS hi, {moments}) AS s{i}")
+            low, high = value_sql(f"s{i}.lo", f.dataType), value_sql(f"s{i}.hi", f.dataType)
+            entries.append(f"struct({literal(f.name)}, {literal(kind)}, {low}, {high}, s{i}.col3, s{i}.col4)")
+        names = "column_name, kind, min_value, max_value, avg_value, stddev_value"
+        parts.append(
+            df.selectExpr(*aggregates).selectExpr(
+                f"{literal(name)} AS table_name", f"inline(array({', '.join(entries)})) AS ({names})"
             )
-            for i, f in enumerate(fields)
-        ]
-        parts.append(df.agg(*aggregates).select(F.lit(name).alias("table_name"), F.inline(F.array(*entries))))
+        )
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -187,7 +181,7 @@ def top_values(tables: dict[str, DataFrame], counts: DataFrame | None = None, to
         counts = value_counts(categorical, "string")
     else:
         columns = [(n, c) for n, df in categorical.items() for c in df.columns]
-        wanted = counts.sparkSession.createDataFrame(columns, "table_name string, column_name string")
+        wanted = small_relation(counts.sparkSession, columns, "table_name string, column_name string")
         counts = counts.join(F.broadcast(wanted), ["table_name", "column_name"], "left_semi")
     per_column = Window.partitionBy("table_name", "column_name")
     by_key = per_column.orderBy(F.desc("frequency"), F.substring("value_key", 1, HEAD))
@@ -201,9 +195,9 @@ def top_values(tables: dict[str, DataFrame], counts: DataFrame | None = None, to
     long_keys = candidates.filter(is_long)
     found = long_keys.limit(BROADCAST_ROWS + 1).count()
     if found:
-        texts = _unpivot(categorical, ("string",), value_text).filter(F.length("value") > HEAD)
+        texts = _unpivot(categorical, ("string",), value_sql).filter(F.length("value") > HEAD)
         wanted = F.broadcast(long_keys) if found <= BROADCAST_ROWS else long_keys
-        hits = texts.withColumn("value_key", value_key(F.col("value"))).join(
+        hits = texts.withColumn("value_key", F.expr(key_sql("value"))).join(
             wanted, ["table_name", "column_name", "value_key"]
         )
         one = hits.groupBy("table_name", "column_name", "value_key", "frequency").agg(F.min("value").alias("value"))

@@ -6,21 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hindcast import fixed_values as fixed
-from hindcast.functions.columns import time_text
+from hindcast.functions.columns import literal, time_text
 from hindcast.functions.scale import cut_lineage
 from hindcast.operators.critic import (
     ADDITION_TYPE,
     critic_report,
     final_prompt,
+    judged,
+    prompt_parts,
     sample_states,
     task_context,
     task_purposes,
 )
 from hindcast.operators.cutoffs import CutoffIndex, index_cutoffs
-from hindcast.operators.evidence import facts, followup_evidence
-from hindcast.operators.predict import answer_text, heuristic_answer, inferred_label, truth_match
+from hindcast.operators.evidence import facts, first_facts, matched_tables
+from hindcast.operators.predict import answer_text, heuristic_answer, truth_match
 from hindcast.tasks import Task
 
+# A sample that is not settled and still asks for something.
+OPEN = "(NOT (in_prompt OR in_answer) AND size(missing) > 0)"
+
 HISTORY_TYPE = "array<struct<round:int,evidence_types:array<string>,score:double,matched:boolean>>"
 
 
@@ -28,23 +33,20 @@ def first_states(
     samples: DataFrame, task: Task, tables: dict[str, DataFrame], index: CutoffIndex, context: DataFrame | None = None
 ) -> DataFrame:
     """Samples with evidence, prompt, answer, evaluation and report before any refinement."""
-    spark = samples.sparkSession
-    fact_rows = cut_lineage(facts(samples.select("sample_id", "entity_id", "cutoff"), task, tables, index))
-    context = task_context(spark, task, tables) if context is None else context
-    labels = inferred_label(fact_rows, task.priority_tables)
-    answers = heuristic_answer(
-        samples.select("sample_id", "entity_id", "cutoff").join(labels, "sample_id", "left"),
-        task_purposes(task, tables),
-    )
-    state = sample_states(samples, fact_rows, task, context).join(answers, "sample_id")
-    return (
-        state.withColumn("prompt", final_prompt())
-        .withColumn("initial_prompt", F.col("prompt"))
-        .withColumn("evaluation", F.struct(*truth_match(answer_text(), F.col("truth"))))
-        .withColumn("initial_evaluation", F.col("evaluation"))
-        .withColumn("report", critic_report(task.expected_evidence))
-        .withColumn("history", F.array().cast(HISTORY_TYPE))
+    fact_rows = facts(samples.select("sample_id", "entity_id", "cutoff"), task, tables, index)
+    context = task_context(samples.sparkSession, task, tables) if context is None else context
+    states = (
+        sample_states(samples, fact_rows, task, context)
+        .withColumns({**prompt_parts(), "answer": heuristic_answer(task_purposes(task, tables))})
+        .withColumns(
+            {
+                "prompt": final_prompt(),
+                "evaluation": F.struct(*truth_match(answer_text(), F.col("truth"))),
+                "history": F.array().cast(HISTORY_TYPE),
+            }
+        )
     )
+    return judged(states, task.expected_evidence)
 
 
 def refine(
@@ -57,63 +59,61 @@ def refine(
 ) -> DataFrame:
     """Run up to ``rounds`` rounds over the samples that are still insufficient and still ask for something.
 
-    Each round is one job over the open samples; its result is written to the checkpoint folder, so plans stay short
-    and lost executors cost one round. The label comes from the first evidence, so the answer stays; the prompt, the
-    evaluation and the report are made anew.
+    What a request brings depends on the sample and the table it matches, not on the round. So the evidence that any
+    round could ask for is fetched once, for the samples that are open after the first judgement; each round is then
+    a projection: add what was asked for, make the prompt and the judgement anew. The label comes from the first
+    evidence, so the answer and its evaluation stay. The first states are written to the checkpoint folder because both the
+    fetch and the rounds start from them. Requests only name expected evidence, so rounds beyond that list are empty.
     """
     index = index or index_cutoffs(samples)
     state = cut_lineage(first_states(samples, task, tables, index, context))
-    is_open = ~F.col("report.prompt_sufficient") & (F.size("report.additional_evidence_requests") > 0)
-    for number in range(1, rounds + 1):
-        open_states = state.filter(is_open)
-        if open_states.isEmpty():
-            break
-        found = followup_evidence(
-            open_states.select("sample_id", F.col("report.additional_evidence_requests").alias("requests")),
-            open_states.select("sample_id", "entity_id", "cutoff"),
-            task,
-            tables,
-            list(dict.fromkeys(task.expected_evidence)),
-            index,
-        )
-        entry = F.struct("position", "evidence_type", "reason", "table_name", "row_count", "sample_rows")
-        per_sample = found.groupBy("sample_id").agg(
-            F.transform(F.array_sort(F.collect_list(entry)), lambda a: a.dropFields("position"))
-            .cast(ADDITION_TYPE)
-            .alias("added")
+    expected = list(dict.fromkeys(task.expected_evidence))
+    matches = matched_tables(samples.sparkSession, task, tables, expected)
+    open_samples = state.filter(OPEN).select("sample_id", "entity_id", "cutoff")
+    fetched = first_facts(open_samples, task, tables, sorted(set(matches.values())), index)
+    per_sample = fetched.groupBy("sample_id").agg(
+        F.expr("map_from_entries(collect_list(struct(table_name, struct(row_count, sample_rows))))").alias("fetched")
+    )
+    state = state.join(per_sample, "sample_id", "left")
+    pairs = ", ".join(f"{literal(item)}, {literal(table)}" for item, table in matches.items())
+    asked = f"slice(missing, 1, {fixed.MAX_REQUESTS})"
+    answer = f"""transform(transform({asked}, m -> named_struct('type', m, 'table', map({pairs})[m])),
+        x -> named_struct('evidence_type', x.type, 'reason', {_reason("x.type")}, 'table_name', x.table,
+            'row_count', fetched[x.table].row_count, 'sample_rows', fetched[x.table].sample_rows))"""
+    added = F.expr(f"CASE WHEN {OPEN} AND fetched IS NOT NULL THEN {answer} END").cast(ADDITION_TYPE)
+    kept = "filter(additional, a -> NOT array_contains(added.evidence_type, a.evidence_type))"
+    state = state.withColumn("initial_prompt", F.col("prompt"))
+    for number in range(1, min(rounds, -(-len(expected) // fixed.MAX_REQUESTS)) + 1):
+        entry = (
+            f"named_struct('round', {number}, 'evidence_types', added.evidence_type, "
+            "'score', evaluation.score, 'matched', evaluation.matched)"
         )
-        types = lambda c: F.transform(c, lambda a: a["evidence_type"])
-        kept = F.filter("additional", lambda a: ~F.array_contains(types("added"), a["evidence_type"]))
-        refined = (
-            open_states.join(per_sample, "sample_id")
-            .withColumn("additional", F.concat(kept, "added"))
-            .withColumn("prompt", final_prompt())
-            .withColumn("evaluation", F.struct(*truth_match(answer_text(), F.col("truth"))))
-            .withColumn("report", critic_report(task.expected_evidence))
-            .withColumn(
-                "history",
-                F.array_append(
-                    "history",
-                    F.struct(
-                        F.lit(number).alias("round"),
-                        types("added").alias("evidence_types"),
-                        F.col("evaluation.score").alias("score"),
-                        F.col("evaluation.matched").alias("matched"),
-                    ),
-                ),
+        state = (
+            state.withColumn("added", added)
+            .withColumns(
+                {
+                    "additional": F.expr(f"CASE WHEN added IS NULL THEN additional ELSE concat({kept}, added) END"),
+                    "history": F.expr(f"CASE WHEN added IS NULL THEN history ELSE array_append(history, {entry}) END"),
+                }
             )
-            .drop("added")
+            .withColumn("prompt", final_prompt())
         )
-        state = cut_lineage(state.filter(~is_open).unionByName(refined))
-    return state
+        state = judged(state, task.expected_evidence)
+    return state.drop("added", "fetched")
+
+
+def _reason(item: str) -> str:
+    """SQL for the reason of a request."""
+    before, after = fixed.CRITIC_REASON.split("{item}")
+    return f"concat({literal(before)}, {item}, {literal(after)})"
 
 
 def trajectories(states: DataFrame, task: Task, rounds: int = fixed.REFINEMENT_ROUNDS) -> DataFrame:
     """The record of every sample: inputs, plan, first and last state, history and why it stopped."""
     done = F.size("history")
     stop = (
-        F.when(F.col("report.prompt_sufficient"), "sufficient")
-        .when(F.size("report.additional_evidence_requests") == 0, "nothing_to_request")
+        F.when(F.col("in_prompt") | F.col("in_answer"), "sufficient")
+        .when(F.size("missing") == 0, "nothing_to_request")
         .when(done >= rounds, "max_rounds")
         .otherwise("no_new_evidence")
     )
@@ -122,19 +122,19 @@ def trajectories(states: DataFrame, task: Task, rounds: int = fixed.REFINEMENT_R
         "dataset_name",
         F.lit(task.name).alias("task_name"),
         "entity_id",
-        time_text(F.col("cutoff")).alias("cutoff_time"),
+        time_text("cutoff").alias("cutoff_time"),
         F.col("truth").alias("ground_truth"),
         F.struct(
             F.col("question"),
             F.col("database_summary"),
             F.col("relevant_tables").alias("memories"),
-            time_text(F.col("cutoff")).alias("cutoff_time"),
+            time_text("cutoff").alias("cutoff_time"),
             F.col("entity_id"),
             F.lit(task.name).alias("task_name"),
         ).alias("planner_input"),
         F.col("plan").alias("initial_plan"),
-        "initial_evaluation",
-        F.col("report").alias("critic_report"),
+        F.col("evaluation").alias("initial_evaluation"),
+        critic_report().alias("critic_report"),
         F.col("evaluation").alias("final_evaluation"),
         "initial_prompt",
         F.col("prompt").alias("final_prompt"),

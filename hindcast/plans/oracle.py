@@ -90,8 +90,8 @@ def _keys(tables=td.ALL_TABLES) -> str:
 
 def _numeric() -> str:
     return _union(
-        f"SELECT '{t}' AS table_name, '{c}' AS column_name, CAST(MIN(\"{c}\") AS VARCHAR) AS min_value, "
-        f'CAST(MAX("{c}") AS VARCHAR) AS max_value, round(AVG("{c}"), 4) AS avg_value, '
+        f"SELECT '{t}' AS table_name, '{c}' AS column_name, CAST(MIN(\"{c}\") + 0 AS VARCHAR) AS min_value, "
+        f'CAST(MAX("{c}") + 0 AS VARCHAR) AS max_value, round(AVG("{c}"), 4) AS avg_value, '
         f'round(STDDEV_SAMP("{c}"), 4) AS stddev_value FROM {t}'
         for t, _i, c, _k in _columns("numeric")
     )
@@ -160,7 +160,7 @@ def _column_profile() -> str:
     ranges = _union(
         f"SELECT '{t}' AS table_name, '{c}' AS column_name, "
         + (
-            f"CAST(MIN({c}) AS VARCHAR) AS min_value, CAST(MAX({c}) AS VARCHAR) AS max_value"
+            f"CAST(MIN({c}) + 0 AS VARCHAR) AS min_value, CAST(MAX({c}) + 0 AS VARCHAR) AS max_value"
             if k == "numeric"
             else f"{_time(f'MIN({c})')} AS min_value, {_time(f'MAX({c})')} AS max_value"
         )
@@ -470,16 +470,16 @@ def _next_states() -> str:
             ORDER BY query_ordinal) || '}}' AS facts,
         '[' || string_agg('{{"purpose":' || to_json(purpose) || ',"sql":' || to_json(sql) || ',"result_summary":' || {summarized} || '}}', ','
             ORDER BY query_ordinal) || ']' AS queries FROM {_next_facts()} GROUP BY sample_id)"""
-    sections = f"""'USER QUESTION:' || chr(10) || to_json({question})
+    head = f"""{_text(fixed.PROMPT_HEADER)} || 'USER QUESTION:' || chr(10) || to_json({question})
         || chr(10) || chr(10) || 'DATABASE SUMMARY:' || chr(10) || to_json({_text(summary)})
         || chr(10) || chr(10) || 'TASK:' || chr(10) || {plan}
         || chr(10) || chr(10) || 'RELEVANT TABLES:' || chr(10) || {relevant}
         || chr(10) || chr(10) || 'RELATIONSHIPS:' || chr(10) || {relations}
-        || chr(10) || chr(10) || 'FACTS:' || chr(10) || facts
-        || chr(10) || chr(10) || 'QUERIES RUN:' || chr(10) || queries"""
-    return f"""(SELECT *, contains(lower(prompt), lower(truth)) AND truth <> '' AS in_prompt,
+        || chr(10) || chr(10) || 'FACTS:' || chr(10) || facts"""
+    tail = "chr(10) || chr(10) || 'QUERIES RUN:' || chr(10) || queries"
+    return f"""(SELECT *, head || tail AS prompt, contains(lower(head || tail), lower(truth)) AND truth <> '' AS in_prompt,
             contains(lower(answer), lower(truth)) AND truth <> '' AS in_answer
-        FROM (SELECT s.*, coalesce(l.label, '') AS label, {_text(fixed.PROMPT_HEADER)} || {sections} AS prompt,
+        FROM (SELECT s.*, coalesce(l.label, '') AS label, {head} AS head, {tail} AS tail,
             CASE WHEN coalesce(l.label, '') = '' THEN '{fixed.ANSWER_UNCERTAIN}' ELSE l.label END
               || ' {' '.join(NEXT_PURPOSES)} ' || 'entity_id rank prediction confidence medium reasoning supporting_facts' AS answer
         FROM {_next_split()} s JOIN {facts} f USING (sample_id)
@@ -527,30 +527,39 @@ def _missing_evidence() -> str:
 
 
 def _refined() -> str:
-    """States with the number of rounds they go through.
-
-    What is added are rows of the aggregate on events, or of the first table, and the request's own words; a truth
-    that is an event type could only be found in the added item names and texts.
-    """
-    added = [_missing()[r * fixed.MAX_REQUESTS : (r + 1) * fixed.MAX_REQUESTS] for r in range(fixed.REFINEMENT_ROUNDS)]
-    added = [a for a in added if a]
+    """States with the number of rounds they go through and the prompt they end with."""
     names = sorted(td.ACTIVITY)
     first = names[0]
     matched = dict(zip(td.NEXT_EVENT.expected_evidence, _matches(td.NEXT_EVENT, names)))
     order = ", ".join(c for _t, _i, c, _k in _columns(tables=(first,)))
-    rows = f"""(SELECT string_agg(row_json, '') FROM (SELECT {_json(first)} AS row_json FROM {first}
-        QUALIFY row_number() OVER (ORDER BY {order}) <= {fixed.KEPT_ROWS}))"""
-    found = []
-    for items in added:
-        words = " ".join(items + [fixed.CRITIC_REASON.format(item=i) for i in items])
-        texts = [_text(words)] + [rows for i in items if matched[i] == first][:1]
-        found.append(f"contains(lower({' || '.join(texts)}), lower(truth)) AND truth <> ''")
-    sufficient = "in_prompt OR in_answer"
-    cases = f"CASE WHEN {sufficient} THEN 0 " + "".join(
-        f"WHEN {f} THEN {i + 1} " for i, f in enumerate(found)
-    ) + f"ELSE {len(added)} END"
-    solved = " OR ".join([f"({sufficient})"] + [f"({f})" for f in found])
-    return f"(SELECT *, CAST({cases} AS INTEGER) AS rounds, ({solved}) AS sufficient FROM {_next_states()})"
+    first_rows = f"""(SELECT string_agg(row_json, ',' ORDER BY rn) FROM (SELECT {_json(first)} AS row_json,
+        row_number() OVER (ORDER BY {order}) AS rn FROM {first} QUALIFY rn <= {fixed.KEPT_ROWS}))"""
+    first_count = f"(SELECT least(COUNT(*), {fixed.ENTITY_ROWS}) FROM {first})"
+
+    def entry(item: str) -> str:
+        rows, count = ("aggregate", "1") if matched[item] == "events" else (first_rows, first_count)
+        return (
+            f"to_json('{item}') || ':{{\"requested_by_critic\":true,\"reason\":' || to_json({_reason(item)}) "
+            f"|| ',\"rows\":[' || {rows} || '],\"row_count\":' || {count} || '}}'"
+        )
+
+    prompts = ["prompt"]
+    for r in range(fixed.REFINEMENT_ROUNDS):
+        items = _missing()[: (r + 1) * fixed.MAX_REQUESTS]
+        if _missing(r):
+            added = " || ',' || ".join(entry(i) for i in items)
+            prompts.append(
+                f"head || chr(10) || chr(10) || 'CRITIC-REQUESTED EVIDENCE:' || chr(10) || '{{' || {added} || '}}' || tail"
+            )
+    columns = ", ".join(f"{p} AS prompt{i}" for i, p in enumerate(prompts))
+    found = [f"(in_answer OR (contains(lower(prompt{i}), lower(truth)) AND truth <> ''))" for i in range(len(prompts))]
+    last = len(prompts) - 1
+    cases = "CASE " + "".join(f"WHEN {f} THEN {i} " for i, f in enumerate(found)) + f"ELSE {last} END"
+    ends = "CASE rounds " + "".join(f"WHEN {i} THEN prompt{i} " for i in range(len(prompts))) + "END"
+    aggregate = f"SELECT sample_id, kept AS aggregate FROM ({_agg_fact(_next_samples(), 0, 'events', 'ts')})"
+    return f"""(SELECT *, {ends} AS final_prompt FROM (SELECT *, CAST({cases} AS INTEGER) AS rounds,
+        ({' OR '.join(found)}) AS sufficient FROM (SELECT *, {columns}
+        FROM {_next_states()} JOIN ({aggregate}) USING (sample_id))))"""
 
 
 def _score(answer: str = "answer") -> str:
@@ -621,9 +630,9 @@ def _sampled() -> str:
     u = lambda purpose: _uniform(f"{q.SEED}:{purpose}", "episode_index")
     return f"""WITH rows AS ({rows}),
         numbered AS (SELECT *, row_number() OVER (PARTITION BY task_name ORDER BY md5(sample_id), sample_id) - 1 AS row_index FROM rows),
-        tasks AS (SELECT dataset_name, task_name, COUNT(*) AS n,
-            dense_rank() OVER (ORDER BY dataset_name) - 1 AS d,
-            row_number() OVER (PARTITION BY dataset_name ORDER BY task_name) - 1 AS t FROM rows GROUP BY ALL),
+        sizes AS (SELECT dataset_name, task_name, COUNT(*) AS n FROM rows GROUP BY dataset_name, task_name),
+        tasks AS (SELECT *, dense_rank() OVER (ORDER BY dataset_name) - 1 AS d,
+            row_number() OVER (PARTITION BY dataset_name ORDER BY task_name) - 1 AS t FROM sizes),
         draws AS (SELECT range AS episode_index, CAST(floor({u('dataset').replace('episode_index', 'range')} * 2) AS BIGINT) AS d,
             CAST(floor({u('task').replace('episode_index', 'range')} * 2) AS BIGINT) AS t
             FROM range((SELECT COUNT(*) FROM orders)))
@@ -668,6 +677,7 @@ def _loop_metrics() -> str:
         round(AVG(rounds), 4) AS mean_rounds, round(AVG({_planner_score()}), 4) AS mean_planner_responsibility,
         round(SUM({_added()}) / SUM({missing} + {_added()}), 4) AS request_fulfilment,
         round(AVG(2 + {_added()}), 4) AS queries_per_task,
+        round(AVG(len(list_filter(string_split_regex(final_prompt, '\\s+'), lambda w: w <> ''))), 4) AS mean_prompt_words,
         round(AVG(CAST(in_answer AS INTEGER)), 4) AS success_before, round(AVG(CAST(in_answer AS INTEGER)), 4) AS success_after,
         round(AVG(CAST(in_answer AND sufficient AS INTEGER)), 4) AS win_rate, 0.0::DOUBLE AS regression_rate,
         round(COUNT(*) / SUM(COUNT(*)) OVER (), 4) AS role_share FROM {_episodes()} GROUP BY target_role"""
@@ -696,9 +706,9 @@ def _pairs() -> str:
 def _memory_search() -> str:
     split = r"string_split_regex(lower(text), '[\t-\r\x1c-\x20\x{85}\p{Z}]+')"
     return f"""WITH words AS (SELECT item_id AS query_id, 'src' || (item_id % 20) AS scope,
-            list_filter(list_distinct({split}), w -> w <> '') AS words FROM benchmark),
+            list_filter(list_distinct({split}), lambda w: w <> '') AS words FROM benchmark),
         scored AS (SELECT query_id, doc_id AS entry_id, scope, lang AS memory_type,
-            CAST(len(list_filter(words, w -> contains(lower(lang || ' ' || text), w))) AS BIGINT) AS score
+            CAST(len(list_filter(words, lambda w: contains(lower(lang || ' ' || text), w))) AS BIGINT) AS score
             FROM words JOIN documents ON source = scope)
         SELECT * FROM (SELECT query_id,
             CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id) AS INTEGER) AS place,
@@ -708,8 +718,8 @@ def _memory_search() -> str:
 
 def _words() -> str:
     anywhere = "[" + ", ".join(_text(w) for w in fixed.FORBIDDEN_WORDS) + "]"
-    return f"""SELECT statement_id, array_to_string(list_filter({anywhere}, w -> contains(upper(sql), w)), '|') AS found_anywhere,
-        array_to_string(list_filter({anywhere}, w -> list_contains(string_split_regex(upper(sql), '[^A-Z0-9_]+'), w)), '|') AS found_as_words
+    return f"""SELECT statement_id, array_to_string(list_filter({anywhere}, lambda w: contains(upper(sql), w)), '|') AS found_anywhere,
+        array_to_string(list_filter({anywhere}, lambda w: list_contains(string_split_regex(upper(sql), '[^A-Z0-9_]+'), w)), '|') AS found_as_words
         FROM (SELECT sample_id || '#' || query_ordinal AS statement_id, sql FROM {_priority_facts(q.ALL_CUTOFFS)}
               UNION ALL SELECT conv_id || '#' || turn, 'select created_at from loads; drop ' || text FROM conversations)"""
 
@@ -783,8 +793,8 @@ def oracle() -> dict[str, str]:
         "evidence_packet": f"""SELECT sample_id, query_ordinal AS position, purpose, sql, row_count, 4 AS fact_count,
             '{PRIORITY_KEYS}' AS fact_keys FROM {_priority_facts(q.ALL_CUTOFFS)}""",
         "match_evidence_table": f"""SELECT sample_id, evidence_type, coalesce(
-            list_filter([{', '.join(_text(t) for t in retail)}], t -> len(list_filter(
-                string_split_regex(replace(lower(evidence_type), '_', ' '), '\\s+'), w -> contains(t, w))) > 0)[1],
+            list_filter([{', '.join(_text(t) for t in retail)}], lambda t: len(list_filter(
+                string_split_regex(replace(lower(evidence_type), '_', ' '), '\\s+'), lambda w: contains(t, w))) > 0)[1],
             '{retail[0]}') AS table_name FROM {_priority_samples()}
             CROSS JOIN (VALUES {', '.join(f"('{e}')" for e in td.PRIORITY.expected_evidence)}) e(evidence_type)""",
         "followup_evidence": _followups(),
@@ -840,6 +850,10 @@ def oracle() -> dict[str, str]:
         "sample_roles": f"SELECT o_orderkey, {_role('o_orderkey')} AS target_role FROM orders",
         "examples_planner": _planner_examples(),
         "examples_explorer": _explorer_examples(),
+        "examples_predictor": f"""SELECT sample_id, 3 AS turns, final_prompt, {_score()} AS ground_truth_score,
+            CASE WHEN label = '' THEN '{fixed.ANSWER_UNCERTAIN}' ELSE label END AS prediction FROM {_refined()}""",
+        "examples_critic": f"""SELECT sample_id, final_prompt, truth AS ground_truth, sufficient AS prompt_sufficient,
+            {_still_missing()} AS still_missing FROM {_refined()}""",
         "examples_written": f"""SELECT target_role, COUNT(*) AS examples, CAST(3 * COUNT(*) AS BIGINT) AS turns,
             MIN(sample_id) AS first_sample FROM {_episodes()} GROUP BY target_role""",
         "chat_text": f"""SELECT conv_id, turn // 1000 AS part, COUNT(*) AS turns,

@@ -50,15 +50,15 @@ def table_inventory(spark, folder):
 def split_reader(spark, folder):
     """The spend split written in each format and read back."""
     split = td.spend_split(_retail(spark, folder), ALL_CUTOFFS).select(
-        "entity_id", time_text(F.col("cutoff")).alias("cutoff_time"), F.col("spend").cast("string").alias("spend")
+        "entity_id", time_text("cutoff").alias("cutoff_time"), F.col("spend").cast("string").alias("spend")
     )
     path = scratch_path(spark, "split")
     split.write.json(f"{path}/split.jsonl")
     split.write.option("header", True).csv(f"{path}/split.csv")
-    # One array per task's file; every file is one document.
-    rows = F.array_sort(F.collect_list(F.struct(*split.columns)))
-    per_file = split.groupBy("cutoff_time", F.pmod(F.xxhash64("entity_id"), F.lit(64)).alias("part"))
-    per_file.agg(F.to_json(rows).alias("value")).select("value").write.text(f"{path}/split.json")
+    # A .json file is one array and read by one task, so the split becomes files of at most 10,000 rows per cutoff.
+    part = F.concat_ws("-", F.substring("cutoff_time", 1, 10), F.floor(F.col("entity_id").cast("long") / 10_000))
+    arrays = split.groupBy(part.alias("part")).agg(F.to_json(F.collect_list(F.struct(*split.columns))).alias("value"))
+    arrays.write.partitionBy("part").text(f"{path}/split.json")
     parts = [
         sources.read_split(spark, f"{path}/split.{form}").select(F.lit(form).alias("split_format"), *split.columns)
         for form in ("jsonl", "json", "csv")
@@ -143,7 +143,7 @@ def table_sample(spark, folder):
     parts = []
     for name, rows in (("orders", fixed.PROFILE_SAMPLE_ROWS), ("customer", fixed.INSPECT_SAMPLE_ROWS)):
         first = profile.table_sample(tables[name], rows)
-        texts = [value_text(F.col(f.name), f.dataType) for f in first.schema.fields]
+        texts = [value_text(f.name, f.dataType) for f in first.schema.fields]
         parts.append(first.select(F.lit(name).alias("table_name"), F.concat_ws("|", *texts).alias("row_text")))
     return reduce(DataFrame.unionByName, parts)
 
@@ -207,7 +207,7 @@ def evidence_agg_cutoff(spark, folder):
     both = reduce(DataFrame.unionByName, parts)
     return both.select(
         "sample_id", "table_name", "row_count",
-        time_text(F.col("min_time")).alias("min_time"), time_text(F.col("max_time")).alias("max_time"),
+        time_text("min_time").alias("min_time"), time_text("max_time").alias("max_time"),
     )
 
 
@@ -217,7 +217,7 @@ def evidence_entity_rows(spark, folder):
     found = evidence.entity_rows(samples, tables["orders"], "o_custkey", "o_orderdate")
     return found.select(
         "sample_id", F.col("rn").cast("int").alias("rn"), "o_orderkey", "o_orderstatus", "o_totalprice",
-        time_text(F.col("o_orderdate")).alias("o_orderdate"),
+        time_text("o_orderdate").alias("o_orderdate"),
     )
 
 
@@ -226,7 +226,7 @@ def evidence_entity_rows_recent(spark, folder):
     tables = _activity(spark, folder)
     samples = td.purchase_samples(tables, USER_CUTOFFS)
     found = evidence.entity_rows(samples, tables["events"], "user_id", "ts", order="recent")
-    return found.select("sample_id", F.col("rn").cast("int").alias("rn"), "event_id", time_text(F.col("ts")).alias("ts"))
+    return found.select("sample_id", F.col("rn").cast("int").alias("rn"), "event_id", time_text("ts").alias("ts"))
 
 
 def evidence_entity_static(spark, folder):
@@ -318,7 +318,7 @@ def masked_split(spark, folder):
     full = td.spend_split(_retail(spark, folder), ALL_CUTOFFS)
     masked, targets = evidence.masked_split(full, "spend")
     return masked.join(targets, ["entity_id", "cutoff"]).select(
-        "sample_id", "entity_id", time_text(F.col("cutoff")).alias("cutoff_time"), F.round("spend", 2).alias("spend")
+        "sample_id", "entity_id", time_text("cutoff").alias("cutoff_time"), F.round("spend", 2).alias("spend")
     )
 
 
@@ -336,8 +336,7 @@ def classify_question(spark, folder):
 
 def initial_plan(spark, folder):
     samples = td.priority_samples(_retail(spark, folder), ALL_CUTOFFS)
-    plans = evidence.initial_plan(samples, td.PRIORITY)
-    return plans.select(
+    return samples.select("sample_id", evidence.initial_plan(td.PRIORITY).alias("plan")).select(
         "sample_id",
         F.col("plan.prediction_type").alias("prediction_type"),
         F.col("plan.target.description").alias("target_description"),
@@ -388,12 +387,12 @@ def _priority_answers(spark, folder):
     split = td.priority_split(tables)
     rows = evidence.facts(split.select("sample_id", "entity_id", "cutoff"), td.PRIORITY, tables)
     labels = predict.inferred_label(rows, td.PRIORITY.priority_tables)
-    joined = split.join(labels, "sample_id", "left")
-    return split, predict.heuristic_answer(joined, critic.task_purposes(td.PRIORITY, tables))
+    answer = predict.heuristic_answer(critic.task_purposes(td.PRIORITY, tables))
+    return split.join(labels, "sample_id", "left").withColumn("answer", answer)
 
 
 def heuristic_answer(spark, folder):
-    _split, answers = _priority_answers(spark, folder)
+    answers = _priority_answers(spark, folder)
     first = F.col("answer.ranked_entities")[0]
     return answers.select(
         "sample_id",
@@ -427,9 +426,7 @@ def regression_mae(spark, folder):
 
 
 def ground_truth_match(spark, folder):
-    split, answers = _priority_answers(spark, folder)
-    joined = split.select("sample_id", "truth").join(answers, "sample_id")
-    return joined.select("sample_id", "truth", *predict.truth_match(predict.answer_text(), F.col("truth")))
+    return _priority_answers(spark, folder).select("sample_id", "truth", *predict.truth_match(predict.answer_text(), F.col("truth")))
 
 
 def _spend_audit(tables):
@@ -463,7 +460,7 @@ def customer_spend(spark, folder):
         F.sum(F.when(F.col("fact_key") == fixed.FACT_ENTITY, F.col("row_count")).otherwise(0)).alias("entity_rows"),
         F.flatten(F.collect_list("times")).alias("times"),
     )
-    cutoff = time_text(F.col("cutoff"))
+    cutoff = time_text("cutoff")
     scored = predict.with_error(_spend_predictions(tables)).join(per_sample, "sample_id")
     return scored.select(
         "sample_id", "entity_id", cutoff.alias("cutoff_time"), "queries", "entity_rows",
@@ -482,7 +479,7 @@ def _first_states(spark, folder):
     tables = _activity(spark, folder)
     samples = td.next_event_split(tables)
     index = index_cutoffs(samples)
-    return refine.first_states(samples, td.NEXT_EVENT, tables, index)
+    return refine.first_states(samples, td.NEXT_EVENT, tables, index).withColumn("report", critic.critic_report())
 
 
 def available_sections(spark, folder):
@@ -600,11 +597,25 @@ def examples_explorer(spark, folder):
 
 
 def examples_predictor(spark, folder):
-    return training.predictor_examples(_episodes(spark, folder))
+    examples = training.predictor_examples(_episodes(spark, folder))
+    answer = F.from_json(F.col("messages")[2]["content"], "ranked_entities array<struct<prediction:string>>")
+    return examples.select(
+        "sample_id", F.size("messages").alias("turns"), F.col("messages")[1]["content"].alias("final_prompt"),
+        F.col("metadata.ground_truth_score").alias("ground_truth_score"),
+        answer["ranked_entities"][0]["prediction"].alias("prediction"),
+    )
 
 
 def examples_critic(spark, folder):
-    return training.critic_examples(_episodes(spark, folder))
+    examples = training.critic_examples(_episodes(spark, folder))
+    user = F.from_json(F.col("messages")[1]["content"], "final_prompt string, ground_truth string")
+    report = F.from_json(
+        F.col("messages")[2]["content"], "prompt_sufficient boolean, missing_information array<string>"
+    )
+    return examples.select("sample_id", user.alias("u"), report.alias("r")).select(
+        "sample_id", F.col("u.final_prompt").alias("final_prompt"), F.col("u.ground_truth").alias("ground_truth"),
+        F.col("r.prompt_sufficient").alias("prompt_sufficient"), _joined("r.missing_information").alias("still_missing"),
+    )
 
 
 def examples_written(spark, folder):
@@ -690,7 +701,7 @@ def memory_upsert(spark, folder):
 def log_page(spark, folder):
     events = _activity(spark, folder)["events"]
     page = memory.log_page(events, "ts", "event_id", limit=50, offset=100)
-    return page.select("event_id", time_text(F.col("ts")).alias("ts"), "user_id", "event_type")
+    return page.select("event_id", time_text("ts").alias("ts"), "user_id", "event_type")
 
 
 def cascade_delete(spark, folder):

@@ -111,7 +111,7 @@ def _samples(entities: DataFrame, key: str, task: Task, cutoffs: tuple[datetime,
         entities.select(entity.alias("entity_id"), F.explode(_cutoffs(cutoffs)).alias("cutoff"))
         .withColumn("task_name", F.lit(task.name))
         .withColumn("dataset_name", F.lit(task.dataset))
-        .withColumn("sample_id", sample_id(task.name, F.col("entity_id"), F.col("cutoff")))
+        .withColumn("sample_id", sample_id(task.name, F.col("entity_id"), "cutoff"))
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hindcast.functions.columns import kind_of
+from hindcast.functions.scale import small_relation
 
 
 def open_tables(spark: SparkSession, folder: str, names: list[str] | tuple[str, ...]) -> dict[str, DataFrame]:
@@ -30,8 +31,8 @@ def column_inventory(spark: SparkSession, schemas: dict[str, T.StructType]) -> D
         for table, schema in schemas.items()
         for i, f in enumerate(schema.fields)
     ]
-    return spark.createDataFrame(
-        rows, "table_name string, ordinal int, column_name string, data_type string, kind string"
+    return small_relation(
+        spark, rows, "table_name string, ordinal int, column_name string, data_type string, kind string"
     )
 
 
@@ -92,7 +93,8 @@ def materialize(
 
 def table_metadata(tables: dict[str, DataFrame], keys: dict[str, TableKeys]) -> DataFrame:
     spark = next(iter(tables.values())).sparkSession
-    declared = spark.createDataFrame(
+    declared = small_relation(
+        spark,
         [
             (n, k.primary_key, k.time_column, ",".join(f"{c}={t}" for c, t in sorted(k.foreign_keys.items())))
             for n, k in ((n, keys.get(n, TableKeys())) for n in tables)
