@@ -16,6 +16,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a table that comes in fewer pieces than there are cores.
+
+    For work that costs much per row. A large table has more pieces than cores and is left as it lies.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: the cluster's checkpoint folder, or one of our own on a local master."""
     conf = spark.sparkContext.getConf()

@@ -206,7 +206,7 @@ def query_sql(role: TableRole, fact: str, cap: int) -> str:
     return literal(f"SELECT * FROM {table} LIMIT {fixed.ENTITY_ROWS}")
 
 
-def _shown(schema: T.StructType) -> str:
+def row_json_sql(schema: T.StructType) -> str:
     """SQL for a row as one JSON object; times as text, nulls kept."""
     fields = []
     for f in schema.fields:
@@ -236,7 +236,7 @@ def _as_evidence(df: DataFrame, schema: T.StructType, ordinal: int, label_column
         "sample_id",
         f"{ordinal} AS query_ordinal",
         "CAST(rn AS INT) AS rn",
-        f"{_shown(schema)} AS row_json",
+        f"{row_json_sql(schema)} AS row_json",
         f"{_times(schema)} AS times",
         f"CAST({label} AS STRING) AS label",
     )

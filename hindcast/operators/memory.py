@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from hindcast import fixed_values as fixed
 from hindcast.functions.columns import words_of
-from hindcast.functions.scale import broadcast_if_small
+from hindcast.functions.scale import BROADCAST_ROWS, broadcast_if_small, spread
+
+
+# Query words that every executor can hold.
+BROADCAST_WORDS = 500_000
 
 
 def search_memory(
@@ -25,31 +29,23 @@ def search_memory(
     scored or are summaries.
 
     An entry that scored nothing can be among the ten best only if it is among the ten first of its scope, so only
-    those are ranked besides the ones that scored. Queries travel to the entries when a count shows them to be few.
+    those are ranked besides the ones that scored.
     """
-    asked = broadcast_if_small(queries.select("query_id", "scope", words_of(F.col("query")).alias("words")))
+    asked = queries.select("query_id", "scope", words_of(F.col("query")).alias("words"))
+    total = asked.agg(F.coalesce(F.sum(F.size("words")), F.lit(0)), F.count("*")).first()
+    few = total[0] + total[1] <= BROADCAST_WORDS
+    # Asked scopes are at most as many as queries, and each has at most ``results`` leading entries.
+    held = F.broadcast if few and total[1] * results <= BROADCAST_ROWS else (lambda df: df)
     first = Window.partitionBy("scope").orderBy("entry_id")
     leading = (
         entries.select("scope", "entry_id")
+        .join(held(asked.select("scope").distinct()), "scope", "left_semi")
         .withColumn("place", F.row_number().over(first))
         .filter(F.col("place") <= results)
         .select("scope", "entry_id")
     )
-    haystack = F.lower(F.concat_ws(" ", "memory_type", "content"))
-    score = F.size(F.filter("words", lambda w: F.contains(F.col("haystack"), w)))
-    scored = (
-        entries.select("entry_id", "scope", "memory_type", haystack.alias("haystack"))
-        .join(asked, "scope")
-        .select("query_id", "entry_id", "scope", "memory_type", score.cast("long").alias("score"))
-    )
-    hits = scored.filter(F.col("score") > 0)
-    silent = (
-        entries.join(leading, ["scope", "entry_id"], "left_semi")
-        .select("entry_id", "scope", "memory_type", haystack.alias("haystack"))
-        .join(asked, "scope")
-        .select("query_id", "entry_id", "scope", "memory_type", score.cast("long").alias("score"))
-        .filter(F.col("score") == 0)
-    )
+    hits = _scored(spread(entries), asked, few).filter(F.col("score") > 0)
+    silent = _scored(entries.join(held(leading), ["scope", "entry_id"], "left_semi"), asked, few).filter(F.col("score") == 0)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("entry_id"))
     return (
         hits.unionByName(silent)
@@ -59,6 +55,30 @@ def search_memory(
     )
 
 
+def _scored(entries: DataFrame, asked: DataFrame, few: bool) -> DataFrame:
+    """(query_id, entry_id, scope, memory_type, score) of every query against every entry of its scope.
+
+    When all query words together are few, each scope's queries travel to its entries as one row, and a word that
+    several queries share is looked for once per entry. Otherwise queries and entries meet by scope.
+    """
+    texts = entries.select(
+        "entry_id", "scope", "memory_type", F.lower(F.concat_ws(" ", "memory_type", "content")).alias("haystack")
+    )
+    kept = ["query_id", "entry_id", "scope", "memory_type"]
+    if not few:
+        score = F.expr("CAST(size(filter(words, w -> contains(haystack, w))) AS BIGINT)")
+        return texts.join(asked, "scope").select(*kept, score.alias("score"))
+    per_scope = asked.groupBy("scope").agg(
+        F.collect_list(F.struct("query_id", "words")).alias("asked"),
+        F.array_distinct(F.flatten(F.collect_list("words"))).alias("vocabulary"),
+    )
+    present = F.expr("filter(vocabulary, w -> contains(haystack, w))").alias("present")
+    found = texts.join(F.broadcast(per_scope), "scope").select("entry_id", "scope", "memory_type", "asked", present)
+    # One row per query only after the words were looked for; the generator keeps the lookup out of the loop.
+    each = found.select("entry_id", "scope", "memory_type", "present", F.inline("asked"))
+    return each.select(*kept, F.expr("CAST(size(array_intersect(words, present)) AS BIGINT)").alias("score"))
+
+
 def replace_memory(stored: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:
     """Stored entries with the new ones put in: per key only the newest version stays.
 

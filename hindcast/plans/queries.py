@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hindcast import fixed_values as fixed
 from hindcast.functions.columns import time_text, value_text
 from hindcast.functions.scale import scratch_path
-from hindcast.operators import critic, evidence, memory, predict, profile, refine, training
+from hindcast.operators import critic, evidence, memory, predict, profile, refine, requests, training
 from hindcast.operators.cutoffs import index_cutoffs
 from hindcast.plans import testdata as td
 from hindcast.sources import sinks, tables as sources
@@ -347,6 +347,22 @@ def initial_plan(spark, folder):
     )
 
 
+def predict_requests(spark, folder):
+    """Every user turn as a question about the retail tables, answered from what inspecting them shows."""
+    turns = _activity(spark, folder)["conversations"].filter(F.col("role") == "user")
+    questions = turns.select("conv_id", "turn", F.col("text").alias("question"))
+    tables = _retail(spark, folder)
+    looked_at = requests.inspections({n: tables[n] for n in ("customer", "nation", "orders")})
+    return requests.answer_requests(questions, looked_at).select(
+        "conv_id", "turn", "prediction_type", "entity_name", "target_name", "summary", "confidence",
+        _joined("limitations").alias("limitations"), F.explode("queries_run").alias("q"),
+    ).select(
+        "conv_id", "turn", "prediction_type", "entity_name", "target_name", "summary", "confidence", "limitations",
+        F.col("q.position").alias("position"), F.col("q.purpose").alias("purpose"), F.col("q.sql").alias("sql"),
+        F.col("q.row_count").alias("row_count"), F.array_join("q.sample_rows", "|").alias("sample_rows"),
+    )
+
+
 # --- prediction ----------------------------------------------------------------------------------------------------
 
 
@@ -756,7 +772,7 @@ QUERIES = {
         profile_refresh, column_profile,
         date_range, evidence_agg_cutoff, evidence_entity_rows, evidence_entity_rows_recent, evidence_entity_static,
         evidence_fallback_sample, result_summary, evidence_packet, match_evidence_table, followup_evidence,
-        render_question, masked_split, classify_question, initial_plan,
+        render_question, masked_split, classify_question, initial_plan, predict_requests,
         train_mean_baseline, infer_label, heuristic_answer, coerce_prediction, regression_mae, ground_truth_match,
         leakage_audit, evaluation_summary, customer_spend,
         available_sections, final_prompt, critic_judgement, missing_evidence, refine_rounds, trajectories,

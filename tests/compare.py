@@ -64,7 +64,8 @@ if __name__ == "__main__":
 
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     wanted = sys.argv[2:] or list(QUERIES)
-    spark = session("local[8]", 8, **{"spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
+    extra = dict(kv.split("=", 1) for kv in os.environ.get("COMPARE_CONF", "").split() if kv)
+    spark = session("local[8]", 8, **{"spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false", **extra})
     spark.sparkContext.setLogLevel("ERROR")
     con, statements = open_duckdb(folder), oracle()
     failed = 0

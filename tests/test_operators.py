@@ -218,8 +218,10 @@ def brute_search(entries, queries, results, summary_type):
     return sorted(out)
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_memory_search(spark, seed):
+@pytest.mark.parametrize("bound", [500_000, 0])
+@pytest.mark.parametrize("seed", range(3))
+def test_memory_search(spark, monkeypatch, seed, bound):
+    monkeypatch.setattr(memory, "BROADCAST_WORDS", bound)
     rng = random.Random(seed)
     vocabulary = ["pay", "payment", "Order", "risk", "É", "zz"]
     kinds = ["database_summary", "note"]
