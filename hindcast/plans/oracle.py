@@ -140,6 +140,20 @@ def _support() -> str:
     )
 
 
+def _table_samples() -> str:
+    parts = []
+    for table, rows in [(t, fixed.PROFILE_SAMPLE_ROWS) for t in td.ALL_TABLES] + [("customer", fixed.INSPECT_SAMPLE_ROWS)]:
+        columns = _columns(tables=(table,))
+        forms = {"numeric": lambda c: f"{c} + 0", "temporal": _time, "categorical": lambda c: c}
+        texts = ", ".join(forms[k](c) for _t, _i, c, k in columns if k in forms)
+        order = ", ".join(c for _t, _i, c, _k in columns)
+        parts.append(
+            f"(SELECT '{table}' AS table_name, CAST({rows} AS INTEGER) AS cap, concat_ws('|', {texts}) AS row_text "
+            f"FROM {table} ORDER BY {order} LIMIT {rows})"
+        )
+    return _union(parts)
+
+
 def _summary() -> str:
     schema = f"""SELECT 'schema' AS form, {_text(fixed.SUMMARY_SCHEMA_HEADER)} || chr(10) ||
         string_agg(line, chr(10) ORDER BY table_name) AS summary FROM (
@@ -789,10 +803,9 @@ def oracle() -> dict[str, str]:
         "infer_relationships": f"SELECT *, '_id' AS id_rule FROM ({_relationships(False)}) UNION ALL "
         f"SELECT *, 'key' AS id_rule FROM ({_relationships(True)})",
         "relationship_support": _support(),
-        "table_sample": f"""(SELECT 'orders' AS table_name, concat_ws('|', o_orderkey, o_custkey, o_orderstatus, o_totalprice,
-            {_time('o_orderdate')}, o_orderpriority) AS row_text FROM orders ORDER BY {ORDERS_BY} LIMIT {fixed.PROFILE_SAMPLE_ROWS})
-            UNION ALL (SELECT 'customer', concat_ws('|', c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment)
-            FROM customer ORDER BY c_custkey, c_name LIMIT {fixed.INSPECT_SAMPLE_ROWS})""",
+        "table_sample": _table_samples(),
+        "fingerprint_stale": f"""SELECT table_name, row_count, table_name = 'orders' AS is_stale,
+            CAST(64 AS INTEGER) AS digits, TRUE AS has_row_hash FROM ({_counts()})""",
         "database_summary": _summary(),
         "profile_refresh": f"""SELECT CASE WHEN table_name IN ({', '.join(_text(t) for t in retail)}) THEN 'retail' ELSE 'activity' END
             AS database_id, table_name, ordinal, column_name, row_count FROM ({_nulls_distinct()})""",

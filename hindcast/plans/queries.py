@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hindcast import fixed_values as fixed
-from hindcast.functions.columns import time_text, value_text
+from hindcast.functions.columns import kind_of, time_text, value_text
 from hindcast.functions.scale import scratch_path
 from hindcast.operators import critic, evidence, memory, predict, profile, refine, requests, training
 from hindcast.operators.cutoffs import index_cutoffs
@@ -80,7 +80,12 @@ def fingerprint_stale(spark, folder):
     stored = current.withColumn(
         "fingerprint", F.when(F.col("table_name") == "orders", "older").otherwise(F.col("fingerprint"))
     )
-    return sources.stale_tables(current, stored).join(sources.content_fingerprints(tables), "table_name")
+    found = sources.stale_tables(current, stored).join(sources.content_fingerprints(tables), "table_name")
+    # The fingerprints themselves hold file times and Spark's row hash, which no other engine has.
+    return found.select(
+        "table_name", "row_count", "is_stale", F.length("fingerprint").alias("digits"),
+        (F.col("row_hash_sum") != "").alias("has_row_hash"),
+    )
 
 
 def fingerprint_rows(spark, folder):
@@ -138,13 +143,15 @@ def relationship_support(spark, folder):
 
 
 def table_sample(spark, folder):
-    """First rows of two tables as text, five and twenty of them."""
+    """The first rows of every table as text, five of each and twenty of one; nested columns are left out of the text."""
     tables = _all(spark, folder)
     parts = []
-    for name, rows in (("orders", fixed.PROFILE_SAMPLE_ROWS), ("customer", fixed.INSPECT_SAMPLE_ROWS)):
+    for name, rows in [(n, fixed.PROFILE_SAMPLE_ROWS) for n in tables] + [("customer", fixed.INSPECT_SAMPLE_ROWS)]:
         first = profile.table_sample(tables[name], rows)
-        texts = [value_text(f.name, f.dataType) for f in first.schema.fields]
-        parts.append(first.select(F.lit(name).alias("table_name"), F.concat_ws("|", *texts).alias("row_text")))
+        texts = [value_text(f.name, f.dataType) for f in first.schema.fields if kind_of(f.dataType) != "generic"]
+        parts.append(
+            first.select(F.lit(name).alias("table_name"), F.lit(rows).alias("cap"), F.concat_ws("|", *texts).alias("row_text"))
+        )
     return reduce(DataFrame.unionByName, parts)
 
 
