@@ -230,10 +230,11 @@ def _times(schema: T.StructType) -> str:
 ROW_COLUMNS = ["sample_id", "query_ordinal", "rn", "row_json", "times", "label"]
 
 
-def _as_evidence(df: DataFrame, schema: T.StructType, ordinal: int, label_column: str) -> DataFrame:
+def _shown_rows(df: DataFrame, schema: T.StructType, ordinal: int, label_column: str, *keys: str) -> DataFrame:
+    """Rows (keys, rn, columns) in the common form: their JSON, the times in them and their label."""
     label = quoted(label_column) if label_column in schema.names else "NULL"
     return df.selectExpr(
-        "sample_id",
+        *keys,
         f"{ordinal} AS query_ordinal",
         "CAST(rn AS INT) AS rn",
         f"{row_json_sql(schema)} AS row_json",
@@ -242,78 +243,95 @@ def _as_evidence(df: DataFrame, schema: T.StructType, ordinal: int, label_column
     )
 
 
-def evidence_rows(
+def _summarized(kept: int) -> list[Column]:
+    """Aggregates over the rows of one query: their number, the first ones, and the first label among those."""
+    return [
+        F.expr("count(rn)").alias("row_count"),
+        F.expr(f"array_sort(collect_list(struct(rn, row_json, times)) FILTER (WHERE rn <= {kept}))").alias("kept"),
+        F.expr(f"min(struct(rn, label)) FILTER (WHERE rn <= {kept} AND label IS NOT NULL).label").alias("label"),
+    ]
+
+
+def _union(parts: list[DataFrame]) -> DataFrame | None:
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def facts(
     samples: DataFrame,
     task: Task,
     tables: dict[str, DataFrame],
     index: CutoffIndex | None = None,
     queries: list[tuple[int, TableRole, str, str]] | None = None,
+    kept: int = fixed.KEPT_ROWS,
+    cap: int = fixed.EVIDENCE_ROW_CAP,
 ) -> DataFrame:
-    """All evidence rows of all samples: (sample_id, query_ordinal, rn, row_json, times, label)."""
+    """One row per sample and query: purpose, SQL text, capped row count and the first rows.
+
+    Only rows of the entity are shuffled to their sample (at most ten each), together with a placeholder per (sample,
+    query) so that queries that found nothing are listed too. What samples share is joined on afterwards: aggregates
+    by cutoff, and the ten-row samples of tables without time and entity.
+    """
     index = index or index_cutoffs(samples)
     if queries is None:
         queries = query_list(relevant_tables(task, {n: df.schema for n, df in tables.items()}))
-    parts = []
+    own, by_cutoff, shared = [], [], []
     for ordinal, role, fact, _purpose in queries:
         table = tables[role.table]
         if fact == fixed.FACT_AGGREGATE:
-            one = aggregate_up_to_cutoff(samples, table, role.time_column, index).withColumn("rn", F.lit(1))
+            one = aggregate_per_cutoff(table, role.time_column, index).withColumn("rn", F.lit(1))
             schema = one.select("row_count", "min_time", "max_time").schema
-            parts.append(_as_evidence(one, schema, ordinal, task.label_column))
+            shown = _shown_rows(one, schema, ordinal, task.label_column, "cutoff")
+            by_cutoff.append(
+                shown.selectExpr(
+                    "cutoff", "query_ordinal", "1L AS row_count", "array(struct(rn, row_json, times)) AS kept", "label"
+                )
+            )
         elif fact == fixed.FACT_ENTITY:
             found = entity_rows(samples, table, role.key_column, role.time_column, index)
-            parts.append(_as_evidence(found, table.schema, ordinal, task.label_column))
+            own.append(_shown_rows(found, table.schema, ordinal, task.label_column, "sample_id"))
         else:
-            # At most ten rows in all, the same for every sample; joined on a constant to reach each of them.
-            first = fallback_rows(table).withColumn("sample_id", F.lit(""))
-            shown = _as_evidence(first, table.schema, ordinal, task.label_column).drop("sample_id")
-            asked = samples.select("sample_id", F.lit(ordinal).alias("query_ordinal"))
-            parts.append(asked.join(F.broadcast(shown), "query_ordinal").select(*ROW_COLUMNS))
-    return reduce(DataFrame.unionByName, parts)
-
+            shown = _shown_rows(fallback_rows(table), table.schema, ordinal, task.label_column)
+            shared.append(shown.groupBy("query_ordinal").agg(*_summarized(kept)))
 
-def facts(
-    samples: DataFrame,
-    task: Task,
-    tables: dict[str, DataFrame],
-    index: CutoffIndex | None = None,
-    queries: list[tuple[int, TableRole, str, str]] | None = None,
-    kept: int = fixed.KEPT_ROWS,
-    cap: int = fixed.EVIDENCE_ROW_CAP,
-) -> DataFrame:
-    """One row per sample and query: purpose, SQL text, capped row count and the first rows.
-
-    A placeholder row per (sample, query) travels with the evidence rows, so queries that found nothing are listed
-    without another join. Groups hold at most ten evidence rows.
-    """
-    if queries is None:
-        queries = query_list(relevant_tables(task, {n: df.schema for n, df in tables.items()}))
-    rows = evidence_rows(samples, task, tables, index, queries)
     ordinals = ", ".join(str(q[0]) for q in queries)
     placeholders = samples.selectExpr(
         "sample_id", f"explode(array({ordinals})) AS query_ordinal", "CAST(NULL AS INT) AS rn",
         "CAST(NULL AS STRING) AS row_json", "CAST(NULL AS ARRAY<STRING>) AS times", "CAST(NULL AS STRING) AS label",
         "entity_id", "cutoff",
     )
-    together = rows.selectExpr(
-        *ROW_COLUMNS, "CAST(NULL AS STRING) AS entity_id", "CAST(NULL AS TIMESTAMP_NTZ) AS cutoff"
-    ).unionByName(placeholders)
-    grouped = (
-        together.repartition("sample_id")
+    rows = [
+        df.selectExpr(*ROW_COLUMNS, "CAST(NULL AS STRING) AS entity_id", "CAST(NULL AS TIMESTAMP_NTZ) AS cutoff")
+        for df in own
+    ]
+    found = (
+        _union([placeholders, *rows])
+        .repartition("sample_id")
         .groupBy("sample_id", "query_ordinal")
-        .agg(
-            F.expr("max(entity_id)").alias("entity_id"),
-            F.expr("max(cutoff)").alias("cutoff"),
-            F.expr(f"least(count(rn), {cap})").alias("row_count"),
-            F.expr(f"array_sort(collect_list(struct(rn, row_json, times)) FILTER (WHERE rn <= {kept}))").alias("kept"),
-            F.expr(f"min(struct(rn, label)) FILTER (WHERE rn <= {kept} AND label IS NOT NULL).label").alias("label"),
-        )
+        .agg(F.expr("max(entity_id)").alias("entity_id"), F.expr("max(cutoff)").alias("cutoff"), *_summarized(kept))
     )
+    sources = ["o"]
+    found = found.alias("o")
+    if by_cutoff:
+        per_cutoff = index.broadcast(_union(by_cutoff)).alias("c")
+        same = F.expr("o.query_ordinal = c.query_ordinal AND o.cutoff = c.cutoff")
+        found, sources = found.join(per_cutoff, same, "left"), ["c", *sources]
+    if shared:
+        # At most ten rows per query.
+        few = F.broadcast(_union(shared)).alias("s")
+        found, sources = found.join(few, F.expr("o.query_ordinal = s.query_ordinal"), "left"), ["s", *sources]
+
+    def best(column: str) -> str:
+        return f"coalesce({', '.join(f'{source}.{column}' for source in sources)})"
+
+    merged = found.selectExpr(
+        "o.sample_id", "o.query_ordinal", "o.entity_id", "o.cutoff",
+        f"least({best('row_count')}, {cap}) AS row_count", f"{best('kept')} AS kept", f"{best('label')} AS label",
+    )
 
     def per_query(value) -> str:
         return "CASE query_ordinal " + " ".join(f"WHEN {q[0]} THEN {value(q)}" for q in queries) + " END"
 
-    return grouped.selectExpr(
+    return merged.selectExpr(
         "sample_id",
         "query_ordinal",
         f"{per_query(lambda q: literal(q[1].table))} AS table_name",
