@@ -13,7 +13,6 @@ from hindcast.plans.queries import QUERIES  # noqa: E402
 from hindcast.session import session  # noqa: E402
 
 HEADLINE = [
-    "customer_spend",
     "evidence_agg_cutoff",
     "evidence_entity_rows",
     "evidence_entity_rows_recent",
@@ -22,6 +21,7 @@ HEADLINE = [
     "evidence_packet",
     "followup_evidence",
     "leakage_audit",
+    "customer_spend",
     "evaluation_summary",
     "regression_mae",
     "ground_truth_match",
