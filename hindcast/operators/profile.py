@@ -25,7 +25,7 @@ from hindcast.fixed_values import (
     SUMMARY_SCHEMA_HEADER,
     TOP_VALUES,
 )
-from hindcast.functions.columns import filled, kind_of, literal, quoted, value_sql, value_text
+from hindcast.functions.columns import filled, kind_of, literal, quoted, value_sql
 from hindcast.functions.scale import BROADCAST_ROWS, cut_lineage, small_relation
 from hindcast.sources.tables import column_inventory, row_counts
 from hindcast.tasks import IdRule
