@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,42 +16,41 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a table that comes in fewer pieces than there are cores.
-
-    For work that costs much per row. A large table has more pieces than cores and is left as it lies.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores else df
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: the cluster's checkpoint folder, or one of our own on a local master."""
+    """The folder all executors share: ``spark.checkpoint.dir``, else a folder beside the warehouse tables."""
     conf = spark.sparkContext.getConf()
     folder = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current.rsplit("/", 1)[0]
-    if not spark.sparkContext.master.startswith("local"):
+    folder = folder or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir", None)
+    if not folder:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="hindcast-")
+    return f"{folder.rstrip('/')}/hindcast-{spark.sparkContext.applicationId}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from there; survives the loss of executors."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for a table an operator has to write; all paths of a run have one root."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder for a table an operator has to write."""
-    import uuid
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete what this run wrote to the shared folder. Call it when no result of the run is read any more."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
 
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and continue from there.
+
+    The rows survive lost executors, are computed once however often they are read, and their size is known to the
+    planner, which then broadcasts what is small and shuffles what is not.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Continue from a written copy of ``df``."""
+    return written(df, "cut")
 
 
 def small_relation(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

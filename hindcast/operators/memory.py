@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hindcast import fixed_values as fixed
 from hindcast.functions.columns import words_of
-from hindcast.functions.scale import BROADCAST_ROWS, broadcast_if_small, spread
+from hindcast.functions.scale import BROADCAST_ROWS, broadcast_if_small
 
 
 # Query words that every executor can hold.
@@ -44,7 +44,7 @@ def search_memory(
         .filter(F.col("place") <= results)
         .select("scope", "entry_id")
     )
-    hits = _scored(spread(entries), asked, few).filter(F.col("score") > 0)
+    hits = _scored(entries, asked, few).filter(F.col("score") > 0)
     silent = _scored(entries.join(held(leading), ["scope", "entry_id"], "left_semi"), asked, few).filter(F.col("score") == 0)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("entry_id"))
     return (
