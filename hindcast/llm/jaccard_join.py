@@ -10,8 +10,8 @@ size a partner may have.
 
 Work on an index entry with several documents is done in blocks of bounded size. A parity sketch bounds the symmetric
 difference of two sets from below, so most pairs are ruled out without their sets. Of the pairs left an entry passes on
-only a spanning forest; those are verified on the full sets and give first components. An entry of which a forest
-pair failed is read again, and all its pairs between different components are verified. So no link between components is
+only a spanning forest; those are verified on the full sets and give first components. An entry that holds a pair that
+failed is read again, and all its pairs between different components are verified. So no link between components is
 lost, and copies do not become all their pairs. Documents with equal sets are one node throughout.
 
 Token counts cover all documents: tasks sort and count their own tokens, ship them in ranges, and ranges are counted. The
@@ -247,7 +247,7 @@ def indexed(docs: DataFrame, key: str, text: str, similarity: Similarity, names:
 
 # --- pairs within an index entry -----------------------------------------------------------------------------------
 
-_PAIRS = "a long, b long, entry long, block_a int, block_b int"
+_PAIRS = "a long, b long"
 
 
 def _possible(part: dict, similarity: Similarity, crossing: bool) -> np.ndarray:
@@ -320,35 +320,33 @@ def _pairs_of(similarity: Similarity, every: bool):
             for a, b in zip(i.tolist(), j.tolist()):
                 # a pair that shares a smaller entry is passed on there
                 if not any(e < entry for e in rows[a][5] & rows[b][5]):
-                    yield int(nodes[a]), int(nodes[b]), entry, block_a, block_b
+                    yield int(nodes[a]), int(nodes[b])
         else:
             for a, b in _forest(distance, nodes):
-                yield int(nodes[a]), int(nodes[b]), entry, block_a, block_b
+                yield int(nodes[a]), int(nodes[b])
 
     def run(batches):
-        current, rows, out = None, [], []
+        current, rows, out = None, [], set()
         columns = ["entry", "block_a", "block_b", "node", "n", "sketch", "block", *(["root", "firsts"] if every else [])]
 
         def flush():
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(),) * 3 + (pa.int32(),) * 2)],
-                    ["a", "b", "entry", "block_a", "block_b"],
-                )
-                out.clear()
+            a, b = zip(*out)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in columns)):
                 if row[:3] != current:
                     if len(rows) > 1:
-                        out.extend(emit(current, rows))
+                        out.update(emit(current, rows))
                         if len(out) > 50_000:
-                            yield from flush()
+                            yield flush()
                     current, rows = row[:3], []
                 rows.append((*row[3:8], frozenset(row[8])) if every else row[3:])
         if len(rows) > 1:
-            out.extend(emit(current, rows))
-        yield from flush()
+            out.update(emit(current, rows))
+        if out:
+            yield flush()
 
     return run
 
@@ -363,6 +361,21 @@ def _blocked(members: DataFrame, sizes: DataFrame) -> DataFrame:
     return rows.withColumns({"block_a": F.least("block", "_other"), "block_b": F.greatest("block", "_other")}).drop("_other", "blocks")
 
 
+def _near(pairs: DataFrame, shapes: DataFrame, similarity: Similarity) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow a link."""
+    def possible(n_a: pa.Array, n_b: pa.Array, sketch_a: pa.Array, sketch_b: pa.Array) -> pa.Array:
+        a, b = n_a.to_numpy(), n_b.to_numpy()
+        left, right = (np.frombuffer(b"".join(s.to_pylist()), np.uint64).reshape(len(a), SKETCH_BYTES // 8) for s in (sketch_a, sketch_b))
+        distance = np.bitwise_count(left ^ right).sum(axis=1).astype(np.int64)
+        times, over = similarity.times, similarity.over
+        return pa.array(((over + times) * distance <= (over - times) * (a + b)) & (over * np.minimum(a, b) >= times * np.maximum(a, b)))
+
+    both = pairs
+    for side in ("a", "b"):
+        both = both.join(shapes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
+    return both.where(F.arrow_udf(possible, "boolean")("n_a", "n_b", "s_a", "s_b")).select("a", "b")
+
+
 def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition("entry", "block_a", "block_b").sortWithinPartitions("entry", "block_a", "block_b", "node")
 
@@ -412,32 +425,38 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity:
     filled = rows.where("n > 0")
     keyed = written(filled.groupBy("node").agg(F.min("key").alias("key")), "nodes")
 
+    # An entry of two documents is a pair by itself; only entries of more are gathered.
     entries = filled.select("node", F.explode("entries").alias("entry"))
-    shared = entries.groupBy("entry").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).where("_a <> _b").select("entry")
-    members = written(entries.join(shared, "entry", "left_semi").distinct(), "members")
-    sizes = written(members.groupBy("entry").agg(F.count(F.lit(1)).alias("members")), "entries")
-    taking_part = members.select("node").distinct()
+    met = entries.groupBy("entry").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("rows"))
+    met = written(met.where("a <> b"), "entries")
+    large = written(met.where("rows > 2").select("entry"), "large")
+    members = written(entries.join(_few(large), "entry", "left_semi").distinct(), "members")
+    sizes = written(members.groupBy("entry").agg(F.count(F.lit(1)).alias("members")), "sizes")
+    twos = met.where("rows = 2").select("a", "b").distinct()
+
+    taking_part = members.select("node").union(twos.select("a")).union(twos.select("b")).distinct()
     shapes = filled.join(taking_part, "node", "left_semi").groupBy("node").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"))
     shapes = written(shapes, "sketches")
 
     blocked = _blocked(members.join(shapes, "node"), sizes)
-    forest = written(_dealt(blocked).mapInArrow(_pairs_of(similarity, every=False), _PAIRS), "forest")
-    tested = _verified(forest.select("a", "b").distinct(), docs, keyed, key, text, similarity)
+    forest = _dealt(blocked).mapInArrow(_pairs_of(similarity, every=False), _PAIRS).distinct()
+    pairs = written(forest.union(_near(twos, shapes, similarity)).distinct(), "pairs")
+    tested = _verified(pairs, docs, keyed, key, text, similarity)
     links = tested.where("linked").select("a", "b")
 
-    failed = forest.join(tested.where("NOT linked"), ["a", "b"]).select("entry", "block_a", "block_b").distinct()
+    # entries that hold both documents of a failed pair; more than those it came from, which does no harm
+    first = members.select("entry", F.col("node").alias("a")).join(tested.where("NOT linked").select("a", "b"), "a")
+    failed = members.select("entry", F.col("node").alias("b")).join(first, ["entry", "b"]).select("entry").distinct()
     failed = written(failed, "failed")
     if not failed.isEmpty():
-        roots = components(links)
-        again = members.join(failed.select("entry").distinct(), "entry", "left_semi")
+        again = members.join(failed, "entry", "left_semi")
         firsts = members.join(again.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
             F.slice(F.sort_array(F.collect_set("entry")), 1, _FIRST_SIGNATURES).alias("firsts")
         )
-        known = written(
-            shapes.join(firsts, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "known"
-        )
-        blocked = _blocked(again.join(known, "node"), sizes).join(failed, ["entry", "block_a", "block_b"], "left_semi")
-        crossing = _dealt(blocked).mapInArrow(_pairs_of(similarity, every=True), _PAIRS).select("a", "b").distinct()
+        roots = components(links)
+        known = shapes.join(firsts, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        blocked = _blocked(again.join(written(known, "known"), "node"), sizes)
+        crossing = _dealt(blocked).mapInArrow(_pairs_of(similarity, every=True), _PAIRS).distinct()
         crossing = written(crossing.join(tested, ["a", "b"], "left_anti"), "crossing")
         if not crossing.isEmpty():
             more = _verified(crossing, docs, keyed, key, text, similarity)
