@@ -24,6 +24,7 @@ component; repeated rows count as documents; a null key is never a component's n
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -40,13 +41,15 @@ from hindcast.llm.components import components
 CLASSES = ((16, 2), (1024, 3))
 MAX_FREQUENT = 1 << 20
 # Documents of an index entry that are compared in one go.
-BLOCK = 512
+BLOCK = 256
 SKETCH_BYTES = 64
 # Token counting: ranges of the hash space (256 or more, so that what is left of 48 bits fits in 5 bytes), and the tokens a task
 # gathers before it ships them.
 RANGES = 1024
-GATHER = 2_000_000
+GATHER = 500_000
 _FIRST_SIGNATURES = 24
+# Rows of a batch that goes to Python.
+BATCH_ROWS = 1000
 # Documents up to which keys go to all tasks for a semi or anti join.
 BROADCAST_KEYS = 1_000_000
 
@@ -250,30 +253,34 @@ def indexed(docs: DataFrame, key: str, text: str, similarity: Similarity, names:
 _PAIRS = "a long, b long"
 
 
+_FAR = 1 << 20
+
+
 def _possible(part: dict, similarity: Similarity, crossing: bool) -> np.ndarray:
-    """Distances of sketches where the sizes and the sketches allow a link, else a large number."""
-    sketch, n = part["sketch"], part["n"]
-    distance = np.empty((len(n), len(n)), np.int32)
-    for i in range(len(n)):
-        distance[i] = np.bitwise_count(sketch[i] ^ sketch).sum(axis=1)
+    """Distances of sketches where the sizes and the sketches allow a link, else ``_FAR``."""
+    sketch, n, block = part["sketch"], part["n"], part["block"]
     times, over = similarity.times, similarity.over
-    sums, small, large = n[:, None] + n[None, :], np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
-    allowed = ((over + times) * distance.astype(np.int64) <= (over - times) * sums) & (over * small >= times * large)
-    allowed &= ~np.eye(len(n), dtype=bool)
-    if crossing:  # two different blocks: pairs within one belong to another entry part
-        allowed &= part["block"][:, None] != part["block"][None, :]
-    return np.where(allowed, distance, 1 << 20)
+    out = np.full((len(n), len(n)), _FAR, np.int32)
+    for i in range(len(n)):
+        distance = np.bitwise_count(sketch[i] ^ sketch).sum(axis=1).astype(np.int64)
+        allowed = (over + times) * distance <= (over - times) * (n + n[i])
+        allowed &= over * np.minimum(n, n[i]) >= times * np.maximum(n, n[i])
+        if crossing:  # two different blocks: pairs within one belong to another part of the entry
+            allowed &= block != block[i]
+        allowed[i] = False
+        out[i, allowed] = distance[allowed]
+    return out
 
 
 def _forest(distance: np.ndarray, nodes: np.ndarray) -> list[tuple[int, int]]:
     """Nearest pairs that span what is connected: every tree takes its nearest link to another until none is left."""
     label, out = np.arange(len(nodes)), set()
     while True:
-        apart = np.where(label[:, None] != label[None, :], distance, 1 << 20)
+        apart = np.where(label[:, None] != label[None, :], distance, _FAR)
         best = apart.argmin(axis=1)  # nodes ascend, so of equally near ones the smallest
         reach = apart[np.arange(len(nodes)), best]
         found = {}
-        for i in np.flatnonzero(reach < 1 << 20):
+        for i in np.flatnonzero(reach < _FAR):
             j = int(best[i])
             rank = (int(reach[i]), *sorted((int(nodes[i]), int(nodes[j]))))
             if int(label[i]) not in found or rank < found[int(label[i])][0]:
@@ -316,7 +323,7 @@ def _pairs_of(similarity: Similarity, every: bool):
         distance = _possible(part, similarity, block_a != block_b)
         if every:
             label = np.array([r[4] for r in rows], np.int64)
-            i, j = np.nonzero(np.triu((distance < 1 << 20) & (label[:, None] != label[None, :])))
+            i, j = np.nonzero(np.triu((distance < _FAR) & (label[:, None] != label[None, :])))
             for a, b in zip(i.tolist(), j.tolist()):
                 # a pair that shares a smaller entry is passed on there
                 if not any(e < entry for e in rows[a][5] & rows[b][5]):
@@ -383,6 +390,18 @@ def _dealt(rows: DataFrame) -> DataFrame:
 # --- the join ------------------------------------------------------------------------------------------------------
 
 
+@contextmanager
+def _small_batches(spark, rows: int = BATCH_ROWS):
+    """Texts go to Python in batches of few rows while this lasts, so that a batch of long texts stays small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _few(df: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
@@ -420,6 +439,11 @@ def _numbers(size: int):
 
 def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: Similarity = Similarity()) -> DataFrame:
     """Per document: key, n_shingles, node (number of its set) and component_id, the smallest key it is linked to."""
+    with _small_batches(docs.sparkSession):
+        return _joined(docs, key, text, similarity)
+
+
+def _joined(docs: DataFrame, key: str, text: str, similarity: Similarity) -> DataFrame:
     names, classes = frequent_tokens(docs, text, similarity.words, tuple(b for b, _ in CLASSES), MAX_FREQUENT)
     rows = written(indexed(docs, key, text, similarity, names, classes), "indexed")
     filled = rows.where("n > 0")
