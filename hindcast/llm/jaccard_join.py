@@ -462,8 +462,7 @@ def _joined(docs: DataFrame, key: str, text: str, similarity: Similarity) -> Dat
     shapes = filled.join(taking_part, "node", "left_semi").groupBy("node").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"))
     shapes = written(shapes, "sketches")
 
-    blocked = _blocked(members.join(shapes, "node"), sizes)
-    forest = _dealt(blocked).mapInArrow(_pairs_of(similarity, every=False), _PAIRS).distinct()
+    forest = _dealt(_blocked(members, sizes).join(shapes, "node")).mapInArrow(_pairs_of(similarity, every=False), _PAIRS).distinct()
     pairs = written(forest.union(_near(twos, shapes, similarity)).distinct(), "pairs")
     tested = _verified(pairs, docs, keyed, key, text, similarity)
     links = tested.where("linked").select("a", "b")
@@ -473,13 +472,12 @@ def _joined(docs: DataFrame, key: str, text: str, similarity: Similarity) -> Dat
     failed = members.select("entry", F.col("node").alias("b")).join(first, ["entry", "b"]).select("entry").distinct()
     failed = written(failed, "failed")
     if not failed.isEmpty():
-        again = members.join(failed, "entry", "left_semi")
-        firsts = members.join(again.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
-            F.slice(F.sort_array(F.collect_set("entry")), 1, _FIRST_SIGNATURES).alias("firsts")
-        )
-        roots = components(links)
-        known = shapes.join(firsts, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        blocked = _blocked(again.join(written(known, "known"), "node"), sizes)
+        # whoever could link to anyone in an entry is in its forest, so the others need not be read again
+        open_nodes = written(tested.select(F.col("a").alias("node")).union(tested.select("b")).distinct(), "open")
+        listed = written(members.join(open_nodes, "node", "left_semi"), "listed")
+        firsts = listed.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("entry")), 1, _FIRST_SIGNATURES).alias("firsts"))
+        known = shapes.join(firsts, "node").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        blocked = _blocked(listed.join(failed, "entry", "left_semi"), sizes).join(written(known, "known"), "node")
         crossing = _dealt(blocked).mapInArrow(_pairs_of(similarity, every=True), _PAIRS).distinct()
         crossing = written(crossing.join(tested, ["a", "b"], "left_anti"), "crossing")
         if not crossing.isEmpty():
