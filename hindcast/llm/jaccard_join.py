@@ -438,7 +438,10 @@ def _numbers(size: int):
 
 
 def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: Similarity = Similarity()) -> DataFrame:
-    """Per document: key, n_shingles, node (number of its set) and component_id, the smallest key it is linked to."""
+    """Per document: key, n_shingles, node (number of its set), root (number of its component) and component_id.
+
+    ``component_id`` is the smallest key that the document is linked to.
+    """
     with _small_batches(docs.sparkSession):
         return _joined(docs, key, text, similarity)
 
@@ -489,10 +492,10 @@ def _joined(docs: DataFrame, key: str, text: str, similarity: Similarity) -> Dat
 def _named(rows: DataFrame, keyed: DataFrame, roots: DataFrame) -> DataFrame:
     rooted = keyed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("key").alias("component_id"))
-    names = written(rooted.join(smallest, "root").select("node", "component_id"), "names")
+    names = written(rooted.join(smallest, "root").select("node", "root", "component_id"), "names")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key"))
     return rows.select("key", "n", "node").join(names, "node", "left").select(
-        "key", F.col("n").alias("n_shingles"), "node", component.alias("component_id")
+        "key", F.col("n").alias("n_shingles"), "node", F.coalesce("root", "node").alias("root"), component.alias("component_id")
     )
 
 
@@ -503,7 +506,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     Rows that share a key are few as a rule and settled apart: equal rows become one, and of several texts of one
     component under one key the smallest stays.
     """
-    found = written(joined(docs, key, text, similarity).select("key", "n_shingles", "node", "component_id"), "joined")
+    found = written(joined(docs, key, text, similarity).select("key", "node", "root", "component_id"), "joined")
     shared = written(found.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key"), "shared_keys")
     dropped = written(found.where(~F.col("key").eqNullSafe(F.col("component_id"))).select("key").union(shared).distinct(), "dropped")
     kept = docs.join(_few(dropped), docs[key].eqNullSafe(dropped["key"]), "left_anti")
@@ -512,10 +515,10 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     same = docs.join(_few(shared), docs[key].eqNullSafe(shared["key"]), "left_semi").distinct()
     number = F.arrow_udf(_numbers(similarity.words), "long")(F.col(text))
     same = same.withColumn("_node", number)
-    names = found.select(F.col("key").alias("_key"), F.col("node").alias("_own"), F.col("component_id").alias("_component")).distinct()
+    names = found.select(F.col("key").alias("_key"), F.col("node").alias("_own"), F.col("root").alias("_root"), F.col("component_id").alias("_component")).distinct()
     same = same.join(names, same[key].eqNullSafe(F.col("_key")) & (F.col("_node") == F.col("_own")))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    one = same.where(F.col("_component").eqNullSafe(F.col("_key"))).groupBy("_key", "_component").agg(
+    one = same.where(F.col("_component").eqNullSafe(F.col("_key"))).groupBy("_key", "_root").agg(
         F.min(F.struct(F.col(text).alias("_first"), *columns)).alias("_row")
     )
     return kept.unionByName(one.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns]))

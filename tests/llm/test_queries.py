@@ -1,0 +1,51 @@
+"""Registered queries against their SQL, held-out accuracy, and the pipeline stage by stage."""
+
+import os
+
+import corpus_pipeline
+import pytest
+from compare import compare, open_duckdb
+
+from hindcast.llm import decontaminate, jaccard_join
+from hindcast.llm.oracle import ORACLE
+from hindcast.llm.queries import QUERIES
+
+FOLDER, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+
+pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query(spark, name):
+    assert compare(spark, open_duckdb(FOLDER), name, QUERIES[name], ORACLE[name], FOLDER)[0] is None
+
+
+def test_toxicity_on_held_out_documents(spark):
+    labels = spark.read.parquet(f"{LARGER}/labels.parquet").select("doc_id", "toxic")
+    rows = QUERIES["op3_toxicity"](spark, LARGER).join(labels, "doc_id").where("held_out").collect()
+    wrong = [r for r in rows if r["predicted"] != r["toxic"]]
+    assert len(wrong) <= 0.05 * len(rows) and not [r for r in wrong if r["predicted"]]
+
+
+def test_language_of_held_out_documents(spark):
+    labels = spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id", "lang")
+    rows = QUERIES["op9_language_gru"](spark, LARGER).join(labels, "doc_id").where("held_out").collect()
+    assert sum(r["lang_pred"] == r["lang"] for r in rows) >= 0.97 * len(rows)
+
+
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    columns, seen = docs.columns, [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        after = corpus_pipeline.written(stage(spark, seen[-1], FOLDER), name)
+        assert name == "sharding" or after.columns == columns
+        seen.append(after)
+    ids = [[r["doc_id"] for r in df.select("doc_id").collect()] for df in seen]
+    start, clean, single, pure, mixed, placed = ids
+    assert set(clean) <= set(start) and set(single) <= set(clean) and set(pure) <= set(single) and set(mixed) <= set(pure)
+    assert sorted(placed) == sorted(mixed)
+    classes = jaccard_join.joined(seen[1], similarity=jaccard_join.Similarity(5, 80, 100)).collect()
+    assert sorted(single) == sorted({r["component_id"] for r in classes})
+    benchmark = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
+    hit = {r["doc_id"] for r in decontaminate.judged(seen[2], benchmark).where("contaminated").collect()}
+    assert sorted(pure) == sorted(set(single) - hit)
