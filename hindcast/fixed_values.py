@@ -78,13 +78,9 @@ RISK_WORDS = ["likely", "risk"]
 QUESTION_NEEDS = ["activity recency", "payments", "support signals"]
 
 # Answer to a free question.
-REQUEST_SUMMARY = "A heuristic prediction was generated from the profiled DuckDB evidence."
-REQUEST_NARRATIVE = (
-    "The current implementation gathered safe exploratory evidence and produced a "
-    "grounded heuristic summary. Entity-level ranking is ready for extension with "
-    "LLM-guided query plans or domain-specific scoring rules."
-)
-REQUEST_ASSUMPTION = "Heuristic mode is active because live LLM calls are disabled by default."
+REQUEST_SUMMARY = "The prediction follows by rule from the profiled tables."
+REQUEST_NARRATIVE = "Rows of the first tables were read and summed up. No entity was ranked."
+REQUEST_ASSUMPTION = "The answer is made by rules; no model was asked."
 REQUEST_NO_QUERIES = "No successful exploratory queries were available."
 
 # Evaluation reasons.

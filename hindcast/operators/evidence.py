@@ -129,9 +129,9 @@ def entity_rows(
         "sample_id", "cutoff", F.col("entity_id").try_cast(schema[key_column].dataType).alias("_key")
     ).filter(F.col("_key").isNotNull())
     rows = table.filter(key.isNotNull())
-    if index.few_entities:
-        known = F.broadcast(asked.select(F.col("_key").alias(key_column)).distinct())
-        rows = rows.join(known, key_column, "left_semi").select(*[quoted(c) for c in columns])
+    known = asked.select(F.col("_key").alias(key_column)).distinct()
+    known = F.broadcast(known) if index.few_entities else known
+    rows = rows.join(known, key_column, "left_semi").select(*[quoted(c) for c in columns])
 
     if time_column is None or index.count <= 1:
         # One interval: the limit per entity is already the answer.
@@ -446,9 +446,14 @@ def question_text(template: str | None, row_columns: list[str], task: Task, stri
 
 
 def masked_split(full: DataFrame, target_column: str, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """The split without its target, and the targets by (entity_id, cutoff) to score with afterwards."""
+    """The split without its target, and the targets by (entity_id, cutoff, repeat_no) to score with afterwards.
+
+    ``repeat_no`` numbers the rows of one entity and cutoff in the order of their contents, so each meets its own target.
+    """
     rows = full.orderBy("entity_id", "cutoff").limit(limit) if limit is not None else full
-    return rows.drop(target_column), rows.select("entity_id", "cutoff", target_column)
+    repeats = Window.partitionBy("entity_id", "cutoff").orderBy(*[F.col(f"`{c}`") for c in sorted(full.columns)])
+    rows = rows.withColumn("repeat_no", F.row_number().over(repeats))
+    return rows.drop(target_column), rows.select("entity_id", "cutoff", "repeat_no", target_column)
 
 
 def classify_question(question: Column) -> list[Column]:

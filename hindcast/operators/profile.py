@@ -240,7 +240,7 @@ def relationships(inventory: DataFrame, id_rule: IdRule = IdRule()) -> DataFrame
 
 
 def relationship_support(tables: dict[str, DataFrame], id_rule: IdRule = IdRule()) -> DataFrame:
-    """For every related pair, the share of distinct values on the left that also occur on the right.
+    """For every related pair, the share of distinct values on the left that also occur on the right, 0 if none does.
 
     One shuffle on (id name, value) serves all pairs: the tables that hold a value meet there, at most one row each.
     """
@@ -273,13 +273,17 @@ def relationship_support(tables: dict[str, DataFrame], id_rule: IdRule = IdRule(
         .agg(F.sum("values").alias("shared"))
     )
     totals = left.groupBy("id_name", "l").agg(F.sum("values").alias("total"))
-    return pairs.join(totals, ["id_name", "l"]).select(
+    shares = pairs.join(totals, ["id_name", "l"]).select(
         F.col("l.table_name").alias("from_table"),
         F.col("l.column_name").alias("from_column"),
         F.col("r.table_name").alias("to_table"),
         F.col("r.column_name").alias("to_column"),
         (F.col("shared") / F.col("total")).alias("support"),
     )
+    spark = next(iter(tables.values())).sparkSession
+    names = ["from_table", "from_column", "to_table", "to_column"]
+    related = relationships(column_inventory(spark, {n: df.schema for n, df in tables.items()}), id_rule).select(*names)
+    return related.join(shares, names, "left").select(*names, F.coalesce("support", F.lit(0.0)).alias("support"))
 
 
 def table_sample(df: DataFrame, rows: int = PROFILE_SAMPLE_ROWS) -> DataFrame:

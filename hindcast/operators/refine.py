@@ -63,7 +63,7 @@ def refine(
     round could ask for is fetched once, for the samples that are open after the first judgement; each round is then
     a projection: add what was asked for, make the prompt and the judgement anew. The label comes from the first
     evidence, so the answer and its evaluation stay. The first states are written to the checkpoint folder because both the
-    fetch and the rounds start from them. Requests only name expected evidence, so rounds beyond that list are empty.
+    fetch and the rounds start from them. A round is empty for a sample that is settled or has nothing left to ask for.
     """
     index = index or index_cutoffs(samples)
     state = cut_lineage(first_states(samples, task, tables, index, context))
@@ -76,14 +76,14 @@ def refine(
     )
     state = state.join(per_sample, "sample_id", "left")
     pairs = ", ".join(f"{literal(item)}, {literal(table)}" for item, table in matches.items())
-    asked = f"slice(missing, 1, {fixed.MAX_REQUESTS})"
+    asked = f"array_distinct(slice(missing, 1, {fixed.MAX_REQUESTS}))"  # evidence is kept once per type
     answer = f"""transform(transform({asked}, m -> named_struct('type', m, 'table', map({pairs})[m])),
         x -> named_struct('evidence_type', x.type, 'reason', {_reason("x.type")}, 'table_name', x.table,
             'row_count', fetched[x.table].row_count, 'sample_rows', fetched[x.table].sample_rows))"""
     added = F.expr(f"CASE WHEN {OPEN} AND fetched IS NOT NULL THEN {answer} END").cast(ADDITION_TYPE)
     kept = "filter(additional, a -> NOT array_contains(added.evidence_type, a.evidence_type))"
     state = state.withColumn("initial_prompt", F.col("prompt"))
-    for number in range(1, min(rounds, -(-len(expected) // fixed.MAX_REQUESTS)) + 1):
+    for number in range(1, rounds + 1):
         entry = (
             f"named_struct('round', {number}, 'evidence_types', added.evidence_type, "
             "'score', evaluation.score, 'matched', evaluation.matched)"

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from hindcast import fixed_values as fixed
 from hindcast.functions.columns import hash_uniform
 
-TURNS_PER_PART = 1000
 
 
 # --- T1 / T2 sampling ----------------------------------------------------------------------------------------------
@@ -177,17 +176,12 @@ def examples_by_role(episodes: DataFrame) -> dict[str, DataFrame]:
     return {role: build(episodes.filter(F.col("target_role") == role)) for role, build in EXAMPLES.items()}
 
 
-def chat_text(turns: DataFrame, key: str, turn: str, role: str, text: str, per_part: int = TURNS_PER_PART) -> DataFrame:
-    """``ROLE: content`` of all turns in order, joined by blank lines.
-
-    A conversation longer than ``per_part`` turns comes as numbered parts; joined by blank lines they are its text.
-    So no task holds more than one part, whatever the length.
-    """
+def chat_text(turns: DataFrame, key: str, turn: str, role: str, text: str) -> DataFrame:
+    """One row per conversation: ``ROLE: content`` of all turns in order, joined by blank lines."""
     line = F.concat(F.upper(role), F.lit(": "), F.col(text))
-    part = F.floor(F.col(turn) / per_part).cast("long")
     lines = F.array_sort(F.collect_list(F.struct(F.col(turn).alias("turn"), line.alias("line"))))
     return (
-        turns.groupBy(key, part.alias("part"))
+        turns.groupBy(key)
         .agg(F.count("*").alias("turns"), F.array_join(F.transform(lines, lambda x: x["line"]), "\n\n").alias("text"))
     )
 

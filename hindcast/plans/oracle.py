@@ -128,15 +128,21 @@ def _relationships(star: bool, tables=td.ALL_TABLES) -> str:
 
 
 def _support() -> str:
-    ids = [(t, c) for t, _i, c, _k in _columns(tables=td.RETAIL) if c.endswith("key")]
+    columns = [(t, c) for t, _i, c, _k in _columns()]
+    plain = [(t, c, c) for t, c in columns if c.endswith("_id")]
+    star = [(t, c, c.split("_", 1)[1]) for t, c in columns if "_" in c and c.split("_", 1)[1].endswith("key")]
     pairs = [
-        (t, c, t2, c2) for t, c in ids for t2, c2 in ids if t != t2 and c.split("_", 1)[1] == c2.split("_", 1)[1]
+        (rule, t, c, t2, c2)
+        for rule, ids in (("_id", plain), ("key", star))
+        for t, c, name in ids
+        for t2, c2, name2 in ids
+        if t != t2 and name == name2
     ]
     return _union(
-        f"SELECT '{t}' AS from_table, '{c}' AS from_column, '{t2}' AS to_table, '{c2}' AS to_column, "
+        f"SELECT '{rule}' AS id_rule, '{t}' AS from_table, '{c}' AS from_column, '{t2}' AS to_table, '{c2}' AS to_column, "
         f"round(COUNT(*) FILTER (WHERE v IN (SELECT {c2} FROM {t2})) / COUNT(*), 6) AS support "
-        f"FROM (SELECT DISTINCT {c} AS v FROM {t} WHERE {c} IS NOT NULL) HAVING support > 0"
-        for t, c, t2, c2 in pairs
+        f"FROM (SELECT DISTINCT {c} AS v FROM {t} WHERE {c} IS NOT NULL)"
+        for rule, t, c, t2, c2 in pairs
     )
 
 
@@ -901,7 +907,7 @@ def oracle() -> dict[str, str]:
             {_still_missing()} AS still_missing FROM {_refined()}""",
         "examples_written": f"""SELECT target_role, COUNT(*) AS examples, CAST(3 * COUNT(*) AS BIGINT) AS turns,
             MIN(sample_id) AS first_sample FROM {_episodes()} GROUP BY target_role""",
-        "chat_text": f"""SELECT conv_id, turn // 1000 AS part, COUNT(*) AS turns,
+        "chat_text": f"""SELECT conv_id, COUNT(*) AS turns,
             string_agg(upper(role) || ': ' || text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY ALL""",
         "run_state": _run_state(),
         "loop_metrics": _loop_metrics(),

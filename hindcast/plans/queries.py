@@ -138,8 +138,11 @@ def infer_relationships(spark, folder):
 
 
 def relationship_support(spark, folder):
-    support = profile.relationship_support(_retail(spark, folder), STAR_RULE)
-    return support.withColumn("support", F.round("support", 6))
+    """All tables, by both id rules."""
+    tables = _all(spark, folder)
+    plain = profile.relationship_support(tables).withColumn("id_rule", F.lit("_id"))
+    star = profile.relationship_support(tables, STAR_RULE).withColumn("id_rule", F.lit("key"))
+    return plain.unionByName(star).withColumn("support", F.round("support", 6))
 
 
 def table_sample(spark, folder):
@@ -324,7 +327,7 @@ def render_question(spark, folder):
 def masked_split(spark, folder):
     full = td.spend_split(_retail(spark, folder), ALL_CUTOFFS)
     masked, targets = evidence.masked_split(full, "spend")
-    return masked.join(targets, ["entity_id", "cutoff"]).select(
+    return masked.join(targets, ["entity_id", "cutoff", "repeat_no"]).select(
         "sample_id", "entity_id", time_text("cutoff").alias("cutoff_time"), F.round("spend", 2).alias("spend")
     )
 

@@ -15,6 +15,12 @@ SETTINGS = {
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
+# Without a number of shuffle partitions: start from many, and let them be joined to pieces of this size as the data allow.
+LARGE_INPUT = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+}
+
 
 def session(master: str | None = None, shuffle_partitions: int | None = None, **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName("hindcast")
@@ -22,6 +28,7 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
         builder = builder.master(master)
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
-    if shuffle_partitions:
-        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    sizes = LARGE_INPUT if shuffle_partitions is None else {"spark.sql.shuffle.partitions": str(shuffle_partitions)}
+    for key, value in sizes.items():
+        builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
@@ -50,9 +51,12 @@ class Task:
 
 
 def expected_evidence_of(task_name: str, entity_table: str, entity_column: str) -> tuple[str, ...]:
-    """Words of the task name, then the entity table and column, without repeats."""
-    words = task_name.replace("-", "_").split("_")
-    return tuple(dict.fromkeys([*words, entity_table, entity_column]))
+    """The words of the task name, then table and column; only the first mention of each counts."""
+    named: list[str] = []
+    for item in (*re.split("[-_]", task_name), entity_table, entity_column):
+        if item not in named:
+            named.append(item)
+    return tuple(named)
 
 
 def candidate_tables_of(

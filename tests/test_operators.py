@@ -98,7 +98,15 @@ def test_matched_table(spark):
 def test_masked_split(spark):
     full = spark.createDataFrame([("1", "a", 2.0), ("2", "a", 3.0)], "entity_id string, cutoff string, y double")
     masked, targets = evidence.masked_split(full, "y", limit=1)
-    assert masked.columns == ["entity_id", "cutoff"] and [tuple(r) for r in targets.collect()] == [("1", "a", 2.0)]
+    assert masked.columns == ["entity_id", "cutoff", "repeat_no"]
+    assert [tuple(r) for r in targets.collect()] == [("1", "a", 1, 2.0)]
+
+
+def test_repeated_samples_meet_their_own_targets(spark):
+    full = spark.createDataFrame([("1", "a", 2.0), ("1", "a", 3.0)], "entity_id string, cutoff string, y double")
+    masked, targets = evidence.masked_split(full, "y")
+    scored = masked.join(targets, ["entity_id", "cutoff", "repeat_no"]).collect()
+    assert sorted(r["y"] for r in scored) == [2.0, 3.0]
 
 
 # --- critic --------------------------------------------------------------------------------------------------------
@@ -183,13 +191,11 @@ def test_examples(trajectory):
     assert rows["final_predictor"]["messages"][1]["content"] == "prompt"
 
 
-def test_long_conversation_comes_in_parts(spark):
-    turns = spark.range(25).selectExpr("1 AS conv", "id AS turn", "'user' AS role", "concat('t', id) AS text").repartition(4)
+def test_long_conversation_is_one_text(spark):
+    turns = spark.range(2500).selectExpr("1 AS conv", "id AS turn", "'user' AS role", "concat('t', id) AS text").repartition(4)
     whole = training.chat_text(turns, "conv", "turn", "role", "text").collect()
-    parts = training.chat_text(turns, "conv", "turn", "role", "text", per_part=10).orderBy("part").collect()
-    assert len(whole) == 1 and [p["turns"] for p in parts] == [10, 10, 5]
-    assert "\n\n".join(p["text"] for p in parts) == whole[0]["text"]
-    assert whole[0]["text"].startswith("USER: t0\n\nUSER: t1\n\n")
+    assert len(whole) == 1 and whole[0]["turns"] == 2500
+    assert whole[0]["text"] == "\n\n".join(f"USER: t{i}" for i in range(2500))
 
 
 def test_preference_pairs(spark):

@@ -99,7 +99,8 @@ def test_relationship_support_counts_distinct_values(spark):
         "c": spark.createDataFrame([(77,)], "x_id int"),
     }
     found = {(r["from_table"], r["to_table"]): r["support"] for r in profile.relationship_support(tables).collect()}
-    assert found == {("a", "b"): pytest.approx(2 / 3), ("b", "a"): pytest.approx(2 / 3)}
+    shared = {("a", "b"): pytest.approx(2 / 3), ("b", "a"): pytest.approx(2 / 3)}
+    assert found == {**shared, ("a", "c"): 0.0, ("c", "a"): 0.0, ("b", "c"): 0.0, ("c", "b"): 0.0}
 
 
 def test_summaries(spark):

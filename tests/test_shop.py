@@ -1,5 +1,6 @@
 """A three-table shop, worked out by hand: two samples, one payment that comes too late for both."""
 
+import dataclasses
 from datetime import date
 
 import pytest
@@ -100,6 +101,17 @@ def test_episodes(shop, samples):
         assert "203" not in row["final_prompt"]
 
 
+@pytest.mark.parametrize(
+    "expected, rounds_wanted",
+    [(("payment", "payment", "payment", "customer"), [["payment"], ["customer"]]), (("Status",), [["Status"], ["Status"]])],
+)
+def test_rounds_go_on_while_something_is_missing(shop, samples, expected, rounds_wanted):
+    task = dataclasses.replace(TASK, expected_evidence=expected)
+    hidden = samples.withColumn("truth", F.lit("refunded"))
+    for row in refine.trajectories(refine.refine(hidden, task, shop, rounds=2), task, rounds=2).collect():
+        assert [h["evidence_types"] for h in row["refinement_history"]] == rounds_wanted
+
+
 def test_insufficient_samples_are_refined(shop, samples):
     hidden = samples.withColumn("truth", F.lit("refunded"))
     states = refine.refine(hidden, TASK, shop)
