@@ -420,8 +420,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, keyed: DataFrame, key: str, tex
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("_text"))
     found = F.arrow_udf(tokens, "own long, tokens array<long>")(F.col("_text"))
     sets = texts.join(_few(wanted), texts["key"].eqNullSafe(wanted["key"])).select("node", found.alias("_s"))
-    sets = sets.where("node = _s.own").groupBy("node").agg(F.min("_s.tokens").alias("tokens"))
-    sets = written(sets, "sets")
+    sets = written(sets.where("node = _s.own").select("node", "_s.tokens"), "sets")
+    # rows that repeat a key and its text have one set; only those are brought together
+    again = written(sets.groupBy("node").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("node"), "repeated")
+    if not again.isEmpty():
+        one = sets.join(again, "node", "left_semi").groupBy("node").agg(F.min("tokens").alias("tokens"))
+        sets = written(sets.join(again, "node", "left_anti").unionByName(one), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("sa")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("tokens").alias("sb")), "b"
     )

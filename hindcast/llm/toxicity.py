@@ -280,8 +280,8 @@ def scorer(model: Model):
             state["reader"] = Grammar(list(model.stems))
         reader, bias, weights = state["reader"], model.weights[0], model.weights
         out = []
-        for text in texts.to_pylist():
-            found = reader.counts(text)
+        for text in texts:  # one at a time, so that a batch is not held twice
+            found = reader.counts(text.as_py())
             total = bias + sum(w * math.log1p(found[n]) for n, w in zip(FEATURES[1:], weights[1:]) if n in found)
             out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, total)))))
         return pa.array(out, pa.float64())
