@@ -10,7 +10,8 @@ size a partner may have.
 
 Work on an index entry with several documents is done in blocks of bounded size. A parity sketch bounds the symmetric
 difference of two sets from below, so most pairs are ruled out without their sets. Of the pairs left an entry passes on
-only a spanning forest; those are verified on the full sets and give first components. An entry that holds a pair that
+only a spanning forest; those are held against wider sketches, with a bit for each token, as a narrow one is full for
+a long document. What is still near is verified on the full sets and gives first components. An entry that holds a pair that
 failed is read again, and all its pairs between different components are verified. So no link between components is
 lost, and copies do not become all their pairs. Documents with equal sets are one node throughout.
 
@@ -201,12 +202,29 @@ def signatures(tokens: np.ndarray, classes: np.ndarray, similarity: Similarity,
     return np.unique(np.concatenate(found)).view(np.int64)
 
 
-def _sketch(tokens: np.ndarray) -> bytes:
+def _sketch(tokens: np.ndarray, size: int = SKETCH_BYTES) -> bytes:
     """One bit per hash bucket: the parity of the tokens in it. Sets that differ in m tokens differ in m bits at most."""
-    counts = np.bincount((tokens & np.uint64(8 * SKETCH_BYTES - 1)).astype(np.int64), minlength=8 * SKETCH_BYTES)
+    counts = np.bincount((tokens & np.uint64(8 * size - 1)).astype(np.int64), minlength=8 * size)
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
+def _wide(tokens: np.ndarray) -> bytes | None:
+    """A sketch with a bit or more for each token, a power of two; None where the narrow one has as many."""
+    size = 1 << max(0, (len(tokens) - 1).bit_length() - 3)
+    return _sketch(tokens, size) if size > SKETCH_BYTES else None
+
+
+def _apart(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ; the wider one is folded, as the parity of two buckets is that of both."""
+    if len(a) < len(b):
+        a, b = b, a
+    x = int.from_bytes(a, "big")
+    for width in range(len(a).bit_length() - 2, len(b).bit_length() - 2, -1):
+        half = 8 << width
+        x = (x >> half) ^ (x & ((1 << half) - 1))
+    return (x ^ int.from_bytes(b, "big")).bit_count()
+
+
 def _node(tokens: np.ndarray) -> int:
     """A number for the set."""
     total = np.bitwise_xor.reduce(tx.mix(tokens + np.uint64(0x5851F42D4C957F2D))) if len(tokens) else np.uint64(0)
@@ -214,7 +232,7 @@ def _node(tokens: np.ndarray) -> int:
 
 
 def indexed(docs: DataFrame, key: str, text: str, similarity: Similarity, names: np.ndarray, classes: np.ndarray) -> DataFrame:
-    """Per document: key, set size ``n``, number of the set ``node``, its sketch and its index entries."""
+    """Per document: key, set size ``n``, number of the set ``node``, its sketches and its index entries."""
     ks = tuple(k for _, k in CLASSES) if 5 * similarity.times >= 4 * similarity.over else (1,) * len(CLASSES)
     size = similarity.words
 
@@ -232,19 +250,23 @@ def indexed(docs: DataFrame, key: str, text: str, similarity: Similarity, names:
         if "bits" not in state:
             state["bits"] = np.zeros(1 << 22, bool)
             state["bits"][(names >> np.uint64(26)).astype(np.int64)] = True
-        n, node, sketch, entries = [], [], [], []
+        n, node, sketch, wide, entries = [], [], [], [], []
         for _doc, tokens in _sets(texts, size):
             n.append(len(tokens))
             node.append(_node(tokens))
             sketch.append(_sketch(tokens))
+            wide.append(_wide(tokens))
             entries.append(signatures(tokens, classes_of(tokens), similarity, ks) if len(tokens) else [])
         return pa.StructArray.from_arrays(
-            [pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.binary()), pa.array(entries, pa.list_(pa.int64()))],
-            ["n", "node", "sketch", "entries"],
+            [
+                pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.binary()), pa.array(wide, pa.binary()),
+                pa.array(entries, pa.list_(pa.int64())),
+            ],
+            ["n", "node", "sketch", "wide", "entries"],
         )
 
     state: dict = {}
-    udf = F.arrow_udf(index, "n long, node long, sketch binary, entries array<long>")
+    udf = F.arrow_udf(index, "n long, node long, sketch binary, wide binary, entries array<long>")
     return docs.select(F.col(key).alias("key"), udf(F.col(text)).alias("_i")).select("key", "_i.*")
 
 
@@ -369,18 +391,21 @@ def _blocked(members: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def _near(pairs: DataFrame, shapes: DataFrame, similarity: Similarity) -> DataFrame:
-    """The pairs (a, b) whose sizes and sketches allow a link."""
-    def possible(n_a: pa.Array, n_b: pa.Array, sketch_a: pa.Array, sketch_b: pa.Array) -> pa.Array:
-        a, b = n_a.to_numpy(), n_b.to_numpy()
-        left, right = (np.frombuffer(b"".join(s.to_pylist()), np.uint64).reshape(len(a), SKETCH_BYTES // 8) for s in (sketch_a, sketch_b))
-        distance = np.bitwise_count(left ^ right).sum(axis=1).astype(np.int64)
-        times, over = similarity.times, similarity.over
-        return pa.array(((over + times) * distance <= (over - times) * (a + b)) & (over * np.minimum(a, b) >= times * np.maximum(a, b)))
+    """``pairs`` (a, b, ...) with ``near``: whether sizes and wide sketches allow a link."""
+    times, over = similarity.times, similarity.over
 
-    both = pairs
+    def apart(sketch_a: pa.Array, sketch_b: pa.Array) -> pa.Array:
+        return pa.array([_apart(x.as_py(), y.as_py()) for x, y in zip(sketch_a, sketch_b)], pa.int64())
+
+    both, columns = pairs, pairs.columns
     for side in ("a", "b"):
-        both = both.join(shapes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
-    return both.where(F.arrow_udf(possible, "boolean")("n_a", "n_b", "s_a", "s_b")).select("a", "b")
+        sketch = F.coalesce("wide", "sketch")
+        both = both.join(shapes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), sketch.alias(f"s_{side}")), side)
+    distance = F.arrow_udf(apart, "long")("s_a", "s_b")
+    near = ((over + times) * distance <= (over - times) * (F.col("n_a") + F.col("n_b"))) & (
+        over * F.least("n_a", "n_b") >= times * F.greatest("n_a", "n_b")
+    )
+    return both.select(*columns, near.alias("near"))
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
@@ -466,12 +491,17 @@ def _joined(docs: DataFrame, key: str, text: str, similarity: Similarity) -> Dat
     twos = met.where("rows = 2").select("a", "b").distinct()
 
     taking_part = members.select("node").union(twos.select("a")).union(twos.select("b")).distinct()
-    shapes = filled.join(taking_part, "node", "left_semi").groupBy("node").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"))
+    shapes = filled.join(taking_part, "node", "left_semi").groupBy("node").agg(*[F.min(c).alias(c) for c in ("n", "sketch", "wide")])
     shapes = written(shapes, "sketches")
 
-    forest = _dealt(_blocked(members, sizes).join(shapes, "node")).mapInArrow(_pairs_of(similarity, every=False), _PAIRS).distinct()
-    pairs = written(forest.union(_near(twos, shapes, similarity)).distinct(), "pairs")
-    tested = _verified(pairs, docs, keyed, key, text, similarity)
+    narrow = shapes.drop("wide")
+    forest = _dealt(_blocked(members, sizes).join(narrow, "node")).mapInArrow(_pairs_of(similarity, every=False), _PAIRS)
+    # a pair of a forest counts as failed if it is not near: its entry may hold another that links; a pair by itself does not
+    pairs = forest.withColumn("forest", F.lit(True)).union(twos.withColumn("forest", F.lit(False)))
+    pairs = _near(pairs.groupBy("a", "b").agg(F.max("forest").alias("forest")), shapes, similarity)
+    pairs = written(pairs.where("near OR forest").select("a", "b", "near"), "pairs")
+    tested = _verified(pairs.where("near").select("a", "b"), docs, keyed, key, text, similarity)
+    tested = tested.union(pairs.where("NOT near").select("a", "b", F.lit(False).alias("linked")))
     links = tested.where("linked").select("a", "b")
 
     # entries that hold both documents of a failed pair; more than those it came from, which does no harm
@@ -483,10 +513,11 @@ def _joined(docs: DataFrame, key: str, text: str, similarity: Similarity) -> Dat
         open_nodes = written(tested.select(F.col("a").alias("node")).union(tested.select("b")).distinct(), "open")
         listed = written(members.join(open_nodes, "node", "left_semi"), "listed")
         firsts = listed.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("entry")), 1, _FIRST_SIGNATURES).alias("firsts"))
-        known = shapes.join(firsts, "node").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        known = narrow.join(firsts, "node").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
         blocked = _blocked(listed.join(failed, "entry", "left_semi"), sizes).join(written(known, "known"), "node")
         crossing = _dealt(blocked).mapInArrow(_pairs_of(similarity, every=True), _PAIRS).distinct()
-        crossing = written(crossing.join(tested, ["a", "b"], "left_anti"), "crossing")
+        crossing = _near(crossing.join(tested, ["a", "b"], "left_anti"), shapes, similarity)
+        crossing = written(crossing.where("near").select("a", "b"), "crossing")
         if not crossing.isEmpty():
             more = _verified(crossing, docs, keyed, key, text, similarity)
             links = written(links.union(more.where("linked").select("a", "b")), "links")

@@ -312,6 +312,13 @@ def test_jaccard_join_against_brute_force(spark, monkeypatch, words, times):
     monkeypatch.setattr(jaccard_join, "BLOCK", 6)
     rows = near_copies()
     rows += [rows[0], rows[0], rows[5]]
+    rng = random.Random(4)  # texts with wide sketches: about as many words differ as may, and a few shared passages
+    long = [f"w{rng.randrange(400)}" for _ in range(1500)]
+    for i in range(12):
+        copy = long[: 700 + 100 * (i % 3)] if i < 9 else [f"v{rng.randrange(400)}" for _ in range(700)] + long[:30]
+        for at in rng.sample(range(len(copy)), 3 * i):
+            copy[at] = "other"
+        rows.append((1000 + i, " ".join(copy)))
     sim = jaccard_join.Similarity(words, times, 100)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("mine")).repartition(3)
     found = jaccard_join.joined(df, similarity=sim).select("key", "n_shingles", "component_id")
@@ -343,6 +350,20 @@ def test_prefixes_always_earn_enough():
                 assert np.intersect1d(a, b).size, (times, n)
 
 
+def test_wide_sketches_bound_the_difference():
+    """Sketches of any two widths differ in no more bits than the sets in tokens, and fold to the narrow one."""
+    rng = np.random.default_rng(2)
+    pool = rng.integers(0, 2**63, 9000).astype(np.uint64) * np.uint64(2)
+    for n, m in ((0, 1), (512, 513), (600, 540), (513, 1025), (1024, 8192), (5000, 4800), (9000, 30)):
+        x, y = np.unique(pool[:n]), np.unique(rng.permutation(pool)[:m])
+        a, b = (jaccard_join._wide(t) or jaccard_join._sketch(t) for t in (x, y))
+        assert jaccard_join._apart(a, b) == jaccard_join._apart(b, a) <= len(np.setxor1d(x, y))
+        assert jaccard_join._apart(a, jaccard_join._sketch(x)) == 0 and 8 * len(a) >= n
+    assert jaccard_join._wide(pool[:512]) is None
+    far = [jaccard_join._wide(pool[i : i + 4000]) for i in (0, 4000)]
+    assert (100 + 80) * jaccard_join._apart(*far) > (100 - 80) * 8000  # two long texts with nothing in common
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 20)] + [(7, 7), (300, 200), (200, 300)]
     found = defaultdict(set)
