@@ -26,6 +26,7 @@ WINDOW = 10
 # Bytes of benchmark text whose windows are broadcast at once.
 BLOCK_BYTES = 4 << 20
 STATE = "n_words long, spans array<int>, items array<string>"
+# Largest prefilter of a window length; fewer windows take a smaller one, of 16 places for each or more.
 _FILTER_BITS = 22
 
 
@@ -57,7 +58,7 @@ class Windows:
         folded = None
         for length, (keys, chains, maybe) in self.tables.items():
             at, hashes = tx.windows(words, length)
-            possible = np.flatnonzero(maybe[(hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
+            possible = np.flatnonzero(maybe[_place(hashes, maybe)])
             if not len(possible):
                 continue
             slot = np.minimum(np.searchsorted(keys, hashes[possible]), len(keys) - 1)
@@ -75,11 +76,16 @@ def _phrase(folded: bytes, words: tx.Words, place: int, length: int) -> bytes:
 
 
 def _prefilter(keys: np.ndarray) -> np.ndarray:
-    bits = np.zeros(1 << _FILTER_BITS, bool)
-    bits[(keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
+    bits = np.zeros(1 << min(_FILTER_BITS, (16 * len(keys)).bit_length()), bool)
+    bits[_place(keys, bits)] = True
     return bits
 
 
+def _place(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The place of each hash in a prefilter: its first bits."""
+    return (hashes >> np.uint64(65 - len(bits).bit_length())).astype(np.int64)
+
+
 def _scan(windows: Windows, texts: pa.Array, earlier: pa.Array | None) -> pa.Array:
     count, spans, items = [], [], []
     before = earlier.to_pylist() if earlier is not None else None
