@@ -443,7 +443,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, keyed: DataFrame, key: str, tex
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = written(keyed.join(wanted, "node").select("node", "key"), "wanted")
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("_text"))
-    found = F.arrow_udf(tokens, "own long, tokens array<long>")(F.col("_text"))
+    # not called deterministic, so that the filter on its result does not evaluate it a second time
+    found = F.arrow_udf(tokens, "own long, tokens array<long>").asNondeterministic()(F.col("_text"))
     sets = texts.join(_few(wanted), texts["key"].eqNullSafe(wanted["key"])).select("node", found.alias("_s"))
     sets = written(sets.where("node = _s.own").select("node", "_s.tokens"), "sets")
     # rows that repeat a key and its text have one set; only those are brought together
