@@ -49,8 +49,9 @@ SKETCH_BYTES = 64
 RANGES = 1024
 GATHER = 500_000
 _FIRST_SIGNATURES = 24
-# Rows of a batch that goes to Python.
+# Rows and bytes of a batch that goes to Python.
 BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
 # Documents up to which keys go to all tasks for a semi or anti join.
 BROADCAST_KEYS = 1_000_000
 
@@ -416,15 +417,17 @@ def _dealt(rows: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def _small_batches(spark, rows: int = BATCH_ROWS):
-    """Texts go to Python in batches of few rows while this lasts, so that a batch of long texts stays small."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+def _small_batches(spark):
+    """Texts go to Python in batches of few rows and bytes while this lasts, so that a batch of long texts stays small."""
+    limits = {"maxRecordsPerBatch": BATCH_ROWS, "maxBytesPerBatch": BATCH_BYTES}
+    before = {f"spark.sql.execution.arrow.{name}": spark.conf.get(f"spark.sql.execution.arrow.{name}") for name in limits}
+    for (name, value), limit in zip(before.items(), limits.values()):
+        spark.conf.set(name, min(limit, int(value)) if value.isdigit() and int(value) > 0 else limit)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def _few(df: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
