@@ -15,6 +15,10 @@ a long document. What is still near is verified on the full sets and gives first
 failed is read again, and all its pairs between different components are verified. So no link between components is
 lost, and copies do not become all their pairs. Documents with equal sets are one node throughout.
 
+Links are counted once the components are known, as both ends of a link are in one: the nodes of a component meet in
+blocks, and every pair that sizes and sketches allow is verified there on the full sets. A block gives a sum for each node, so a
+large group of near copies costs its pairs in work but not in rows. Copies count by the number of their documents.
+
 Token counts cover all documents: tasks sort and count their own tokens, ship them in ranges, and ranges are counted. The
 tokens called frequent go to all tasks; the bound for it rises with powers of two until at most ``MAX_FREQUENT`` are
 left, which changes the work, never the result.
@@ -43,6 +47,8 @@ CLASSES = ((16, 2), (1024, 3))
 MAX_FREQUENT = 1 << 20
 # Documents of an index entry that are compared in one go.
 BLOCK = 256
+# Tokens of a block of a component, whose sets one task holds.
+BLOCK_TOKENS = 1 << 20
 SKETCH_BYTES = 64
 # Token counting: ranges of the hash space (256 or more, so that what is left of 48 bits fits in 5 bytes), and the tokens a task
 # gathers before it ships them.
@@ -381,10 +387,58 @@ def _pairs_of(similarity: Similarity, every: bool):
     return run
 
 
+def _counts_of(similarity: Similarity):
+    """mapInArrow function over rows sorted by (entry, block_a, block_b): for each node the documents it links to there."""
+    times, over = similarity.times, similarity.over
+
+    def count(where, rows):
+        nodes, copies, blocks, sets = (list(x) for x in zip(*rows))
+        copies, n = np.array(copies, np.int64), np.array([len(t) for t in sets], np.int64)
+        sketch = np.frombuffer(b"".join(_sketch(t.view(np.uint64)) for t in sets), np.uint64).reshape(len(sets), -1)
+        part = {"n": n, "sketch": sketch, "block": np.array(blocks)}
+        possible = np.triu(_possible(part, similarity, where[1] != where[2]) < _FAR)
+        tokens, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        starts = np.concatenate(([0], np.cumsum(n)))
+        held, linked = np.zeros(len(tokens), np.int64), np.zeros(len(nodes), np.int64)
+        for i in np.flatnonzero(possible.any(axis=1)):
+            others = np.flatnonzero(possible[i])
+            own = ids[starts[i] : starts[i + 1]]
+            held[own] = 1
+            if 8 * len(others) < len(nodes):
+                shared = np.array([held[ids[starts[j] : starts[j + 1]]].sum() for j in others])
+            else:
+                shared = np.add.reduceat(held[ids], starts[:-1])[others]
+            held[own] = 0
+            others = others[over * shared >= times * (n[others] + n[i] - shared)]
+            linked[i] += copies[others].sum()
+            linked[others] += copies[i]
+        some = np.flatnonzero(linked)
+        return pa.RecordBatch.from_arrays([pa.array(np.array(nodes, np.int64)[some]), pa.array(linked[some])], ["node", "linked"])
+
+    def run(batches):
+        current, rows = None, []
+        for batch in batches:
+            tokens = batch.column("tokens")
+            offsets, values = tokens.offsets.to_numpy(), tokens.values.to_numpy()
+            columns = ("entry", "block_a", "block_b", "node", "copies", "block")
+            for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in columns))):
+                if row[:3] != current:
+                    if len(rows) > 1:
+                        yield count(current, rows)
+                    current, rows = row[:3], []
+                rows.append((*row[3:], values[offsets[i] : offsets[i + 1]]))
+        if len(rows) > 1:
+            yield count(current, rows)
+
+    return run
+
+
 def _blocked(members: DataFrame, sizes: DataFrame) -> DataFrame:
     """Rows (entry, node, ...) copied to each pair of blocks of their entry that they take part in."""
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = members.join(sizes.withColumn("blocks", blocks).select("entry", "blocks"), "entry")
+    blocks = F.ceil(F.col("members") / BLOCK)
+    if "tokens" in sizes.columns:
+        blocks = F.greatest(blocks, F.ceil(F.col("tokens") / BLOCK_TOKENS))
+    rows = members.join(sizes.select("entry", blocks.cast("int").alias("blocks")), "entry")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.select("*", other.alias("_other"))
@@ -434,8 +488,8 @@ def _few(df: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, keyed: DataFrame, key: str, text: str, similarity: Similarity) -> DataFrame:
-    """Pairs (a, b) with ``linked``, from the full sets of both."""
+def _verified(pairs: DataFrame, docs: DataFrame, keyed: DataFrame, key: str, text: str, similarity: Similarity) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) with ``linked``, from the full sets of both, and these sets (node, tokens)."""
     size = similarity.words
 
     def tokens(texts: pa.Array) -> pa.Array:
@@ -460,7 +514,23 @@ def _verified(pairs: DataFrame, docs: DataFrame, keyed: DataFrame, key: str, tex
     )
     shared = F.size(F.array_intersect("sa", "sb"))
     linked = similarity.over * shared >= similarity.times * (F.size("sa") + F.size("sb") - shared)
-    return written(both.select("a", "b", linked.alias("linked")), "verified")
+    return written(both.select("a", "b", linked.alias("linked")), "verified"), sets
+
+
+def _linked(roots: DataFrame, keyed: DataFrame, sets: DataFrame, similarity: Similarity) -> DataFrame:
+    """(node, linked) for every node of a component of several: the documents of other nodes that it links to."""
+    placed = written(roots.join(keyed.select("node", "n", "copies"), "node").withColumnRenamed("root", "entry"), "placed")
+    sizes = placed.groupBy("entry").agg(
+        F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens"), F.sum("copies").alias("documents")
+    )
+    sizes = written(sizes, "components")
+    # two nodes are a component by their link
+    two = placed.join(sizes.where("members = 2"), "entry").select("node", (F.col("documents") - F.col("copies")).alias("linked"))
+    larger = sizes.where("members > 2")
+    rows = placed.join(larger.select("entry"), "entry", "left_semi").select("entry", "node", "copies").join(sets, "node")
+    dealt = _blocked(rows, larger).repartition("entry", "block_a", "block_b").sortWithinPartitions("entry", "block_a", "block_b")
+    counted = dealt.mapInArrow(_counts_of(similarity), "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked"))
+    return written(two.unionByName(counted), "degrees")
 
 
 def _numbers(size: int):
@@ -470,20 +540,24 @@ def _numbers(size: int):
     return numbers
 
 
-def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: Similarity = Similarity()) -> DataFrame:
-    """Per document: key, n_shingles, node (number of its set), root (number of its component) and component_id.
+def joined(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: Similarity = Similarity(), links: bool = True
+) -> DataFrame:
+    """Per document: key, n_shingles, node (number of its set), root (number of its component), component_id and n_links.
 
-    ``component_id`` is the smallest key that the document is linked to.
+    ``component_id`` is the smallest key of the document's component. ``n_links`` is the number of other documents that the
+    document links to, copies of it among them; a caller that needs components only leaves it out with ``links``.
     """
     with _small_batches(docs.sparkSession):
-        return _joined(docs, key, text, similarity)
+        return _joined(docs, key, text, similarity, links)
 
 
-def _joined(docs: DataFrame, key: str, text: str, similarity: Similarity) -> DataFrame:
+def _joined(docs: DataFrame, key: str, text: str, similarity: Similarity, counts: bool) -> DataFrame:
     names, classes = frequent_tokens(docs, text, similarity.words, tuple(b for b, _ in CLASSES), MAX_FREQUENT)
     rows = written(indexed(docs, key, text, similarity, names, classes), "indexed")
     filled = rows.where("n > 0")
-    keyed = written(filled.groupBy("node").agg(F.min("key").alias("key")), "nodes")
+    keyed = filled.groupBy("node").agg(F.min("key").alias("key"), F.min("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    keyed = written(keyed, "nodes")
 
     # An entry of two documents is a pair by itself; only entries of more are gathered.
     entries = filled.select("node", F.explode("entries").alias("entry"))
@@ -504,7 +578,7 @@ def _joined(docs: DataFrame, key: str, text: str, similarity: Similarity) -> Dat
     pairs = forest.withColumn("forest", F.lit(True)).union(twos.withColumn("forest", F.lit(False)))
     pairs = _near(pairs.groupBy("a", "b").agg(F.max("forest").alias("forest")), shapes, similarity)
     pairs = written(pairs.where("near OR forest").select("a", "b", "near"), "pairs")
-    tested = _verified(pairs.where("near").select("a", "b"), docs, keyed, key, text, similarity)
+    tested, sets = _verified(pairs.where("near").select("a", "b"), docs, keyed, key, text, similarity)
     tested = tested.union(pairs.where("NOT near").select("a", "b", F.lit(False).alias("linked")))
     links = tested.where("linked").select("a", "b")
 
@@ -523,9 +597,17 @@ def _joined(docs: DataFrame, key: str, text: str, similarity: Similarity) -> Dat
         crossing = _near(crossing.join(tested, ["a", "b"], "left_anti"), shapes, similarity)
         crossing = written(crossing.where("near").select("a", "b"), "crossing")
         if not crossing.isEmpty():
-            more = _verified(crossing, docs, keyed, key, text, similarity)
+            more, further = _verified(crossing, docs, keyed, key, text, similarity)
+            sets = sets.unionByName(further.join(sets.select("node"), "node", "left_anti"))
             links = written(links.union(more.where("linked").select("a", "b")), "links")
-    return _named(rows, keyed, components(links))
+    roots = components(links)
+    found = _named(rows, keyed, roots)
+    if not counts:
+        return found
+    degrees = keyed.join(_linked(roots, keyed, sets, similarity), "node", "left")
+    degrees = degrees.select("node", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    # an empty text is not a node and has no links
+    return found.join(written(degrees, "n_links"), "node", "left").select(*found.columns, F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def _named(rows: DataFrame, keyed: DataFrame, roots: DataFrame) -> DataFrame:
@@ -545,7 +627,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     Rows that share a key are few as a rule and settled apart: equal rows become one, and of several texts of one
     component under one key the smallest stays.
     """
-    found = written(joined(docs, key, text, similarity).select("key", "node", "root", "component_id"), "joined")
+    found = written(joined(docs, key, text, similarity, links=False).select("key", "node", "root", "component_id"), "joined")
     shared = written(found.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key"), "shared_keys")
     dropped = written(found.where(~F.col("key").eqNullSafe(F.col("component_id"))).select("key").union(shared).distinct(), "dropped")
     kept = docs.join(_few(dropped), docs[key].eqNullSafe(dropped["key"]), "left_anti")

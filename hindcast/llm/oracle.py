@@ -102,6 +102,25 @@ def _decontaminate() -> str:
     FROM docs LEFT JOIN covered USING (id) LEFT JOIN named USING (id)"""
 
 
+def _jaccard_links() -> str:
+    """The classes, with the documents that a document's class links to and its own copies counted."""
+    return f"""
+    WITH {_jaccard_ctes()},
+    copies AS (SELECT node, count(*) AS documents FROM sets JOIN classes ON sets.s = classes.s GROUP BY node),
+    degrees AS (SELECT a AS node, sum(documents) AS linked FROM both_ways JOIN copies ON copies.node = b GROUP BY a)
+    SELECT doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles,
+           CASE WHEN len(sets.s) = 0 THEN doc_id ELSE coalesce(component_id, classes.node) END AS component_id,
+           CASE WHEN len(sets.s) = 0 THEN 0 ELSE CAST(documents - 1 + coalesce(linked, 0) AS BIGINT) END AS n_links
+    FROM sets LEFT JOIN classes ON sets.s = classes.s LEFT JOIN named USING (node) LEFT JOIN copies USING (node)
+         LEFT JOIN degrees USING (node)"""
+
+
+def _jaccard_ctes() -> str:
+    """The common part of the two statements, as the first one has it."""
+    whole = _jaccard_join()
+    return whole[whole.index("WITH ") + len("WITH ") : whole.rindex("    SELECT doc_id")].rstrip()
+
+
 def _jaccard_join() -> str:
     size, times, over = LINKS.words, LINKS.times, LINKS.over
     return f"""
@@ -236,6 +255,7 @@ ORACLE = {
     "op4_warc_index": _warc_index(),
     "op5_url_rules": _url_rules(),
     "op6_decontaminate": _decontaminate(),
+    "op7_jaccard_links": _jaccard_links(),
     "op7_jaccard_join": _jaccard_join(),
     "op8_curriculum": _curriculum(),
     "op10_pii": _pii(),

@@ -64,8 +64,15 @@ def op6_decontaminate(spark, folder):
     return decontaminate.judged(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
-def op7_jaccard_join(spark, folder):
+def op7_jaccard_links(spark, folder):
+    """The whole join: the class of every document and the number of documents it links to."""
     found = jaccard_join.joined(_table(spark, folder, "documents"), similarity=LINKS)
+    return found.select(F.col("key").alias("doc_id"), "n_shingles", "component_id", "n_links")
+
+
+def op7_jaccard_join(spark, folder):
+    """The classes alone."""
+    found = jaccard_join.joined(_table(spark, folder, "documents"), similarity=LINKS, links=False)
     return found.select(F.col("key").alias("doc_id"), "n_shingles", "component_id")
 
 
@@ -92,6 +99,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_host_quality, op2_weight_tree, op3_toxicity, op4_warc_index, op5_url_rules, op6_decontaminate,
-        op7_jaccard_join, op8_curriculum, op9_language_gru, op10_pii,
+        op7_jaccard_links, op7_jaccard_join, op8_curriculum, op9_language_gru, op10_pii,
     )
 }

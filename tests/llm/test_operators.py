@@ -325,6 +325,39 @@ def test_jaccard_join_against_brute_force(spark, monkeypatch, words, times):
     assert rows_of(found) == brute_components(rows, sim)
 
 
+def brute_links(rows, sim):
+    def shingles(text):
+        w = SPACED.findall(lower(text))
+        return frozenset(tuple(w[i : i + sim.words]) for i in range(max(1, len(w) - sim.words + 1))) if w else frozenset()
+
+    sets, links = [shingles(t) for _, t in rows], [0] * len(rows)
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        k = len(sets[i] & sets[j])
+        if sets[i] and sets[j] and sim.over * k >= sim.times * (len(sets[i]) + len(sets[j]) - k):
+            links[i] += 1
+            links[j] += 1
+    return Counter((rows[i][0], links[i]) for i in range(len(rows)))
+
+
+@pytest.mark.parametrize("words, times, tokens", [(3, 90, 1 << 20), (5, 80, 1 << 20), (3, 90, 200)])
+def test_links_inside_components_are_counted(spark, monkeypatch, words, times, tokens):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 6)
+    monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", tokens)
+    rows = near_copies()
+    rows += [rows[0], rows[0], rows[5]]  # documents that repeat, linked to each other and to what their text links to
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    for i in range(25):  # a group of which every two link, and a chain of which neighbours do
+        rows.append((2000 + i, " ".join([*base, f"end{i}"])))
+        rows.append((3000 + i, " ".join(f"c{j}" for j in range(6 * i, 6 * i + 150 + rng.randrange(3)))))
+    sim = jaccard_join.Similarity(words, times, 100)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    expected = brute_links(rows, sim)
+    assert max(n for _, n in expected) >= 24
+    assert rows_of(jaccard_join.joined(df, similarity=sim).select("key", "n_links")) == expected
+    assert rows_of(jaccard_join.joined(df.limit(0), similarity=sim).select("key", "n_links")) == Counter()
+
+
 def test_one_of_each_keeps_each_group_once(spark, empty):
     texts = ["a b c d e f g h"] * 4 + ["A b c d e f g h", "z y x w v u t s", None, None, ""]
     rows = [(i + 1, t, "en", None, 1) for i, t in enumerate(texts)]
