@@ -379,6 +379,34 @@ def _followups() -> str:
     return _union(parts)
 
 
+#: By name, the first three of all retail tables: what they are ordered by, and their first time column.
+FIRST_TABLES = (
+    ("customer", "c_custkey, c_name", None),
+    ("lineitem", ", ".join(c for _t, _i, c, _k in _columns(tables=("lineitem",))), "l_shipdate"),
+    ("nation", "n_nationkey", None),
+)
+
+
+def _first_inspections() -> str:
+    parts = []
+    for table, order, time in FIRST_TABLES:
+        rows = f"SELECT {_json(table)} AS row_json, row_number() OVER (ORDER BY {order}) AS rn FROM {table}"
+        sql = f'SELECT * FROM "{table}" LIMIT {fixed.INSPECT_SAMPLE_ROWS}'
+        parts.append(
+            f"SELECT {_text(fixed.PURPOSE_INSPECT.format(table=table))} AS purpose, {_text(sql)} AS sql, COUNT(*) AS row_count, "
+            f"string_agg(row_json, '|' ORDER BY rn) FILTER (WHERE rn <= {fixed.KEPT_ROWS}) AS sample_rows "
+            f"FROM ({rows}) WHERE rn <= {fixed.INSPECT_SAMPLE_ROWS}"
+        )
+        if time:
+            sql = f'SELECT MIN("{time}") AS min_value, MAX("{time}") AS max_value, COUNT(*) AS row_count FROM "{table}" '
+            sql += f"LIMIT {fixed.PREDICT_ROW_CAP}"
+            parts.append(
+                f"SELECT {_text(fixed.PURPOSE_RANGE.format(table=table))}, {_text(sql)}, 1, CAST(to_json({{'min_value': "
+                f"{_time(f'MIN({time})')}, 'max_value': {_time(f'MAX({time})')}, 'row_count': COUNT(*)}}) AS VARCHAR) FROM {table}"
+            )
+    return _union(f"SELECT CAST({i} AS INTEGER) AS position, * FROM ({p})" for i, p in enumerate(parts))
+
+
 def _inspections() -> str:
     parts = []
     for table, order in (("customer", "c_custkey, c_name"), ("nation", "n_nationkey"), ("orders", ORDERS_BY)):
@@ -400,14 +428,14 @@ def _inspections() -> str:
     return _union(f"SELECT CAST({i} AS INTEGER) AS position, * FROM ({p})" for i, p in enumerate(parts))
 
 
-def _requests() -> str:
+def _requests(inspections: str) -> str:
     return f"""SELECT conv_id, turn,
         CASE WHEN contains(lower(text), 'likely') OR contains(lower(text), 'risk') THEN 'risk_ranking' ELSE 'forecast' END AS prediction_type,
         CASE WHEN contains(lower(text), 'customer') THEN 'customer' ELSE 'entity' END AS entity_name,
         CASE WHEN contains(lower(text), 'churn') THEN 'churn' ELSE 'future outcome' END AS target_name,
         {_text(fixed.REQUEST_SUMMARY)} AS summary, 'medium' AS confidence, {_text(fixed.REQUEST_ASSUMPTION)} AS limitations,
         position, purpose, sql, row_count, sample_rows
-        FROM conversations CROSS JOIN ({_inspections()}) WHERE role = 'user'"""
+        FROM conversations CROSS JOIN ({inspections}) WHERE role = 'user'"""
 
 
 # --- prediction ----------------------------------------------------------------------------------------------------
@@ -870,7 +898,8 @@ def oracle() -> dict[str, str]:
             '{'|'.join(td.PRIORITY.candidate_tables)}' AS candidate_tables,
             {_text(fixed.PLAN_ASSUMPTION)} || '|' || {stated} || '|' || {note} AS assumptions, {_time('cutoff')} AS cutoff_time
             FROM {_priority_samples(q.ALL_CUTOFFS)}""",
-        "predict_requests": _requests(),
+        "predict_requests": _requests(_inspections()),
+        "predict_requests_all": _requests(_first_inspections()),
         "train_mean_baseline": f"""SELECT 'customer_spend' AS task_name, round(AVG(spend), 4) AS train_mean FROM {_spend_split(td.SPEND_TRAIN)}
             UNION ALL SELECT 'user_purchases', round(AVG(purchases), 4) FROM {_purchase_split(td.PURCHASES_TRAIN)}""",
         "infer_label": f"SELECT sample_id, label FROM {_labels(q.ALL_CUTOFFS)}",

@@ -357,13 +357,10 @@ def initial_plan(spark, folder):
     )
 
 
-def predict_requests(spark, folder):
-    """Every user turn as a question about the retail tables, answered from what inspecting them shows."""
+def _answered(spark, folder, tables):
     turns = _activity(spark, folder)["conversations"].filter(F.col("role") == "user")
     questions = turns.select("conv_id", "turn", F.col("text").alias("question"))
-    tables = _retail(spark, folder)
-    looked_at = requests.inspections({n: tables[n] for n in ("customer", "nation", "orders")})
-    return requests.answer_requests(questions, looked_at).select(
+    return requests.answer_requests(questions, requests.inspections(tables)).select(
         "conv_id", "turn", "prediction_type", "entity_name", "target_name", "summary", "confidence",
         _joined("limitations").alias("limitations"), F.explode("queries_run").alias("q"),
     ).select(
@@ -373,6 +370,17 @@ def predict_requests(spark, folder):
     )
 
 
+def predict_requests(spark, folder):
+    """Every user turn as a question about three small retail tables, answered from what inspecting them shows."""
+    tables = _retail(spark, folder)
+    return _answered(spark, folder, {n: tables[n] for n in ("customer", "nation", "orders")})
+
+
+def predict_requests_all(spark, folder):
+    """The same about all retail tables; the operator's rule chooses which of them are inspected."""
+    return _answered(spark, folder, _retail(spark, folder))
+
+
 # --- prediction ----------------------------------------------------------------------------------------------------
 
 
@@ -783,6 +791,7 @@ QUERIES = {
         date_range, evidence_agg_cutoff, evidence_entity_rows, evidence_entity_rows_recent, evidence_entity_static,
         evidence_fallback_sample, result_summary, evidence_packet, match_evidence_table, followup_evidence,
         render_question, masked_split, classify_question, initial_plan, predict_requests,
+        predict_requests_all,
         train_mean_baseline, infer_label, heuristic_answer, coerce_prediction, regression_mae, ground_truth_match,
         leakage_audit, evaluation_summary, customer_spend,
         available_sections, final_prompt, critic_judgement, missing_evidence, refine_rounds, trajectories,

@@ -25,5 +25,11 @@ def test_query(spark, con, name):
     assert problem is None
 
 
+def test_requests_are_answered_from_the_first_tables_of_all(spark):
+    purposes = {r["purpose"] for r in QUERIES["predict_requests_all"](spark, FOLDER).select("purpose").distinct().collect()}
+    inspected = {n for n in ("customer", "lineitem", "nation", "orders", "part", "region", "supplier") if any(n in p for p in purposes)}
+    assert inspected == {"customer", "lineitem", "nation"}
+
+
 def test_every_query_has_sql():
     assert set(STATEMENTS) == set(QUERIES)
