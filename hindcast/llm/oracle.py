@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hindcast.llm import curriculum, host_quality, pii, warc_index
+from hindcast.llm import conversation_repair, curriculum, filter_audit, host_quality, pii, warc_index
 from hindcast.llm.queries import LINKS, URL_RULES
 
 SPACED = "[^\\x20\\x09-\\x0D]+"
@@ -250,6 +250,112 @@ def _pii() -> str:
     FROM docs LEFT JOIN summed USING (id)"""
 
 
+def _crc32(text: str) -> str:
+    """Eight steps of the shift register for each byte, without a table."""
+    octets = f"list_transform(range(1, octet_length(encode({text})) + 1), lambda i: CAST('0x' || substring(hex(encode({text})), 2 * i - 1, 2) AS BIGINT))"
+    fed = f"flatten(list_transform({octets}, lambda b: [b, 0, 0, 0, 0, 0, 0, 0]))"
+    step = "lambda acc, b: xor(xor(acc, b) >> 1, 3988292384 * (xor(acc, b) & 1))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {fed}), {step}), 4294967295)"
+
+
+def _conversation_repair() -> str:
+    """Cheapest edits by dynamic programming: per row and state the least of (cost, edits) as one text."""
+    r = conversation_repair
+
+    def more(path, edit, cost):
+        return f"(printf('%09d', CAST({path}[:9] AS BIGINT) + {cost}) || {path}[10:] || '{edit}')"
+
+    def inserted(prefix):
+        user = f"least({prefix}u, {more(f'{prefix}n', 'I', r.INSERT)}, {more(f'{prefix}s', 'I', r.INSERT)}, {more(f'{prefix}a', 'I', r.INSERT)})"
+        return f"{prefix}n AS n, {prefix}s AS s, {user} AS u, least({prefix}a, {more(user, 'I', r.INSERT)}) AS a"
+
+    cut = f"CASE WHEN fault = 3 THEN {r.TRUNCATED} ELSE 0 END"
+
+    def kept(sources, initial):
+        tries = [f"CASE WHEN NOT gone AND initial = '{initial}' THEN {more('p.' + x, 'K', f'{r.KEEP} + {cut}')} END" for x in sources]
+        return ", ".join(tries)
+
+    def reroled(sources):
+        return ", ".join(f"CASE WHEN NOT gone THEN {more('p.' + x, 'R', f'{r.REROLE} + {cut}')} END" for x in sources)
+
+    def deleted(x):
+        return more(f"p.{x}", "D", r.DELETE)
+
+    return f"""
+    WITH RECURSIVE drawn AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               {_crc32("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % {r.DRAWS} AS draw FROM conversations),
+    damaged AS (
+        SELECT conv_id, turn, CASE WHEN draw = 4 THEN 'user' ELSE role END AS role,
+               CASE draw WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+               unnest(range(CASE WHEN draw = 3 THEN 2 ELSE 1 END)) AS copy FROM drawn WHERE draw <> 0),
+    numbered AS (
+        SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text[:{r.TIE_CHARS}], text) AS i FROM damaged),
+    faults AS (
+        SELECT *, role[:1] AS initial, CASE
+            WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1
+            WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+            WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault,
+            lag(role[:1]) OVER (PARTITION BY conv_id ORDER BY i) || role[:1] AS pair FROM numbered),
+    rows AS (SELECT *, fault IN (1, 2) AS gone FROM faults),
+    names AS (SELECT DISTINCT conv_id FROM conversations),
+    paths(conv_id, i, n, s, u, a) AS (
+        SELECT conv_id, CAST(0 AS BIGINT), printf('%09d', 0), CAST(NULL AS VARCHAR), printf('%09d', {r.INSERT}) || 'I', printf('%09d', {2 * r.INSERT}) || 'II' FROM names
+        UNION ALL
+        SELECT conv_id, i, {inserted("m_")} FROM (
+            SELECT p.conv_id, rows.i AS i, {deleted("n")} AS m_n, least({deleted("s")}, {kept("n", "s")}) AS m_s,
+                   least({deleted("u")}, {kept("nsa", "u")}, {reroled("nsa")}) AS m_u,
+                   least({deleted("a")}, {kept("u", "a")}, {reroled("u")}) AS m_a
+            FROM paths p JOIN rows ON rows.conv_id IS NOT DISTINCT FROM p.conv_id AND rows.i = p.i + 1)),
+    best AS (SELECT conv_id, least(n, a) AS path FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) AS last FROM paths) WHERE last = 1),
+    edits AS (SELECT conv_id, path[9 + k] AS edit, k FROM (SELECT conv_id, path, unnest(range(1, length(path) - 8)) AS k FROM best)),
+    placed AS (SELECT *, sum(CASE WHEN edit = 'I' THEN 0 ELSE 1 END) OVER o AS i, sum(CASE WHEN edit = 'D' THEN 0 ELSE 1 END) OVER o AS place
+               FROM edits WINDOW o AS (PARTITION BY conv_id ORDER BY k)),
+    stays AS (SELECT e.conv_id, e.k, e.edit, e.place, r.role, r.text, r.initial FROM placed e
+              LEFT JOIN rows r ON r.conv_id IS NOT DISTINCT FROM e.conv_id AND r.i = e.i AND e.edit <> 'I' WHERE e.edit <> 'D'),
+    led AS (SELECT *, max(CASE WHEN place = 1 AND edit = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS led FROM stays),
+    texts AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY k) AS body
+              FROM led GROUP BY conv_id),
+    counts AS (
+        SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+               count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+               count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM rows GROUP BY conv_id)
+    SELECT n.conv_id, {", ".join(f"CAST(coalesce(c.{x}, 0) AS BIGINT) AS {x}" for x in ("gaps", "blank", "duplicate", "truncated", "illegal"))},
+           CAST(b.path[:9] AS BIGINT) AS cost, b.path[10:] AS audit, sha256(coalesce(t.body, '')) AS repaired_sha256
+    FROM names n LEFT JOIN counts c ON n.conv_id IS NOT DISTINCT FROM c.conv_id
+         LEFT JOIN best b ON n.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN texts t ON n.conv_id IS NOT DISTINCT FROM t.conv_id"""
+
+
+def _filter_audit() -> str:
+    letters = filter_audit.LETTERS
+    bits = {letter: 1 << i for i, letter in enumerate(letters)}
+    tests = {**{k: v for k, v in filter_audit.FILTERS.items() if v}, "E": "coalesce(doc_id > first, false)"}
+    mask = " + ".join(f"CASE WHEN {tests[k]} THEN {bit} ELSE 0 END" for k, bit in bits.items())
+    before = " + ".join(f"CASE WHEN instr(filter_order, '{k}') < step THEN {bit} ELSE 0 END" for k, bit in bits.items())
+    own = " ".join(f"WHEN '{k}' THEN {bit}" for k, bit in bits.items())
+    fails, free = "(mask & own) > 0", "(mask & before) = 0"
+    return f"""
+    WITH RECURSIVE docs AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{SPACED}') AS w FROM documents),
+    firsts AS (SELECT text, min(doc_id) AS first FROM docs GROUP BY text),
+    facts AS (
+        SELECT part, doc_id, first, len(w) AS n_words, len(list_distinct(w)) AS n_distinct, length(text) AS n_points,
+               length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_upper, regexp_matches(text, '[#$%&*|]') AS has_symbol,
+               coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1), false) AS good, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1), false) AS toxic
+        FROM docs JOIN firsts USING (text)),
+    patterns AS (SELECT part, {mask} AS mask, good, toxic, count(*) AS n FROM facts GROUP BY ALL),
+    orders(filter_order) AS (
+        SELECT '' UNION ALL SELECT filter_order || letter FROM orders, (SELECT unnest(string_split('{letters}', '')) AS letter) WHERE instr(filter_order, letter) = 0),
+    steps AS (SELECT *, {before} AS before, CASE filter_order[step] {own} END AS own
+              FROM (SELECT filter_order, unnest(range(1, {len(letters) + 1})) AS step FROM orders WHERE length(filter_order) = {len(letters)})),
+    counted AS (
+        SELECT part, filter_order, step, own, coalesce(sum(n) FILTER ({free} AND NOT {fails}), 0) AS kept, coalesce(sum(n) FILTER ({fails} AND {free}), 0) AS removed,
+               coalesce(sum(n) FILTER ({fails} AND NOT {free}), 0) AS redundant, coalesce(sum(n) FILTER (mask = own), 0) AS unique_fails,
+               coalesce(sum(n) FILTER ({fails} AND {free} AND good), 0) AS good_lost, coalesce(sum(n) FILTER ({fails} AND {free} AND toxic), 0) AS toxic_lost
+        FROM patterns, steps GROUP BY ALL)
+    SELECT part, filter_order, CAST(step AS INT) AS step, {", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
+           CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM counted"""
+
+
 ORACLE = {
     "op1_host_quality": _host_quality(),
     "op4_warc_index": _warc_index(),
@@ -259,4 +365,6 @@ ORACLE = {
     "op7_jaccard_join": _jaccard_join(),
     "op8_curriculum": _curriculum(),
     "op10_pii": _pii(),
+    "op11_conversation_repair": _conversation_repair(),
+    "op12_filter_audit": _filter_audit(),
 }

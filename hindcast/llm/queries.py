@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hindcast.llm import (
+    conversation_repair,
     curriculum,
     decontaminate,
+    filter_audit,
     host_quality,
     jaccard_join,
     language_gru,
     pii,
+    token_counts,
     toxicity,
     url_rules,
     warc_index,
@@ -95,10 +98,28 @@ def op10_pii(spark, folder):
     return pii.report(_table(spark, folder, "documents"))
 
 
+def op11_conversation_repair(spark, folder):
+    return conversation_repair.repaired(_table(spark, folder, "conversations"))
+
+
+def op12_filter_audit(spark, folder):
+    return filter_audit.audited(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op13_token_counts(spark, folder, path: str | None = None):
+    """``path``: the vocabulary file, by default the installed one of byte pairs."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_counts.counted(_table(spark, folder, "documents"), path)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_host_quality, op2_weight_tree, op3_toxicity, op4_warc_index, op5_url_rules, op6_decontaminate,
         op7_jaccard_links, op7_jaccard_join, op8_curriculum, op9_language_gru, op10_pii,
+        op11_conversation_repair, op12_filter_audit, op13_token_counts,
     )
 }
