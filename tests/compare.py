@@ -58,10 +58,12 @@ def compare(spark, con, name, build, sql, folder):
 
 
 if __name__ == "__main__":
-    from hindcast.plans.oracle import oracle
-    from hindcast.plans.queries import QUERIES
+    from __spark_entry__ import oracle_sql as oracle
+    from __spark_entry__ import queries
     from hindcast.session import session
 
+    QUERIES = queries()
+
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     wanted = sys.argv[2:] or list(QUERIES)
     extra = dict(kv.split("=", 1) for kv in os.environ.get("COMPARE_CONF", "").split() if kv)
