@@ -13,7 +13,9 @@ difference of two sets from below, so most pairs are ruled out without their set
 only a spanning forest; those are held against wider sketches, with a bit for each token, as a narrow one is full for
 a long document. What is still near is verified on the full sets and gives first components. An entry that holds a pair that
 failed is read again, and all its pairs between different components are verified. So no link between components is
-lost, and copies do not become all their pairs. Documents with equal sets are one node throughout.
+lost, and copies do not become all their pairs. Documents with equal sets are one node throughout. In the second reading
+the members of an entry that could link to another component meet with their sets, and a part of an entry gives no more
+links than join its components.
 
 Links are counted once the components are known, as both ends of a link are in one: the nodes of a component meet in
 blocks, and every pair that sizes and sketches allow is verified there on the full sets. A block gives a sum for each node, so a
@@ -50,9 +52,9 @@ BLOCK = 256
 # Tokens of a block of a component, whose sets one task holds.
 BLOCK_TOKENS = 1 << 20
 SKETCH_BYTES = 64
-# Token counting: ranges of the hash space (256 or more, so that what is left of 48 bits fits in 5 bytes), and the tokens a task
-# gathers before it ships them.
-RANGES = 1024
+# Token counting: the bytes of text whose tokens make one range of the hash space (there are 256 or more ranges, so that what
+# is left of 48 bits fits in 5 bytes), and the tokens a task gathers before it ships them.
+RANGE_BYTES = 16 << 20
 GATHER = 500_000
 _FIRST_SIGNATURES = 24
 # Rows and bytes of a batch that goes to Python.
@@ -99,25 +101,27 @@ def _short(tokens: np.ndarray) -> np.ndarray:
 
 def frequent_tokens(docs: DataFrame, text: str, size: int, bounds: tuple[int, ...], limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted short names of the frequent tokens and the class (0, 1, ...) of each."""
-    ranges, gather, least = RANGES, GATHER, bounds[0]
+    gather, least = GATHER, bounds[0]
+    size_of_texts = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    # a range is what the tokens with the same first bits are
+    rest_bits = np.uint64(48 - min(40, max(8, (size_of_texts // RANGE_BYTES).bit_length())))
 
     def ship(parts):
         names, counts = np.unique(_short(np.concatenate(parts)), return_counts=True)
-        part = (names * np.uint64(ranges)) >> np.uint64(48)
-        # the first name of a range, so that what is left fits in 40 bits
-        rest = names - ((part << np.uint64(48)) + np.uint64(ranges - 1)) // np.uint64(ranges)
-        edges = np.searchsorted(part, np.arange(ranges + 1, dtype=np.uint64))
+        part = names >> rest_bits
+        rest = names - (part << rest_bits)
+        present, starts = np.unique(part, return_index=True)
+        edges = np.append(starts, len(part))
         out: dict[str, list] = {"part": [], "low": [], "high": [], "often": [], "counts": []}
-        for p in range(ranges):
-            r, c = rest[edges[p] : edges[p + 1]], counts[edges[p] : edges[p + 1]]
-            if len(r):
-                once = r[c == 1]
-                out["part"].append(p)
-                out["low"].append(once.astype(np.uint32).tobytes())
-                out["high"].append((once >> np.uint64(32)).astype(np.uint8).tobytes())
-                out["often"].append(r[c > 1].astype(np.uint64).tobytes())
-                out["counts"].append(c[c > 1].astype(np.int64).tobytes())
-        return pa.RecordBatch.from_pydict(out, pa.schema([("part", pa.int32()), *((n, pa.binary()) for n in list(out)[1:])]))
+        for p, start, end in zip(present.tolist(), edges[:-1], edges[1:]):
+            r, c = rest[start:end], counts[start:end]
+            once = r[c == 1]
+            out["part"].append(p)
+            out["low"].append(once.astype(np.uint32).tobytes())
+            out["high"].append((once >> np.uint64(32)).astype(np.uint8).tobytes())
+            out["often"].append(r[c > 1].astype(np.uint64).tobytes())
+            out["counts"].append(c[c > 1].astype(np.int64).tobytes())
+        return pa.RecordBatch.from_pydict(out, pa.schema([("part", pa.int64()), *((n, pa.binary()) for n in list(out)[1:])]))
 
     def count(batches):
         parts, held = [], 0
@@ -134,10 +138,9 @@ def frequent_tokens(docs: DataFrame, text: str, size: int, bounds: tuple[int, ..
     def total(part, names, counts):
         once, where = np.unique(np.concatenate(names), return_inverse=True)
         sums = np.bincount(where, np.concatenate(counts)).astype(np.int64)
-        base = ((part << 48) + ranges - 1) // ranges
         keep = sums >= least
         return pa.RecordBatch.from_arrays(
-            [pa.array((once[keep] + np.uint64(base)).astype(np.int64), pa.int64()), pa.array(sums[keep], pa.int64())], ["token", "documents"]
+            [pa.array((once[keep] + (np.uint64(part) << rest_bits)).astype(np.int64), pa.int64()), pa.array(sums[keep], pa.int64())], ["token", "documents"]
         )
 
     def add(batches):
@@ -155,7 +158,7 @@ def frequent_tokens(docs: DataFrame, text: str, size: int, bounds: tuple[int, ..
         if names:
             yield total(current, names, counts)
 
-    shipped = docs.select(text).mapInArrow(count, "part int, low binary, high binary, often binary, counts binary")
+    shipped = docs.select(text).mapInArrow(count, "part long, low binary, high binary, often binary, counts binary")
     counted = shipped.repartition("part").sortWithinPartitions("part").mapInArrow(add, "token long, documents long")
     counted = written(counted, "frequent")
     # A histogram by powers of two: the bound rises until few enough tokens are left.
@@ -279,9 +282,6 @@ def indexed(docs: DataFrame, key: str, text: str, similarity: Similarity, names:
 
 # --- pairs within an index entry -----------------------------------------------------------------------------------
 
-_PAIRS = "a long, b long"
-
-
 _FAR = 1 << 20
 
 
@@ -323,114 +323,178 @@ def _forest(distance: np.ndarray, nodes: np.ndarray) -> list[tuple[int, int]]:
                 label[label == max(a, b)] = min(a, b)
 
 
-def _pairs_of(similarity: Similarity, every: bool):
-    """mapInArrow function over rows sorted by (entry, block_a, block_b): a spanning forest, or every pair between components."""
-    def hopeless(rows) -> bool:
-        """Whether no pair of a short list is possible, without the cost of arrays."""
-        sketches = [int.from_bytes(r[2], "little") for r in rows]
-        times, over = similarity.times, similarity.over
-        for i, j in combinations(range(len(rows)), 2):
-            a, b = rows[i][1], rows[j][1]
-            if (over + times) * (sketches[i] ^ sketches[j]).bit_count() <= (over - times) * (a + b) and over * min(a, b) >= times * max(a, b):
-                return False
-        return True
+_FOREST = "a long, b long, entry long"
+_CROSSING = "entry long, block_a int, block_b int, block int, node long"
+
+
+def _hopeless(rows, similarity: Similarity) -> bool:
+    """Whether no pair of a short list is possible, without the cost of arrays."""
+    sketches = [int.from_bytes(r[2], "little") for r in rows]
+    times, over = similarity.times, similarity.over
+    for i, j in combinations(range(len(rows)), 2):
+        a, b = rows[i][1], rows[j][1]
+        if (over + times) * (sketches[i] ^ sketches[j]).bit_count() <= (over - times) * (a + b) and over * min(a, b) >= times * max(a, b):
+            return False
+    return True
+
+
+def _block_reader(similarity: Similarity, found, schema: str, *more: str):
+    """mapInArrow function over rows sorted by (entry, block_a, block_b): what ``found(where, rows, distance)`` yields for each."""
+    columns = ["entry", "block_a", "block_b", "node", "n", "sketch", "block", *more]
+    fields = [tuple(f.split()) for f in schema.split(", ")]
+    types = {"long": pa.int64(), "int": pa.int32()}
 
-    def emit(where, rows):
-        if len(rows) <= 8 and hopeless(rows):
+    def read(where, rows):
+        if len(rows) <= 8 and _hopeless(rows, similarity):
             return
-        nodes = np.array([r[0] for r in rows], np.int64)
-        _, once = np.unique(nodes, return_index=True)
-        rows = [rows[i] for i in once]
+        rows = list({r[0]: r for r in rows}.values())  # a node once
         if len(rows) < 2:
             return
+        rows.sort(key=lambda r: r[0])
         part = {
             "n": np.array([r[1] for r in rows], np.int64),
             "sketch": np.frombuffer(b"".join(r[2] for r in rows), np.uint64).reshape(len(rows), -1),
             "block": np.array([r[3] for r in rows]),
         }
-        nodes, (entry, block_a, block_b) = nodes[once], where
-        distance = _possible(part, similarity, block_a != block_b)
-        if every:
-            label = np.array([r[4] for r in rows], np.int64)
-            i, j = np.nonzero(np.triu((distance < _FAR) & (label[:, None] != label[None, :])))
-            for a, b in zip(i.tolist(), j.tolist()):
-                # a pair that shares a smaller entry is passed on there
-                if not any(e < entry for e in rows[a][5] & rows[b][5]):
-                    yield int(nodes[a]), int(nodes[b])
-        else:
-            for a, b in _forest(distance, nodes):
-                yield int(nodes[a]), int(nodes[b])
+        yield from found(where, rows, _possible(part, similarity, where[1] != where[2]))
 
     def run(batches):
-        current, rows, out = None, [], set()
-        columns = ["entry", "block_a", "block_b", "node", "n", "sketch", "block", *(["root", "firsts"] if every else [])]
+        current, rows, out = None, [], []
 
         def flush():
-            a, b = zip(*out)
+            arrays = [pa.array(column, types[kind]) for column, (_name, kind) in zip(zip(*out), fields)]
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            return pa.RecordBatch.from_arrays(arrays, [name for name, _kind in fields])
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in columns)):
                 if row[:3] != current:
                     if len(rows) > 1:
-                        out.update(emit(current, rows))
+                        out.extend(read(current, rows))
                         if len(out) > 50_000:
                             yield flush()
                     current, rows = row[:3], []
-                rows.append((*row[3:8], frozenset(row[8])) if every else row[3:])
+                rows.append(row[3:])
         if len(rows) > 1:
-            out.update(emit(current, rows))
+            out.extend(read(current, rows))
         if out:
             yield flush()
 
     return run
 
 
-def _counts_of(similarity: Similarity):
-    """mapInArrow function over rows sorted by (entry, block_a, block_b): for each node the documents it links to there."""
+def _forests(similarity: Similarity):
+    """For each part of an entry a spanning forest of its possible pairs, which are at most its members less one."""
+    def found(where, rows, distance):
+        nodes = np.array([r[0] for r in rows], np.int64)
+        for a, b in _forest(distance, nodes):
+            yield int(nodes[a]), int(nodes[b]), where[0]
+
+    return _block_reader(similarity, found, _FOREST)
+
+
+def _crossing(similarity: Similarity):
+    """For each part of an entry the nodes that have a possible pair in another component: its members at most."""
     times, over = similarity.times, similarity.over
 
-    def count(where, rows):
-        nodes, copies, blocks, sets = (list(x) for x in zip(*rows))
-        copies, n = np.array(copies, np.int64), np.array([len(t) for t in sets], np.int64)
+    def found(where, rows, distance):
+        label = np.array([r[4] for r in rows], np.int64)
+        firsts = [frozenset(r[5]) for r in rows]
+        possible = (distance < _FAR) & (label[:, None] != label[None, :])
+        marked = np.zeros(len(rows), bool)
+
+        def wanted(i, j):
+            # a pair that shares a smaller entry is looked at there
+            if any(e < where[0] for e in firsts[i] & firsts[j]):
+                return False
+            if rows[i][6] is None and rows[j][6] is None:
+                return True
+            apart = _apart(rows[i][6] or rows[i][2], rows[j][6] or rows[j][2])
+            return (over + times) * apart <= (over - times) * (rows[i][1] + rows[j][1])
+
+        for i in np.flatnonzero(possible.any(axis=1)):
+            for j in np.flatnonzero(possible[i]):
+                if not (marked[i] and marked[j]) and wanted(i, j):
+                    marked[i] = marked[j] = True
+        for i in np.flatnonzero(marked):
+            yield (*where, rows[i][3], rows[i][0])
+
+    return _block_reader(similarity, found, _CROSSING, "root", "firsts", "wide")
+
+
+def _set_reader(batches, more: tuple[str, ...], done):
+    """What ``done(where, rows)`` makes of the rows of each part, which have their sets as views of the batches."""
+    current, rows = None, []
+    for batch in batches:
+        tokens = batch.column("tokens")
+        offsets, values = tokens.offsets.to_numpy(), tokens.values.to_numpy()
+        columns = ("entry", "block_a", "block_b", "node", "block", *more)
+        for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in columns))):
+            if row[:3] != current:
+                if len(rows) > 1:
+                    yield done(current, rows)
+                current, rows = row[:3], []
+            rows.append((*row[3:], values[offsets[i] : offsets[i + 1]]))
+    if len(rows) > 1:
+        yield done(current, rows)
+
+
+class _Sets:
+    """The sets of a part side by side, to count what one of them shares with others."""
+
+    def __init__(self, sets: list[np.ndarray], blocks, similarity: Similarity, crossing: bool):
+        self.times, self.over, self.n = similarity.times, similarity.over, np.array([len(t) for t in sets], np.int64)
         sketch = np.frombuffer(b"".join(_sketch(t.view(np.uint64)) for t in sets), np.uint64).reshape(len(sets), -1)
-        part = {"n": n, "sketch": sketch, "block": np.array(blocks)}
-        possible = np.triu(_possible(part, similarity, where[1] != where[2]) < _FAR)
-        tokens, ids = np.unique(np.concatenate(sets), return_inverse=True)
-        starts = np.concatenate(([0], np.cumsum(n)))
-        held, linked = np.zeros(len(tokens), np.int64), np.zeros(len(nodes), np.int64)
+        self.possible = _possible({"n": self.n, "sketch": sketch, "block": np.array(blocks)}, similarity, crossing) < _FAR
+        tokens, self.ids = np.unique(np.concatenate(sets), return_inverse=True)
+        self.starts, self.held = np.concatenate(([0], np.cumsum(self.n))), np.zeros(len(tokens), np.int64)
+
+    def linked(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of ``others`` that the i-th set links to."""
+        starts, ids, held = self.starts, self.ids, self.held
+        own = ids[starts[i] : starts[i + 1]]
+        held[own] = 1
+        if 8 * len(others) < len(self.n):
+            shared = np.array([held[ids[starts[j] : starts[j + 1]]].sum() for j in others], np.int64)
+        else:
+            shared = np.add.reduceat(held[ids], starts[:-1])[others]
+        held[own] = 0
+        return others[self.over * shared >= self.times * (self.n[others] + self.n[i] - shared)]
+
+
+def _links_of(similarity: Similarity):
+    """mapInArrow function: verified links that join two components, at most one less than the components of a part."""
+    def join(where, rows):
+        nodes, blocks, roots, sets = (list(x) for x in zip(*rows))
+        label, found = np.unique(roots, return_inverse=True)[1], []
+        part = _Sets(sets, blocks, similarity, where[1] != where[2])
+        for i in np.flatnonzero(part.possible.any(axis=1)):
+            others = np.flatnonzero(part.possible[i] & (label != label[i]))
+            for j in part.linked(i, others) if len(others) else ():
+                if label[j] != label[i]:
+                    found.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+                    label[label == label[j]] = label[i]
+        a, b = zip(*found) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return lambda batches: _set_reader(batches, ("root",), join)
+
+
+def _counts_of(similarity: Similarity):
+    """mapInArrow function over rows sorted by (entry, block_a, block_b): for each node the documents it links to there."""
+    def count(where, rows):
+        nodes, blocks, copies, sets = (list(x) for x in zip(*rows))
+        copies, linked = np.array(copies, np.int64), np.zeros(len(nodes), np.int64)
+        part = _Sets(sets, blocks, similarity, where[1] != where[2])
+        possible = np.triu(part.possible)
         for i in np.flatnonzero(possible.any(axis=1)):
-            others = np.flatnonzero(possible[i])
-            own = ids[starts[i] : starts[i + 1]]
-            held[own] = 1
-            if 8 * len(others) < len(nodes):
-                shared = np.array([held[ids[starts[j] : starts[j + 1]]].sum() for j in others])
-            else:
-                shared = np.add.reduceat(held[ids], starts[:-1])[others]
-            held[own] = 0
-            others = others[over * shared >= times * (n[others] + n[i] - shared)]
+            others = part.linked(i, np.flatnonzero(possible[i]))
             linked[i] += copies[others].sum()
             linked[others] += copies[i]
         some = np.flatnonzero(linked)
         return pa.RecordBatch.from_arrays([pa.array(np.array(nodes, np.int64)[some]), pa.array(linked[some])], ["node", "linked"])
 
-    def run(batches):
-        current, rows = None, []
-        for batch in batches:
-            tokens = batch.column("tokens")
-            offsets, values = tokens.offsets.to_numpy(), tokens.values.to_numpy()
-            columns = ("entry", "block_a", "block_b", "node", "copies", "block")
-            for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in columns))):
-                if row[:3] != current:
-                    if len(rows) > 1:
-                        yield count(current, rows)
-                    current, rows = row[:3], []
-                rows.append((*row[3:], values[offsets[i] : offsets[i + 1]]))
-        if len(rows) > 1:
-            yield count(current, rows)
-
-    return run
+    return lambda batches: _set_reader(batches, ("copies",), count)
 
 
 def _blocked(members: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -488,8 +552,8 @@ def _few(df: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, keyed: DataFrame, key: str, text: str, similarity: Similarity) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) with ``linked``, from the full sets of both, and these sets (node, tokens)."""
+def _sets_for(wanted: DataFrame, docs: DataFrame, keyed: DataFrame, key: str, text: str, similarity: Similarity) -> DataFrame:
+    """(node, tokens) of the wanted nodes (node), from the texts of one key of each."""
     size = similarity.words
 
     def tokens(texts: pa.Array) -> pa.Array:
@@ -497,7 +561,6 @@ def _verified(pairs: DataFrame, docs: DataFrame, keyed: DataFrame, key: str, tex
         sets = pa.array([t.view(np.int64) for t in found], pa.list_(pa.int64()))
         return pa.StructArray.from_arrays([pa.array([_node(t) for t in found], pa.int64()), sets], ["own", "tokens"])
 
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = written(keyed.join(wanted, "node").select("node", "key"), "wanted")
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("_text"))
     # not called deterministic, so that the filter on its result does not evaluate it a second time
@@ -509,12 +572,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, keyed: DataFrame, key: str, tex
     if not again.isEmpty():
         one = sets.join(again, "node", "left_semi").groupBy("node").agg(F.min("tokens").alias("tokens"))
         sets = written(sets.join(again, "node", "left_anti").unionByName(one), "sets")
+    return sets
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: Similarity) -> DataFrame:
+    """Pairs (a, b) with ``linked``, from the full sets of both."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("sa")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("tokens").alias("sb")), "b"
     )
     shared = F.size(F.array_intersect("sa", "sb"))
     linked = similarity.over * shared >= similarity.times * (F.size("sa") + F.size("sb") - shared)
-    return written(both.select("a", "b", linked.alias("linked")), "verified"), sets
+    return written(both.select("a", "b", linked.alias("linked")), "verified")
 
 
 def _linked(roots: DataFrame, keyed: DataFrame, sets: DataFrame, similarity: Similarity) -> DataFrame:
@@ -573,33 +641,35 @@ def _joined(docs: DataFrame, key: str, text: str, similarity: Similarity, counts
     shapes = written(shapes, "sketches")
 
     narrow = shapes.drop("wide")
-    forest = _dealt(_blocked(members, sizes).join(narrow, "node")).mapInArrow(_pairs_of(similarity, every=False), _PAIRS)
+    forest = _dealt(_blocked(members, sizes).join(narrow, "node")).mapInArrow(_forests(similarity), _FOREST)
+    forest = written(forest, "forest")
     # a pair of a forest counts as failed if it is not near: its entry may hold another that links; a pair by itself does not
-    pairs = forest.withColumn("forest", F.lit(True)).union(twos.withColumn("forest", F.lit(False)))
+    pairs = forest.select("a", "b", F.lit(True).alias("forest")).union(twos.withColumn("forest", F.lit(False)))
     pairs = _near(pairs.groupBy("a", "b").agg(F.max("forest").alias("forest")), shapes, similarity)
     pairs = written(pairs.where("near OR forest").select("a", "b", "near"), "pairs")
-    tested, sets = _verified(pairs.where("near").select("a", "b"), docs, keyed, key, text, similarity)
-    tested = tested.union(pairs.where("NOT near").select("a", "b", F.lit(False).alias("linked")))
+    near = pairs.where("near").select("a", "b")
+    wanted = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+    sets = _sets_for(wanted, docs, keyed, key, text, similarity)
+    tested = _verified(near, sets, similarity).union(pairs.where("NOT near").select("a", "b", F.lit(False).alias("linked")))
     links = tested.where("linked").select("a", "b")
 
-    # entries that hold both documents of a failed pair; more than those it came from, which does no harm
-    first = members.select("entry", F.col("node").alias("a")).join(tested.where("NOT linked").select("a", "b"), "a")
-    failed = members.select("entry", F.col("node").alias("b")).join(first, ["entry", "b"]).select("entry").distinct()
-    failed = written(failed, "failed")
+    # a forest names the entry it is of: those with a failed pair are read again
+    failed = written(forest.join(tested.where("NOT linked").select("a", "b"), ["a", "b"], "left_semi").select("entry").distinct(), "failed")
     if not failed.isEmpty():
         # whoever could link to anyone in an entry is in its forest, so the others need not be read again
         open_nodes = written(tested.select(F.col("a").alias("node")).union(tested.select("b")).distinct(), "open")
         listed = written(members.join(open_nodes, "node", "left_semi"), "listed")
         firsts = listed.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("entry")), 1, _FIRST_SIGNATURES).alias("firsts"))
-        known = narrow.join(firsts, "node").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        blocked = _blocked(listed.join(failed, "entry", "left_semi"), sizes).join(written(known, "known"), "node")
-        crossing = _dealt(blocked).mapInArrow(_pairs_of(similarity, every=True), _PAIRS).distinct()
-        crossing = _near(crossing.join(tested, ["a", "b"], "left_anti"), shapes, similarity)
-        crossing = written(crossing.where("near").select("a", "b"), "crossing")
+        known = shapes.join(firsts, "node").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        known = written(known, "known")
+        blocked = _blocked(listed.join(failed, "entry", "left_semi"), sizes).join(known, "node")
+        crossing = written(_dealt(blocked).mapInArrow(_crossing(similarity), _CROSSING), "crossing")
         if not crossing.isEmpty():
-            more, further = _verified(crossing, docs, keyed, key, text, similarity)
-            sets = sets.unionByName(further.join(sets.select("node"), "node", "left_anti"))
-            links = written(links.union(more.where("linked").select("a", "b")), "links")
+            unread = crossing.select("node").distinct().join(sets.select("node"), "node", "left_anti")
+            sets = sets.unionByName(_sets_for(unread, docs, keyed, key, text, similarity))
+            parts = crossing.join(known.select("node", "root"), "node").join(sets, "node")
+            dealt = parts.repartition("entry", "block_a", "block_b").sortWithinPartitions("entry", "block_a", "block_b")
+            links = written(links.union(dealt.mapInArrow(_links_of(similarity), "a long, b long")).distinct(), "links")
     roots = components(links)
     found = _named(rows, keyed, roots)
     if not counts:
