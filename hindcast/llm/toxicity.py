@@ -43,7 +43,9 @@ WORDS = {
 }
 
 _WORD = re.compile(r"[^\W\d_]+")
-_CLAUSE_END = re.compile(r"[.!?;:\n]")
+# A colon or a quotation mark does not end a clause: what is reported stands behind it.
+CLAUSE_ENDS = ".!?;\n"
+_CLAUSE_END = re.compile(f"[{CLAUSE_ENDS}]")
 
 
 # --- transducers ---------------------------------------------------------------------------------------------------
@@ -74,9 +76,10 @@ def reported() -> Transducer:
 
 
 def memory(word: str) -> Transducer:
-    """Remembers the gravest form of ``word``: none, reported, denied, plain."""
+    """Remembers the gravest form of ``word``: none, reported, denied, plain. A report verb after it makes it reported."""
     forms = ["", f"{word}-reported", f"{word}-denied", word]
-    return Transducer("", {(a, b): (max(a, b, key=forms.index), b) for a in forms for b in forms[1:]}, {})
+    arcs = {(a, b): (max(a, b, key=forms.index), b) for a in forms for b in forms[1:]}
+    return Transducer("", arcs | {(a, "report"): (f"{word}-reported", "report") for a in forms[1:]}, {})
 
 
 def compose(first: Transducer, second: Transducer, symbols) -> Transducer:
@@ -148,7 +151,7 @@ class Grammar:
         for hit in self.hostile.finditer(low):
             if hit.start() < begin:
                 continue
-            start = max([begin, *(low.rfind(c, begin, hit.start()) + 1 for c in ".!?;:\n")])
+            start = max([begin, *(low.rfind(c, begin, hit.start()) + 1 for c in CLAUSE_ENDS)])
             stop = _CLAUSE_END.search(low, hit.end())
             begin = stop.end() if stop else len(low)
             state = self.machine.start

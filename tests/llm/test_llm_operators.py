@@ -135,6 +135,13 @@ def test_tree_shares_and_movement(spark):
         ("not one of these many is an idiot", {"insult+target": 1}),
         ("i will kill you", {"threat+target": 1}),
         ("he never would kill a big idiot", {"insult+target": 1, "threat-denied+target": 1}),
+        ("Sie sagte: du bist ein idiot", {"insult-reported+target": 1}),
+        ('He said: "you are an idiot"', {"insult-reported+target": 1}),
+        ("you are an idiot, he said", {"insult-reported+target": 1}),
+        ("you are not an idiot, she wrote", {"insult-reported+target": 1}),
+        ("he said it. you are an idiot", {"insult+target": 1}),
+        ("note: you are an idiot", {"insult+target": 1}),
+        ("fine words; " * 3000 + "you idiot; " * 3000, {"insult+target": 3000}),
         ("a killer deidiot", {}),
         ("", {}),
         (None, {}),
