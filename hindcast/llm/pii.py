@@ -79,22 +79,21 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _running(numbers: Column) -> Column:
+    """Running sums of an array of int, by doubling: what lies 1, 2, 4, ... places before is added while there is any."""
+    steps = F.filter(F.array(*[F.lit(1 << i) for i in range(31)]), lambda step: step < F.size(numbers))
+    added = lambda sums, step: F.transform(sums, lambda x, i: x + F.when(i >= step, F.get(sums, i - step)).otherwise(0))
+    return F.aggregate(steps, numbers.cast("array<int>"), lambda sums, step: added(sums, step).cast("array<int>"))
+
+
 def _found(kind: Kind, order: int, text: Column) -> Column:
     """All confirmed spans of a kind as (start, end, kind, score), from one pass for matches and one for the gaps."""
     gaps = F.transform(F.split(text, kind.pattern, -1), F.length)
     pairs = F.zip_with(gaps, F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    valid = F.aggregate(
-        F.filter(pairs, lambda p: p["match"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("out")),
-        lambda acc, p: F.struct(
-            (acc["at"] + p["gap"] + F.length(p["match"])).alias("at"),
-            F.when(
-                _valid(kind.name, p["match"]),
-                F.concat(acc["out"], F.array(F.struct((acc["at"] + p["gap"]).alias("start"), p["match"].alias("value")))),
-            ).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    pairs = F.filter(pairs, lambda p: p["match"].isNotNull())
+    ends = _running(F.transform(pairs, lambda p: p["gap"] + F.length(p["match"])))
+    places = F.zip_with(pairs, ends, lambda p, end: F.struct((end - F.length(p["match"])).alias("start"), p["match"].alias("value")))
+    valid = F.filter(places, lambda p: _valid(kind.name, p["value"]))
 
     def scored(s: Column) -> Column:
         end = s["start"] + F.length(s["value"])
