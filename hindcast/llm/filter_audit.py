@@ -98,7 +98,8 @@ def effects(tables: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFr
         named = labels.where(F.col(column) == 1).select(F.col(key).alias("doc_id"))
         parts.append(tables.join(named, "doc_id", "left_semi").select(*ids, F.lit(what).alias("what")))
     asked = parts[0].unionByName(parts[1]).unionByName(parts[2]).select("*", _sets(holds=False))
-    gone = tables.select("id", _sets(holds=True))
+    # Sixteen sets per id compress well, so that a size measured by the shuffle would understate what a broadcast holds.
+    gone = tables.select("id", _sets(holds=True)).hint("merge")
     counted = ["part", "filter", "before", "what"]
     lost = asked.join(gone, ["before", "id"], "left_anti").groupBy(*counted).agg(F.count(F.lit(1)).alias("n"))
     again = (
