@@ -35,6 +35,8 @@ FREQUENT = 1 << 12
 TRACKED = 1 << 14
 PIECE_CHARS = 32
 CACHE_CHARS = 1 << 23
+# Groups in which the sketches of tasks are merged first.
+GROUPS = 32
 # Characters of a long text that are cut at once.
 BLOCK_CHARS = 1 << 18
 # The first character whose class differs between versions of Unicode that are in use.
@@ -123,7 +125,11 @@ def frequent_pieces(docs: DataFrame, path: str, text: str = "text", keep: int =
     """The most frequent pieces of all texts and their numbers of tokens: the driver sees ``keep`` of them at most."""
     pieces = docs.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(PIECES), F.lit(0))).alias("piece"))
     short = pieces.where(F.length("piece") <= PIECE_CHARS)
-    found = short.agg(F.expr(f"approx_top_k(piece, {keep}, {TRACKED})").alias("top")).first()["top"]
+    # The sketches of tasks are merged in groups before they meet.
+    group = F.pmod(F.spark_partition_id(), F.lit(GROUPS)).alias("group")
+    partly = short.groupBy(group).agg(F.expr(f"approx_top_k_accumulate(piece, {TRACKED})").alias("sketch"))
+    whole = partly.agg(F.expr(f"approx_top_k_combine(sketch, {TRACKED})").alias("sketch"))
+    found = whole.select(F.expr(f"approx_top_k_estimate(sketch, {keep})").alias("top")).first()["top"]
     names = sorted(r["item"] for r in found or [])
     counter = Counter(path, {})
     return {name: counter.count(name) for name in names}
