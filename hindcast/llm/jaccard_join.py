@@ -157,6 +157,8 @@ def frequent_tokens(docs: DataFrame, text: str, size: int, bounds: tuple[int, ..
                 counts += [np.ones(len(once), np.int64), np.frombuffer(times, np.int64)]
         if names:
             yield total(current, names, counts)
+        del names, counts
+        tx.give_back()
 
     shipped = docs.select(text).mapInArrow(count, "part long, low binary, high binary, often binary, counts binary")
     counted = shipped.repartition("part").sortWithinPartitions("part").mapInArrow(add, "token long, documents long")
@@ -379,6 +381,8 @@ def _block_reader(similarity: Similarity, found, schema: str, *more: str):
             out.extend(read(current, rows))
         if out:
             yield flush()
+        del rows
+        tx.give_back()
 
     return run
 
@@ -437,6 +441,8 @@ def _set_reader(batches, more: tuple[str, ...], done):
             rows.append((*row[3:], values[offsets[i] : offsets[i + 1]]))
     if len(rows) > 1:
         yield done(current, rows)
+    del rows
+    tx.give_back()
 
 
 class _Sets:

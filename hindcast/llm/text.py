@@ -7,6 +7,7 @@ is hashed piece by piece, so memory follows the number of its words, not a multi
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -65,6 +66,15 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
+def give_back() -> None:
+    """Return freed memory to the system, as a worker waits for its next task with what it holds."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only some C libraries have it
+        pass
+
+
 def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first document, document after the last, their bytes, their offsets) of chunks that cover the column."""
     if len(column) == 0:
@@ -75,6 +85,7 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + CHUNK, "right")) - 1)
         yield first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
+    give_back()
 
 
 def _pieces(data: np.ndarray, is_word: np.ndarray) -> Iterator[tuple[int, int]]:
