@@ -1,8 +1,14 @@
-"""The corpus pipeline: documents in, shards out. Each stage reads what the stage before it has written."""
+"""The corpus pipeline: documents in, shards out. Each stage reads what the stage before it has written.
+
+All stages but the last return the columns of documents, also those that are named like a stage's own columns. A null or
+empty text is never toxic, a copy of another or contaminated, and stands once in the stream; rows that are equal in all
+columns are copies, of which one stays; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hindcast.functions.scale import written
 from hindcast.llm import curriculum, decontaminate, jaccard_join, toxicity, weight_tree
@@ -12,30 +18,43 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+# Columns the operators read. All others pass through a stage under names no operator uses.
+READ = ("doc_id", "text", "source")
+
+
+def _set_aside(docs: DataFrame) -> DataFrame:
+    return docs.select(*[F.col(f"`{c}`").alias(c if c in READ else f"_given{i}") for i, c in enumerate(docs.columns)])
+
+
+def _taken_back(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(f"`{c if c in READ else f'_given{i}'}`").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the clause grammar does not call toxic."""
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model).where("predicted = 0").select(*docs.columns)
+    return _taken_back(toxicity.scored(_set_aside(docs), model).where("predicted = 0"), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at a similarity of 0.8."""
-    return jaccard_join.one_of_each(docs, similarity=jaccard_join.Similarity(words=5, times=80, over=100))
+    same = jaccard_join.Similarity(words=5, times=80, over=100)
+    return _taken_back(jaccard_join.one_of_each(_set_aside(docs), similarity=same), docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of ten words of the benchmark."""
-    return decontaminate.clean(docs, _table(spark, sf_dir, "benchmark"))
+    return _taken_back(decontaminate.clean(_set_aside(docs), _table(spark, sf_dir, "benchmark")), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The training stream: documents in the order of their positions, repeated where their source is passed twice."""
-    return curriculum.stream(curriculum.mixed(docs))
+    return _taken_back(curriculum.stream(curriculum.mixed(_set_aside(docs))), docs)
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every document of the stream: shard and slot."""
-    return weight_tree.sharded(docs, shards=16)
+    return weight_tree.sharded(_set_aside(docs), shards=16)
 
 
 STAGES = [
