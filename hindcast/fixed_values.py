@@ -47,6 +47,9 @@ PURPOSE_SAMPLE = "Inspect stable sample from {table}"
 FACT_AGGREGATE = "aggregate_before_cutoff"
 FACT_ENTITY = "entity_rows"
 FACT_SAMPLE = "sample_rows"
+ERROR_ENTITY = "Entity id {entity} is not a {kind} as {column} is"
+ERROR_TABLE = "The database has no table {table}"
+VIOLATION = "{purpose}: saw value {value} past cutoff {cutoff}"
 PURPOSE_INSPECT = "Inspect recent sample from {table}"
 PURPOSE_RANGE = "Check date range in {table}"
 

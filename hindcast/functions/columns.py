@@ -63,12 +63,6 @@ def looks_like_time_sql(sql: str) -> str:
     return f"(LENGTH({sql}) >= 10 AND {sql} RLIKE '^[0-9]{{4}}' AND CONTAINS({sql}, '-'))"
 
 
-def epoch_seconds_sql(sql: str) -> str:
-    """Whole seconds since 1970 of a wall-clock time, independent of the session time zone."""
-    days = f"CAST(DATEDIFF(CAST({sql} AS DATE), DATE'1970-01-01') AS BIGINT)"
-    return f"({days} * 86400 + HOUR({sql}) * 3600 + MINUTE({sql}) * 60 + CAST(SECOND({sql}) AS INT))"
-
-
 def hash_uniform(seed: int | str, *parts: Column) -> Column:
     """Uniform number in [0, 1) from the first 32 bits of an md5, equal on every engine."""
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts]))

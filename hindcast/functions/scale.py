@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,11 +17,19 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of an input of fewer parts than there are cores, as one small file is; a large input stays where it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return written(df.repartition(cores), "spread") if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else a folder beside the warehouse tables."""
+    """The folder all executors share: ``spark.checkpoint.dir``; on a local master else a folder beside the warehouse tables."""
     conf = spark.sparkContext.getConf()
     folder = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    folder = folder or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir", None)
+    folder = folder or spark.sparkContext.getCheckpointDir()
+    if not folder and re.match(r"local(\[|$)", spark.sparkContext.master):
+        folder = spark.conf.get("spark.sql.warehouse.dir", None)
     if not folder:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{folder.rstrip('/')}/hindcast-{spark.sparkContext.applicationId}"

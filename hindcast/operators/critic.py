@@ -13,7 +13,7 @@ from hindcast import fixed_values as fixed
 from hindcast.functions.columns import filled
 from hindcast.operators.evidence import evidence_queries, initial_plan, question_text
 from hindcast.operators.predict import answer_text, first_label
-from hindcast.operators.profile import nulls_and_distinct, primary_keys, relationships, schema_summary
+from hindcast.operators.profile import first_keys, relationships, schema_summary
 from hindcast.sources.tables import column_inventory
 from hindcast.tasks import Task, relevant_tables
 
@@ -33,7 +33,7 @@ def task_context(spark: SparkSession, task: Task, tables: dict[str, DataFrame],
     roles = relevant_tables(task, schemas)
     shown = [r.table for r in roles]
     if keys is None:
-        keys = primary_keys(nulls_and_distinct({n: tables[n] for n in shown}))
+        keys = first_keys({n: tables[n] for n in shown})
     columns = F.array_sort(F.collect_list(F.struct("ordinal", "column_name", "data_type", "kind")))
     described = (
         inventory.filter(F.col("table_name").isin(shown))

@@ -25,7 +25,7 @@ from hindcast.functions.columns import (
     value_sql,
     value_text,
 )
-from hindcast.functions.scale import small_relation
+from hindcast.functions.scale import small_relation, written
 from hindcast.operators.cutoffs import CutoffIndex, blocks_holding, blocks_up_to, index_cutoffs, with_interval
 from hindcast.tasks import TableRole, Task, relevant_tables
 
@@ -64,11 +64,13 @@ def aggregate_per_cutoff(table: DataFrame, time_column: str, index: CutoffIndex)
 
     The table is reduced to one row per interval inside each task; only those rows are shuffled.
     """
-    time = F.col(f"`{time_column}`")
+    time = F.col(quoted(time_column))
+    # Equal times are one row before they are placed, so a time that many rows share is not moved as often.
+    times = table.filter(time.isNotNull()).groupBy(time).agg(F.count("*").alias("_n")) if index.swept else table.select(time, F.lit(1).alias("_n"))
     per_interval = (
-        with_interval(table.select(time), time_column, index)
+        with_interval(times, time_column, index)
         .groupBy("idx")
-        .agg(F.count("*").alias("n"), F.min(time).alias("lo"), F.max(time).alias("hi"))
+        .agg(F.sum("_n").alias("n"), F.min(time).alias("lo"), F.max(time).alias("hi"))
     )
     per_block = (
         per_interval.selectExpr("n", "lo", "hi", f"inline({blocks_holding('idx', index.levels)})")
@@ -119,7 +121,9 @@ def entity_rows(
     """(sample_id, rn, columns of the table): at most ``keep`` rows of the sample's entity, up to its cutoff.
 
     Rows are limited per entity and interval before they are shuffled or joined, so an entity that owns a third of
-    the table leaves each task as ``keep`` rows per interval, however many cutoffs ask for it.
+    the table leaves each task as ``keep`` rows per interval, however many cutoffs ask for it. With several cutoffs the
+    rows left are numbered and written; cutoffs and samples choose among the numbers, and the columns are fetched once,
+    for the rows that a sample gets.
     """
     index = index or index_cutoffs(samples)
     schema, columns = table.schema, table.columns
@@ -139,16 +143,19 @@ def entity_rows(
         kept = _first_rows(kept, [key_column], order_by, keep).withColumn("_key", key)
         return asked.join(kept, "_key").select("sample_id", "rn", *[quoted(c) for c in columns])
 
-    names = [quoted(c) for c in columns]
-    per_interval = _first_rows(with_interval(rows, time_column, index), [key_column, "idx"], order_by, keep)
-    spread = per_interval.selectExpr(*names, f"inline({blocks_holding('idx', index.levels)}) AS (_level, _block)")
-    per_block = _first_rows(spread, [key_column, "_level", "_block"], order_by, keep).drop("rn")
+    # What any cutoff could ask for, numbered in the order of all columns. From here on a row is its entity and its number.
+    per_interval = _first_rows(with_interval(rows, time_column, index), [key_column, "idx"], order_by, keep).drop("rn")
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order_by))
+    payload = written(per_interval.withColumn("_place", place).withColumn("_key", key), "candidates")
+    spread = payload.selectExpr("_key", "_place", f"inline({blocks_holding('idx', index.levels)}) AS (_level, _block)")
+    per_block = _first_rows(spread, ["_key", "_level", "_block"], [F.col("_place")], keep).drop("rn")
     numbered = asked.join(index.broadcast(index.cutoffs.select("cutoff", "idx")), "cutoff")
     wanted = numbered.selectExpr(
         "sample_id", "_key", f"inline({blocks_up_to('idx', index.levels)}) AS (_level, _block)"
     )
-    found = wanted.join(per_block.withColumn("_key", key), ["_key", "_level", "_block"])
-    return _first_rows(found, ["sample_id"], order_by, keep).select("sample_id", "rn", *names)
+    found = wanted.join(per_block, ["_key", "_level", "_block"]).select("sample_id", "_key", "_place")
+    chosen = _first_rows(found, ["sample_id"], [F.col("_place")], keep)
+    return chosen.join(payload.drop("idx"), ["_key", "_place"]).select("sample_id", "rn", *[quoted(c) for c in columns])
 
 
 def _first_rows(df: DataFrame, keys: list[str], order_by: list[Column], keep: int) -> DataFrame:
@@ -215,16 +222,39 @@ def row_json_sql(schema: T.StructType) -> str:
     return f"to_json(named_struct({', '.join(fields)}), map('ignoreNullFields', 'false'))"
 
 
+_SEEN = "CAST(array() AS ARRAY<STRUCT<path: STRING, seen: STRING>>)"
+
+
+def _walked(sql: str, data_type: T.DataType, path: str, depth: int = 0) -> str | None:
+    """SQL for the (path, seen) of all times and texts in a value of any type; None if its type can hold none."""
+    if kind_of(data_type) == "temporal" or isinstance(data_type, T.StringType):
+        return f"array(named_struct('path', {literal(path)}, 'seen', {value_sql(sql, data_type)}))"
+    if isinstance(data_type, T.StructType):
+        parts = [_walked(f"{sql}.{quoted(f.name)}", f.dataType, f"{path}.{f.name}", depth) for f in data_type.fields]
+        parts = [p for p in parts if p]
+        return f"concat({', '.join(parts)})" if parts else None
+    each = []
+    if isinstance(data_type, T.ArrayType):
+        each = [(sql, data_type.elementType, f"{path}[]")]
+    elif isinstance(data_type, T.MapType):
+        each = [(f"map_keys({sql})", data_type.keyType, f"{path}.key"), (f"map_values({sql})", data_type.valueType, f"{path}.value")]
+    parts = []
+    for held, kind, where in each:
+        one = _walked(f"x{depth}", kind, where, depth + 1)
+        if one:
+            parts.append(f"coalesce(flatten(transform({held}, x{depth} -> {one})), {_SEEN})")
+    return f"concat({', '.join(parts)})" if parts else None
+
+
+def seen_times_sql(schema: T.StructType) -> str:
+    """SQL for the times a row shows, wherever structs, arrays and maps hold them: an array of (path, seen)."""
+    parts = [p for f in schema.fields if (p := _walked(quoted(f.name), f.dataType, f.name))]
+    return f"filter(concat({_SEEN}, {', '.join(parts)}), t -> {looks_like_time_sql('t.seen')})" if parts else _SEEN
+
+
 def _times(schema: T.StructType) -> str:
     """SQL for the texts of a row that look like times."""
-    texts = [
-        value_sql(quoted(f.name), f.dataType)
-        for f in schema.fields
-        if kind_of(f.dataType) == "temporal" or isinstance(f.dataType, T.StringType)
-    ]
-    if not texts:
-        return "CAST(array() AS ARRAY<STRING>)"
-    return f"filter(array({', '.join(texts)}), t -> {looks_like_time_sql('t')})"
+    return f"transform({seen_times_sql(schema)}, t -> t.seen)"
 
 
 ROW_COLUMNS = ["sample_id", "query_ordinal", "rn", "row_json", "times", "label"]
@@ -267,13 +297,29 @@ def facts(
 ) -> DataFrame:
     """One row per sample and query: purpose, SQL text, capped row count and the first rows.
 
-    Only rows of the entity are shuffled to their sample (at most ten each), together with a placeholder per (sample,
+    Evidence is gathered once for each (entity, cutoff), however many samples ask for it or repeat. Only rows of the entity are shuffled to their sample (at most ten each), together with a placeholder per (sample,
     query) so that queries that found nothing are listed too. What samples share is joined on afterwards: aggregates
     by cutoff, and the ten-row samples of tables without time and entity.
     """
-    index = index or index_cutoffs(samples)
     if queries is None:
         queries = query_list(relevant_tables(task, {n: df.schema for n, df in tables.items()}))
+    named = written(samples.select("sample_id", "entity_id", "cutoff").distinct(), "samples")
+    pairs = written(named.groupBy("entity_id", "cutoff").agg(F.min("sample_id").alias("sample_id")), "pairs")
+    index = index or index_cutoffs(pairs)
+    if pairs.count() == named.count():
+        return _facts(named, task, tables, index, queries, kept, cap)
+    found = _facts(pairs, task, tables, index, queries, kept, cap)
+    asking = named.alias("n").join(pairs.alias("p"), F.expr("n.entity_id <=> p.entity_id AND n.cutoff <=> p.cutoff"))
+    asking = asking.select(F.col("n.sample_id").alias("_asking"), F.col("p.sample_id").alias("sample_id"))
+    columns = [F.col(c) for c in found.columns if c != "sample_id"]
+    return asking.join(found, "sample_id").select(F.col("_asking").alias("sample_id"), *columns)
+
+
+def _facts(
+    samples: DataFrame, task: Task, tables: dict[str, DataFrame], index: CutoffIndex,
+    queries: list[tuple[int, TableRole, str, str]], kept: int, cap: int,
+) -> DataFrame:
+    """``facts`` of samples without repeats."""
     own, by_cutoff, shared = [], [], []
     for ordinal, role, fact, _purpose in queries:
         table = tables[role.table]
@@ -343,9 +389,32 @@ def facts(
         "transform(kept, k -> k.row_json) AS sample_rows",
         "flatten(transform(kept, k -> k.times)) AS times",
         "label",
+        f"{per_query(lambda q: _error_sql(q[1], q[2], tables[q[1].table].schema))} AS error",
     )
 
 
+def _error_sql(role: TableRole, fact: str, schema: T.StructType) -> str:
+    """SQL for what is wrong with a query of one sample, null as a rule; the other samples' queries are not touched by it."""
+    if fact != fixed.FACT_ENTITY:
+        return "CAST(NULL AS STRING)"
+    kind = schema[role.key_column].dataType.simpleString()
+    before, after = fixed.ERROR_ENTITY.format(entity="\0", kind=kind, column=role.key_column).split("\0")
+    return f"CASE WHEN try_cast(entity_id AS {kind}) IS NULL THEN concat({literal(before)}, entity_id, {literal(after)}) END"
+
+
+def skipped_queries(samples: DataFrame, task: Task, tables: dict[str, DataFrame]) -> DataFrame:
+    """(sample_id, query_ordinal, purpose, error) of the queries a task's tables would get that are not there."""
+    known = query_list(relevant_tables(task, {n: df.schema for n, df in tables.items()}))
+    absent = [t for t in task.candidate_tables if t not in tables]
+    rows = [
+        f"named_struct('query_ordinal', {len(known) + i}, 'purpose', {literal(fixed.PURPOSE_ENTITY.format(table=t))}, "
+        f"'error', {literal(fixed.ERROR_TABLE.format(table=t))})"
+        for i, t in enumerate(absent)
+    ]
+    listed = f"array({', '.join(rows)})" if rows else "CAST(array() AS ARRAY<STRUCT<query_ordinal: INT, purpose: STRING, error: STRING>>)"
+    return samples.select("sample_id").distinct().selectExpr("sample_id", f"inline({listed})")
+
+
 def packets(fact_rows: DataFrame) -> DataFrame:
     """One nested packet per sample: the queries in order and the facts under ``<table>_<fact_key>``."""
     summary = F.struct("row_count", "sample_rows")
@@ -448,10 +517,14 @@ def question_text(template: str | None, row_columns: list[str], task: Task, stri
 def masked_split(full: DataFrame, target_column: str, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The split without its target, and the targets by (entity_id, cutoff, repeat_no) to score with afterwards.
 
-    ``repeat_no`` numbers the rows of one entity and cutoff in the order of their contents, so each meets its own target.
+    ``repeat_no`` numbers the rows of one entity and cutoff, so each meets its own target. Rows are ordered by what is not
+    hidden, rows alike in that by a hash of the whole row: the number is repeatable and tells nothing of the target.
     """
     rows = full.orderBy("entity_id", "cutoff").limit(limit) if limit is not None else full
-    repeats = Window.partitionBy("entity_id", "cutoff").orderBy(*[F.col(f"`{c}`") for c in sorted(full.columns)])
+    columns = [F.col(quoted(c)) for c in sorted(full.columns)]
+    shown = [c for c, name in zip(columns, sorted(full.columns)) if name != target_column]
+    drawn = F.md5(F.concat_ws(":", F.lit("repeat"), F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})))
+    repeats = Window.partitionBy("entity_id", "cutoff").orderBy(*shown, drawn)
     rows = rows.withColumn("repeat_no", F.row_number().over(repeats))
     return rows.drop(target_column), rows.select("entity_id", "cutoff", "repeat_no", target_column)
 

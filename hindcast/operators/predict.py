@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from hindcast import fixed_values as fixed
 from hindcast.functions.columns import filled, literal, time_text
+from hindcast.operators.evidence import initial_plan, packets, question_text
+from hindcast.tasks import Task
 
 
 def train_mean(train: DataFrame, target_column: str, by: str = "task_name") -> DataFrame:
@@ -98,22 +100,58 @@ def truth_match(answer: Column, truth: Column) -> list[Column]:
 
 
 def leakage_audit(fact_rows: DataFrame, samples: DataFrame) -> DataFrame:
-    """Per sample: the latest time-like text among the kept rows, how many lie past the cutoff, and the verdict.
+    """Per sample: the latest time among the kept rows, what lies past the cutoff and in which query, and the verdict.
 
-    ``samples`` has to be the one ``fact_rows`` were gathered for. Texts compare like times, see ``time_text``.
+    ``samples`` holds the cutoffs to audit against, as a rule those ``fact_rows`` were gathered for. Times compare as
+    texts, see ``time_text``. ``violation_texts`` are in the order of the queries, their rows and columns.
     """
-    seen = fact_rows.groupBy("sample_id").agg(
-        F.flatten(F.collect_list("times")).alias("times"),
-    )
     cutoff = time_text("cutoff")
-    past = F.size(F.filter("times", lambda t: t > cutoff))
-    return seen.join(samples.select("sample_id", "cutoff"), "sample_id").select(
+    asked = samples.select("sample_id", cutoff.alias("cutoff_time")).distinct()
+    past = F.filter("times", lambda t: t > F.col("cutoff_time"))
+    seen = fact_rows.select("sample_id", "query_ordinal", "purpose", "times").join(asked, "sample_id")
+    told = F.transform(past, lambda t: filled(fixed.VIOLATION, purpose=F.col("purpose"), value=t, cutoff=F.col("cutoff_time")))
+    per_query = seen.select("sample_id", "cutoff_time", "query_ordinal", F.array_max("times").alias("latest"), told.alias("told"))
+    audited = per_query.groupBy("sample_id", "cutoff_time").agg(
+        F.max("latest").alias("max_seen_time"),
+        F.array_sort(F.collect_list(F.when(F.size("told") > 0, F.struct("query_ordinal", "told")))).alias("found"),
+    )
+    texts = F.flatten(F.transform("found", lambda q: q["told"]))
+    return audited.select(
+        "sample_id",
+        "cutoff_time",
+        "max_seen_time",
+        F.size(texts).cast("long").alias("violations"),
+        texts.alias("violation_texts"),
+        (F.size("found") == 0).alias("passed"),
+    )
+
+
+def prediction_records(predictions: DataFrame, fact_rows: DataFrame, audits: DataFrame, task: Task) -> DataFrame:
+    """One record per sample, as a line of the predictions file: question, plan, packet, audit, mode, value and error.
+
+    ``predictions``: sample_id, dataset_name, task_name, entity_id, cutoff, train_mean, ground_truth, and from
+    ``coerced_prediction`` predicted_value, predictor_mode and output. The packet names the benchmark task and its baseline.
+    """
+    asked = with_error(predictions).select(
+        "sample_id", "dataset_name", "task_name", "entity_id", time_text("cutoff").alias("cutoff_time"),
+        question_text(task.question_template, [], task).alias("question"), "ground_truth", "predicted_value", "absolute_error",
+        "predictor_mode", F.col("output").alias("predictor_output"), initial_plan(task).alias("task_plan"), "train_mean",
+    )
+    audit = audits.select(
         "sample_id",
-        cutoff.alias("cutoff_time"),
-        F.array_max("times").alias("max_seen_time"),
-        past.cast("long").alias("violations"),
-        (past == 0).alias("passed"),
+        F.struct("passed", "cutoff_time", "max_seen_time", F.col("violation_texts").alias("violations")).alias("leakage_audit"),
     )
+    benchmark = F.struct(
+        "dataset_name", "task_name", F.lit(task.target_column).alias("target_col"), F.lit(task.task_type).alias("task_type"),
+        F.lit(task.lookup_column).alias("entity_col"), "cutoff_time",
+    )
+    packet = F.struct(
+        "queries_run", "facts", "candidate_entities", "limitations", benchmark.alias("benchmark_task"),
+        F.struct(F.col("train_mean").alias("train_target_mean")).alias("benchmark_baseline"),
+    )
+    joined = asked.join(packets(fact_rows), "sample_id").join(audit, "sample_id")
+    kept = [c for c in asked.columns if c != "train_mean"]
+    return joined.select(*kept, packet.alias("evidence_packet"), "leakage_audit")
 
 
 def evaluation_summary(predictions: DataFrame, audits: DataFrame, target_column: str) -> DataFrame:

@@ -26,7 +26,10 @@ from hindcast.tasks import Task
 # A sample that is not settled and still asks for something.
 OPEN = "(NOT (in_prompt OR in_answer) AND size(missing) > 0)"
 
-HISTORY_TYPE = "array<struct<round:int,evidence_types:array<string>,score:double,matched:boolean>>"
+HISTORY_TYPE = (
+    f"array<struct<round:int,evidence_types:array<string>,score:double,matched:boolean,additional_evidence:{ADDITION_TYPE},"
+    "evaluation:struct<score:double,matched:boolean,reason:string>>>"
+)
 
 
 def first_states(
@@ -86,7 +89,7 @@ def refine(
     for number in range(1, rounds + 1):
         entry = (
             f"named_struct('round', {number}, 'evidence_types', added.evidence_type, "
-            "'score', evaluation.score, 'matched', evaluation.matched)"
+            "'score', evaluation.score, 'matched', evaluation.matched, 'additional_evidence', added, 'evaluation', evaluation)"
         )
         state = (
             state.withColumn("added", added)

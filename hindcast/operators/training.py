@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hindcast import fixed_values as fixed
 from hindcast.functions.columns import hash_uniform
-
+from hindcast.functions.scale import written
 
 
 # --- T1 / T2 sampling ----------------------------------------------------------------------------------------------
@@ -235,6 +235,39 @@ def loop_metrics(episodes: DataFrame) -> DataFrame:
     return per_adapter.withColumn("role_share", F.col("episodes") / total)
 
 
+def head_to_head(attempts: DataFrame, keys: list[str], adapter: str = "adapter", run: str = "run") -> DataFrame:
+    """Per pair of adapters, how their attempts at the same inputs compare, and what a later run of one lost or gained.
+
+    ``attempts``: keys, adapter, run, prompt_sufficient, score, rounds. Better is: sufficient, then higher score, then
+    fewer rounds. Each input counts once for a pair of adapters, by the best attempt of each in their last runs; an
+    adapter against itself is its last run against the run before, input by input. Attempts become one row per (input, adapter,
+    run) in the task that reads them, so an input that everybody tried meets as often as there are adapters.
+    """
+    rank = F.struct(F.col("prompt_sufficient").cast("int").alias("sufficient"), F.col("score"), (-F.col("rounds")).alias("few_rounds"))
+    best = attempts.groupBy(*keys, adapter, run).agg(F.max(rank).alias("rank"))
+    best = written(best, "attempts")
+    latest = Window.partitionBy(*keys, adapter).orderBy(F.desc(run))
+    turn = best.withColumn("_turn", F.row_number().over(latest)).filter("_turn <= 2").drop(run)
+    last, before = turn.filter("_turn = 1").drop("_turn"), turn.filter("_turn = 2").drop("_turn")
+    named = lambda df, side: df.select(*keys, F.col(adapter).alias(side), F.col("rank").alias(f"{side}_rank"))
+    others = named(last, "left_adapter").join(named(last, "right_adapter"), keys).filter("left_adapter < right_adapter")
+    own = named(last, "left_adapter").join(named(before, "right_adapter"), keys).filter("left_adapter = right_adapter")
+    both = others.unionByName(own)
+    count = lambda test: F.count_if(F.expr(test))
+    return (
+        both.groupBy("left_adapter", "right_adapter")
+        .agg(
+            F.count(F.lit(1)).alias("inputs"),
+            count("left_adapter_rank > right_adapter_rank").alias("left_wins"),
+            count("left_adapter_rank < right_adapter_rank").alias("right_wins"),
+            count("left_adapter_rank = right_adapter_rank").alias("draws"),
+            count("right_adapter_rank.sufficient = 1 AND left_adapter_rank.sufficient = 0").alias("sufficiency_lost"),
+        )
+        .withColumn("left_win_rate", F.col("left_wins") / F.col("inputs"))
+        .withColumn("regression_rate", F.when(F.col("left_adapter") == F.col("right_adapter"), F.col("right_wins") / F.col("inputs")))
+    )
+
+
 def example_labels(episodes: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Positive: sufficient, and scored or settled by refinement. Weak: insufficient, or the target role is to blame."""
     report = F.col("critic_report")

@@ -185,23 +185,24 @@ def _column_profile() -> str:
             else f"{_time(f'MIN({c})')} AS min_value, {_time(f'MAX({c})')} AS max_value"
         )
         + f" FROM {t}"
-        for t, _i, c, k in _columns("numeric", "temporal", tables=td.RETAIL)
+        for t, _i, c, k in _columns("numeric", "temporal")
     )
     return f"""SELECT p.*, coalesce(r.min_value, '') AS min_value, coalesce(r.max_value, '') AS max_value,
         coalesce(v.top_values, '') AS top_values
-        FROM ({_nulls_distinct(td.RETAIL)}) p
+        FROM ({_nulls_distinct()}) p
         LEFT JOIN ({ranges}) r USING (table_name, column_name)
         LEFT JOIN (SELECT table_name, column_name, string_agg(value || '=' || frequency, '|' ORDER BY place) AS top_values
-                   FROM ({_tops(td.RETAIL)}) GROUP BY ALL) v USING (table_name, column_name)"""
+                   FROM ({_tops()}) GROUP BY ALL) v USING (table_name, column_name)"""
 
 
 # --- samples -------------------------------------------------------------------------------------------------------
 
 
 def _samples(task: str, entities: str, cutoffs) -> str:
+    key, table = entities.split(maxsplit=1)
     return (
         f"(SELECT '{task}|' || entity_id || '|' || {_time('cutoff')} AS sample_id, entity_id, cutoff "
-        f"FROM (SELECT DISTINCT CAST({entities.split()[0]} AS VARCHAR) AS entity_id FROM {entities.split()[1]}) "
+        f"FROM (SELECT DISTINCT CAST({key} AS VARCHAR) AS entity_id FROM {table}) "
         f"CROSS JOIN (VALUES {_cutoff_rows(cutoffs)}) c(cutoff))"
     )
 
@@ -311,7 +312,8 @@ def _agg_fact(samples, ordinal, table, column) -> str:
 def _entity_fact(samples, ordinal, table, key, time, order) -> str:
     head = f"""'SELECT * FROM "{table}" WHERE '"""
     before = f" || {_sql_time(time)} || ' AND '" if time else ""
-    sql = f"""{head}{before} || '"{key}" = ' || s.entity_id || ' ORDER BY 1 LIMIT {fixed.ENTITY_ROWS}'"""
+    entity = "CASE WHEN regexp_full_match(s.entity_id, '[0-9]+') THEN s.entity_id ELSE '''' || s.entity_id || '''' END"
+    sql = f"""{head}{before} || '"{key}" = ' || {entity} || ' ORDER BY 1 LIMIT {fixed.ENTITY_ROWS}'"""
     rows = f"SELECT sample_id, rn, {_json(table)} AS row_json FROM ({_entity(samples, table, key, time, order)})"
     return _fact(samples, ordinal, table, fixed.FACT_ENTITY, fixed.PURPOSE_ENTITY.format(table=table), sql, _kept(rows))
 
@@ -324,8 +326,8 @@ def _sample_fact(samples, ordinal, table) -> str:
     return _fact(samples, ordinal, table, fixed.FACT_SAMPLE, fixed.PURPOSE_SAMPLE.format(table=table), sql, _kept(rows))
 
 
-def _priority_facts(cutoffs) -> str:
-    s = _priority_samples(cutoffs)
+def _priority_facts(cutoffs, s: str | None = None) -> str:
+    s = s or _priority_samples(cutoffs)
     return "(" + _union(
         [
             _entity_fact(s, 0, "customer", "c_custkey", None, "c_custkey, c_name"),
@@ -646,13 +648,28 @@ def _score(answer: str = "answer") -> str:
 
 
 def _rounds() -> str:
+    names = sorted(td.ACTIVITY)
+    matched = dict(zip(td.NEXT_EVENT.expected_evidence, _matches(td.NEXT_EVENT, names)))
+    order = ", ".join(c for _t, _i, c, _k in _columns(tables=(names[0],)))
+    first_rows = f"""(SELECT string_agg(row_json, '|' ORDER BY rn) FROM (SELECT {_json(names[0])} AS row_json,
+        row_number() OVER (ORDER BY {order}) AS rn FROM {names[0]} QUALIFY rn <= {fixed.KEPT_ROWS}))"""
+    first_count = f"(SELECT least(COUNT(*), {fixed.ENTITY_ROWS}) FROM {names[0]})"
+
+    def told(item):
+        rows, count = ("fact.kept", "fact.row_count") if matched[item] == "events" else (first_rows, first_count)
+        return f"{_text(f'{item}#{matched[item]}#')} || {count} || '#' || {rows}"
+
     parts = []
     for r in range(fixed.REFINEMENT_ROUNDS):
         items = _missing(r)[: fixed.MAX_REQUESTS]
         if items:
             parts.append(
                 f"SELECT sample_id, CAST({r + 1} AS INTEGER) AS round, '{'|'.join(items)}' AS evidence_types, "
-                f"{_score()} AS score, in_answer AS matched FROM {_refined()} WHERE rounds >= {r + 1}"
+                f"{_score()} AS score, in_answer AS matched, CASE WHEN truth = '' THEN '{fixed.REASON_EMPTY}' WHEN in_answer "
+                f"THEN '{fixed.REASON_MATCH}' ELSE '{fixed.REASON_MISS}' END AS reason, "
+                + " || '~' || ".join(told(item) for item in items)
+                + f" AS evidence FROM {_refined()} JOIN (SELECT sample_id, row_count, kept FROM ({_agg_fact(_next_samples(), 0, 'events', 'ts')})) fact "
+                f"USING (sample_id) WHERE rounds >= {r + 1}"
             )
     return _union(parts)
 
@@ -795,6 +812,110 @@ def _memory_search() -> str:
         WHERE place <= {fixed.MEMORY_RESULTS} AND (score > 0 OR memory_type = 'fr')"""
 
 
+def _incremental() -> str:
+    after = {
+        "customer": "customer",
+        "orders": "(SELECT * FROM orders UNION ALL SELECT * REPLACE (o_orderkey + 10000000 AS o_orderkey, "
+        "o_orderdate + INTERVAL 10 DAY AS o_orderdate) FROM orders WHERE o_orderkey % 5 = 0)",
+    }
+    keys = {"customer": "c_custkey", "orders": "o_orderkey"}
+    parts = []
+    for table, _i, c, kind in _columns(tables=tuple(after)):
+        number, time = kind == "numeric", kind == "temporal"
+        low, high = (f"CAST({f}({c}) AS VARCHAR)" if number else _time(f"{f}({c})") if time else "NULL" for f in ("MIN", "MAX"))
+        exact = f"COUNT(DISTINCT {c})" if c in q.PROFILE_KEYS[table] else "NULL"
+        avg, dev = (f"round(AVG({c}), 3)", f"round(stddev_samp({c}), 3)") if number else ("NULL", "NULL")
+        parts.append(
+            f"SELECT '{table}' AS table_name, '{c}' AS column_name, COUNT(*) AS row_count, round(COUNT(*) FILTER ({c} IS NULL) / COUNT(*), 6) AS null_rate, "
+            f"{low} AS min_value, {high} AS max_value, CAST({avg} AS DOUBLE) AS avg_value, CAST({dev} AS DOUBLE) AS stddev_value, "
+            f"CAST({exact} AS BIGINT) AS exact_distinct, '{keys[table]}' AS primary_key_guess FROM {after[table]}"
+        )
+    return _union(parts)
+
+
+FILES_READ = """SELECT refresh, table_name, action, files, 0 AS not_stored FROM (VALUES
+    (1, 'customer', 'read', 2), (1, 'orders', 'read', 4), (2, 'customer', 'kept', 2), (2, 'orders', 'kept', 4),
+    (2, 'orders', 'read', 1), (3, 'customer', 'kept', 2), (3, 'orders', 'kept', 5)) t(refresh, table_name, action, files)"""
+
+
+def _violations() -> str:
+    samples = _priority_samples(q.ALL_CUTOFFS)
+    told = fixed.VIOLATION.replace("'", "''").replace("{purpose}", "' || purpose || '").replace("{value}", "' || seen || '").replace("{cutoff}", "' || cutoff_time || '")
+    first = _text(fixed.PURPOSE_AGGREGATE.format(table="orders"))
+    own = _text(fixed.PURPOSE_ENTITY.format(table="orders"))
+    return f"""WITH seen AS (
+            SELECT sample_id, 1 AS n, 1 AS place, {first} AS purpose, min_time AS seen FROM ({_agg(samples, "orders", "o_orderdate")})
+            UNION ALL SELECT sample_id, 1, 2, {first}, max_time FROM ({_agg(samples, "orders", "o_orderdate")})
+            UNION ALL SELECT sample_id, 2, rn, {own}, {_time('o_orderdate')} FROM ({_entity(samples, "orders", "o_custkey", "o_orderdate", ORDERS_BY)})
+            WHERE rn <= {fixed.KEPT_ROWS}),
+        audited AS (SELECT sample_id, {_time("CASE WHEN CAST(entity_id AS BIGINT) % 7 = 0 THEN cutoff - INTERVAL 400 DAY ELSE cutoff END")} AS cutoff_time
+            FROM {samples})
+        SELECT sample_id, COUNT(*) OVER (PARTITION BY sample_id) AS violations,
+            CAST(row_number() OVER (PARTITION BY sample_id ORDER BY n, place) - 1 AS INTEGER) AS position, '{told}' AS violation
+        FROM seen JOIN audited USING (sample_id) WHERE seen > cutoff_time"""
+
+
+def _head_to_head() -> str:
+    rank = "(CASE WHEN o_orderstatus = 'F' THEN 100 ELSE 0 END + CASE WHEN o_totalprice > 250000 THEN 10 ELSE 0 END - o_orderkey % 3)"
+    return f"""WITH best AS (SELECT o_custkey % 100 AS input, o_orderpriority AS adapter, year(o_orderdate) AS run, MAX({rank}) AS rank
+            FROM orders GROUP BY ALL),
+        turns AS (SELECT *, row_number() OVER (PARTITION BY input, adapter ORDER BY run DESC) AS turn FROM best),
+        met AS (
+            SELECT l.adapter AS left_adapter, r.adapter AS right_adapter, l.rank AS a, r.rank AS b FROM turns l JOIN turns r USING (input)
+            WHERE l.turn = 1 AND ((l.adapter < r.adapter AND r.turn = 1) OR (l.adapter = r.adapter AND r.turn = 2)))
+        SELECT left_adapter, right_adapter, COUNT(*) AS inputs, COUNT(*) FILTER (a > b) AS left_wins, COUNT(*) FILTER (a < b) AS right_wins,
+            COUNT(*) FILTER (a = b) AS draws, COUNT(*) FILTER (b >= 90 AND a < 90) AS sufficiency_lost,
+            round(COUNT(*) FILTER (a > b) / COUNT(*), 4) AS left_win_rate,
+            CASE WHEN left_adapter = right_adapter THEN round(COUNT(*) FILTER (a < b) / COUNT(*), 4) END AS regression_rate
+        FROM met GROUP BY left_adapter, right_adapter"""
+
+
+def _records() -> str:
+    number = "CAST(entity_id AS BIGINT)"
+    value = f"CASE WHEN {number} % 3 = 0 THEN CAST({number} AS DOUBLE) ELSE train_mean END"
+    return f"""SELECT sample_id, 'Using only information available on or before ' || cutoff_time || ', predict spend for custkey=' || entity_id || '.' AS question,
+            CASE {number} % 3 WHEN 0 THEN '{fixed.MODE_MODEL}' WHEN 1 THEN '{fixed.MODE_FALLBACK}' ELSE '{fixed.MODE_BASELINE}' END AS predictor_mode,
+            round({value}, 4) AS predicted_value, round(abs({value} - spend), 4) AS absolute_error, round(spend, 2) AS ground_truth,
+            'spend' AS plan_target, 'custkey' AS entity_col, round(train_mean, 4) AS train_target_mean, 3 AS queries_run, 3 AS facts,
+            coalesce(max_seen_time, '') <= cutoff_time AS audit_passed, coalesce(max_seen_time, '') AS max_seen_time,
+            CASE {number} % 3 WHEN 0 THEN '{{"predicted_value": ' || entity_id || '}}' WHEN 1 THEN 'no answer' ELSE '' END AS output
+        FROM (SELECT sample_id, spend, train_mean FROM {_spend_predictions()}) JOIN {_seen_orders(_spend_samples())} USING (sample_id)"""
+
+
+def _closure() -> str:
+    gone = {
+        "region": ("r_regionkey", "r_name = 'ASIA'"),
+        "nation": ("n_nationkey", "n_regionkey IN (SELECT id FROM gone_region)"),
+        "customer": ("c_custkey", "c_nationkey IN (SELECT id FROM gone_nation)"),
+        "supplier": ("s_suppkey", "s_nationkey IN (SELECT id FROM gone_nation)"),
+        "orders": ("o_orderkey", "o_custkey IN (SELECT id FROM gone_customer)"),
+    }
+    ctes = ", ".join(f"gone_{t} AS (SELECT {key} AS id FROM {t} WHERE {test})" for t, (key, test) in gone.items())
+    tests = {
+        **{t: (key, f"{key} NOT IN (SELECT id FROM gone_{t})") for t, (key, _test) in gone.items()},
+        "lineitem": ("l_orderkey", "l_orderkey NOT IN (SELECT id FROM gone_orders) AND l_suppkey NOT IN (SELECT id FROM gone_supplier)"),
+        "part": ("p_partkey", "true"),
+    }
+    return f"WITH {ctes} " + " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, COUNT(*) AS rows_left, CAST(SUM({key}) AS BIGINT) AS key_sum FROM {t} WHERE {test}"
+        for t, (key, test) in tests.items()
+    )
+
+
+def _audit() -> str:
+    named = _samples("order_priority", "c_name (SELECT * FROM customer WHERE c_custkey % 50 = 0)", td.SPEND_TEST)
+    both = f"(SELECT * FROM {_priority_samples(q.ALL_CUTOFFS)} UNION ALL SELECT * FROM {named})"
+    column = "CASE table_name WHEN 'customer' THEN 'c_custkey' ELSE 'o_custkey' END"
+    before, between, after = fixed.ERROR_ENTITY.format(entity="~", kind="bigint", column="~").split("~")
+    error = f"{_text(before)} || entity_id || {_text(between)} || {column} || {_text(after)}"
+    bad = f"fact_key = '{fixed.FACT_ENTITY}' AND TRY_CAST(entity_id AS BIGINT) IS NULL"
+    return f"""SELECT 'analyst' AS user_id, 'retail' AS database_id, sample_id, query_ordinal, sql, purpose,
+            CASE WHEN NOT ({bad}) THEN row_count END AS row_count, CASE WHEN {bad} THEN 'failed' ELSE 'success' END AS status,
+            CASE WHEN {bad} THEN {error} END AS error_message FROM {_priority_facts((), both)}
+        UNION ALL SELECT 'analyst', 'retail', sample_id, CAST(4 AS INTEGER), NULL, {_text(fixed.PURPOSE_ENTITY.format(table="returns"))}, NULL, 'skipped',
+            {_text(fixed.ERROR_TABLE.format(table="returns"))} FROM {named}"""
+
+
 def _words() -> str:
     anywhere = "[" + ", ".join(_text(w) for w in fixed.FORBIDDEN_WORDS) + "]"
     return f"""SELECT statement_id, array_to_string(list_filter({anywhere}, lambda w: contains(upper(sql), w)), '|') AS found_anywhere,
@@ -838,8 +959,9 @@ def oracle() -> dict[str, str]:
         f"SELECT *, 'key' AS id_rule FROM ({_relationships(True)})",
         "relationship_support": _support(),
         "table_sample": _table_samples(),
-        "fingerprint_stale": f"""SELECT table_name, row_count, table_name = 'orders' AS is_stale,
-            CAST(64 AS INTEGER) AS digits, TRUE AS has_row_hash FROM ({_counts()})""",
+        "fingerprint_stale": f"""SELECT table_name, row_count + CASE WHEN table_name = 'nation' THEN 1 ELSE 0 END AS row_count,
+            table_name IN ('nation', 'orders') AS is_stale, table_name <> 'nation' AS same_rows
+            FROM ({_counts(('customer', 'nation', 'orders', 'region'))})""",
         "database_summary": _summary(),
         "profile_refresh": f"""SELECT CASE WHEN table_name IN ({', '.join(_text(t) for t in retail)}) THEN 'retail' ELSE 'activity' END
             AS database_id, table_name, ordinal, column_name, row_count FROM ({_nulls_distinct()})""",
@@ -884,8 +1006,9 @@ def oracle() -> dict[str, str]:
             FROM {_spend_samples(q.ALL_CUTOFFS)}
             UNION ALL SELECT sample_id, 'strict', 'Up to ' || {_time('cutoff')} || ': what does ' || entity_id || ' (retail) do?'
             FROM {_spend_samples(q.ALL_CUTOFFS)}""",
-        "masked_split": f"""SELECT sample_id, entity_id, {_time('cutoff')} AS cutoff_time, round(spend, 2) AS spend
-            FROM {_spend_split(q.ALL_CUTOFFS)}""",
+        "masked_split": f"""WITH once AS (SELECT * FROM {_spend_split(q.ALL_CUTOFFS)})
+            SELECT sample_id, entity_id, {_time('cutoff')} AS cutoff_time, round(spend, 2) AS spend FROM once
+            UNION ALL SELECT sample_id, entity_id, {_time('cutoff')}, round(spend + 1, 2) FROM once WHERE CAST(entity_id AS BIGINT) % 3 = 0""",
         "classify_question": """SELECT conv_id, turn,
             CASE WHEN contains(lower(text), 'likely') OR contains(lower(text), 'risk') THEN 'risk_ranking' ELSE 'forecast' END AS prediction_type,
             CASE WHEN contains(lower(text), 'customer') THEN 'customer' ELSE 'entity' END AS entity_name,
@@ -912,6 +1035,10 @@ def oracle() -> dict[str, str]:
         "leakage_audit": f"""SELECT sample_id, cutoff_time, coalesce(max_seen_time, '') AS max_seen_time,
             CAST(0 AS BIGINT) AS violations, TRUE AS passed FROM {priority_seen}
             WHERE max_seen_time IS NULL OR max_seen_time <= cutoff_time""",
+        "leakage_violations": _violations(),
+        "prediction_records": _records(),
+        "profile_incremental": _incremental(),
+        "profile_files_read": FILES_READ,
         "evaluation_summary": f"""SELECT 'retail' AS dataset_name, 'customer_spend' AS task_name, COUNT(*) AS rows_evaluated,
             round(MAX(train_mean), 4) AS train_mean_baseline, round(AVG(absolute_error), 4) AS mae,
             CAST(COUNT(*) FILTER (WHERE max_seen_time > cutoff_time) AS BIGINT) AS leakage_failures, 'spend' AS target_col
@@ -942,16 +1069,20 @@ def oracle() -> dict[str, str]:
         "loop_metrics": _loop_metrics(),
         "example_labels": _example_labels(),
         "preference_pairs": _pairs(),
+        "head_to_head": _head_to_head(),
         "memory_search": _memory_search(),
         "memory_upsert": """SELECT source AS scope, lang AS memory_type, text AS content, doc_id AS version FROM documents
             QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY doc_id DESC) = 1""",
         "log_page": f"""SELECT event_id, {_time('ts')} AS ts, user_id, event_type FROM (
             SELECT * FROM events ORDER BY ts DESC, event_id LIMIT 50 OFFSET 100)""",
+        "log_deep_page": f"""WITH placed AS (SELECT *, row_number() OVER (ORDER BY ts DESC, event_id) - 1 AS place FROM events),
+            wanted AS (SELECT *, place - (SELECT CAST(floor(COUNT(*) / 2) AS BIGINT) FROM events) AS spot FROM placed)
+            SELECT CASE WHEN spot < 50 THEN 1 ELSE 2 END AS page, event_id, {_time('ts')} AS ts, user_id, event_type FROM wanted WHERE spot BETWEEN 0 AND 99""",
+        "delete_closure": _closure(),
         "cascade_delete": """SELECT 'orders' AS table_name, COUNT(*) AS rows_left, CAST(SUM(o_orderkey) AS BIGINT) AS key_sum
             FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')
             UNION ALL SELECT 'lineitem', COUNT(*), CAST(SUM(l_orderkey) AS BIGINT) FROM lineitem
             WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""",
-        "query_audit": f"""SELECT 'analyst' AS user_id, 'retail' AS database_id, sample_id, query_ordinal, sql, purpose, row_count,
-            'success' AS status FROM {_priority_facts(q.ALL_CUTOFFS)}""",
+        "query_audit": _audit(),
         "sql_word_audit": _words(),
     }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 from hindcast import fixed_values as fixed
 from hindcast.functions.columns import kind_of, time_text, value_text
-from hindcast.functions.scale import scratch_path
-from hindcast.operators import critic, evidence, memory, predict, profile, refine, requests, training
+from hindcast.functions.scale import scratch_path, written
+from hindcast.operators import critic, evidence, memory, predict, profile, profile_store, refine, requests, training
 from hindcast.operators.cutoffs import index_cutoffs
 from hindcast.plans import testdata as td
 from hindcast.sources import sinks, tables as sources
@@ -70,21 +71,24 @@ def split_reader(spark, folder):
 
 
 def materialize_metadata(spark, folder):
-    return sources.materialize(_retail(spark, folder), td.TABLE_KEYS, scratch_path(spark, "tables"), rebuild=True)
+    return sources.materialize(_all(spark, folder), td.TABLE_KEYS, scratch_path(spark, "tables"), rebuild=True)
 
 
 def fingerprint_stale(spark, folder):
-    """Fingerprints of all tables against a stored set in which one table had another one."""
-    tables = _all(spark, folder)
-    current = sources.file_fingerprints(spark, {n: f"{folder.rstrip('/')}/{n}.parquet" for n in tables})
-    stored = current.withColumn(
-        "fingerprint", F.when(F.col("table_name") == "orders", "older").otherwise(F.col("fingerprint"))
-    )
-    found = sources.stale_tables(current, stored).join(sources.content_fingerprints(tables), "table_name")
-    # The fingerprints themselves hold file times and Spark's row hash, which no other engine has.
-    return found.select(
-        "table_name", "row_count", "is_stale", F.length("fingerprint").alias("digits"),
-        (F.col("row_hash_sum") != "").alias("has_row_hash"),
+    """Fingerprints of stored copies, written and read back; then one copy gets a row more and one is written anew as it was."""
+    root, names = scratch_path(spark, "copies"), ("customer", "nation", "orders", "region")
+    tables, paths = sources.open_tables(spark, folder, names), {n: f"{root}/{n}.parquet" for n in names}
+    for name, df in tables.items():
+        df.write.parquet(paths[name])
+    kept = written(sources.file_fingerprints(spark, paths), "fingerprints")
+    contents = written(sources.content_fingerprints(sources.open_tables(spark, root, names)), "contents")
+    tables["nation"].orderBy("n_nationkey").limit(1).write.mode("append").parquet(paths["nation"])
+    tables["orders"].write.mode("overwrite").parquet(paths["orders"])
+    found = sources.stale_tables(sources.file_fingerprints(spark, paths), kept)
+    now = sources.content_fingerprints(sources.open_tables(spark, root, names))
+    before = contents.select("table_name", F.col("row_hash_sum").alias("stored_sum"))
+    return found.join(now, "table_name").join(before, "table_name").select(
+        "table_name", "row_count", "is_stale", (F.col("row_hash_sum") == F.col("stored_sum")).alias("same_rows")
     )
 
 
@@ -181,10 +185,55 @@ def profile_refresh(spark, folder):
     )
 
 
+def _changing_tables(spark, folder):
+    """Two tables of several files under a folder of their own, and their paths."""
+    tables, root = _retail(spark, folder), scratch_path(spark, "changing")
+    paths = {n: f"{root}/{n}" for n in ("customer", "orders")}
+    tables["customer"].repartitionByRange(2, "c_custkey").write.parquet(paths["customer"])
+    tables["orders"].repartitionByRange(4, "o_orderkey").write.parquet(paths["orders"])
+    return {n: spark.read.schema(tables[n].schema).parquet(path) for n, path in paths.items()}, paths
+
+
+PROFILE_KEYS = {"customer": ("c_custkey", "c_nationkey"), "orders": ("o_orderkey", "o_custkey", "o_orderstatus")}
+
+
+def _refreshed_store(spark, folder):
+    """A store filled, then refreshed after orders got another file: their first rows again under new keys and ten days later."""
+    tables, paths = _changing_tables(spark, folder)
+    store = profile_store.open_store(spark, scratch_path(spark, "store"), PROFILE_KEYS, STAR_RULE)
+    first = store.refresh(tables, paths)
+    added = _retail(spark, folder)["orders"].filter(F.col("o_orderkey") % 5 == 0).withColumns(
+        {"o_orderkey": F.col("o_orderkey") + 10_000_000, "o_orderdate": F.col("o_orderdate") + F.expr("INTERVAL 10 DAYS")}
+    )
+    added.coalesce(1).write.mode("append").parquet(paths["orders"])
+    return store, first, store.refresh(tables, paths), store.refresh(tables, paths)
+
+
+def profile_incremental(spark, folder):
+    """The merged profile after the refresh: what the changed tables hold, from states of which one file's were read anew."""
+    store = _refreshed_store(spark, folder)[0]
+    keys = store.read("tables").select("table_name", "primary_key_guess")
+    return store.read("columns").join(keys, "table_name").select(
+        "table_name", "column_name", "row_count", F.round("null_rate", 6).alias("null_rate"), "min_value", "max_value",
+        F.round("avg_value", 3).alias("avg_value"), F.round("stddev_value", 3).alias("stddev_value"),
+        F.when(F.col("distinct_is_exact"), F.col("distinct_count")).alias("exact_distinct"), "primary_key_guess",
+    )
+
+
+def profile_files_read(spark, folder):
+    """How many files of each table each of three refreshes read, kept and dropped, and whether the stored fingerprints are current."""
+    store, *refreshes = _refreshed_store(spark, folder)
+    parts = [r.files.groupBy("table_name", "action").agg(F.count("*").alias("files")).withColumn("refresh", F.lit(i)) for i, r in enumerate(refreshes, 1)]
+    same = refreshes[-1].files.select("table_name", "file_id").join(store.files().select("table_name", "file_id"), ["table_name", "file_id"], "left_anti")
+    unknown = same.groupBy("table_name").agg(F.count("*").alias("unknown"))
+    rows = reduce(DataFrame.unionByName, parts).join(unknown, "table_name", "left")
+    return rows.select("refresh", "table_name", "action", "files", F.coalesce("unknown", F.lit(0)).alias("not_stored"))
+
+
 def column_profile(spark, folder):
-    return profile.column_profile(_retail(spark, folder)).select(
+    return profile.column_profile(_all(spark, folder)).select(
         "table_name", "ordinal", "column_name", "kind", "row_count", F.round("null_rate", 6).alias("null_rate"),
-        "distinct_count", F.coalesce("min_value", F.lit("")).alias("min_value"),
+        F.coalesce("distinct_count", F.lit(-1)).alias("distinct_count"), F.coalesce("min_value", F.lit("")).alias("min_value"),
         F.coalesce("max_value", F.lit("")).alias("max_value"),
         F.coalesce(
             F.array_join(F.transform("top_values", lambda v: F.concat_ws("=", v["value"], v["frequency"].cast("string"))), "|"),
@@ -325,8 +374,10 @@ def render_question(spark, folder):
 
 
 def masked_split(spark, folder):
-    full = td.spend_split(_retail(spark, folder), ALL_CUTOFFS)
-    masked, targets = evidence.masked_split(full, "spend")
+    """A split in which every third customer occurs twice, with two targets."""
+    once = td.spend_split(_retail(spark, folder), ALL_CUTOFFS)
+    again = once.filter(F.col("entity_id").cast("long") % 3 == 0).withColumn("spend", F.col("spend") + 1)
+    masked, targets = evidence.masked_split(once.unionByName(again), "spend")
     return masked.join(targets, ["entity_id", "cutoff", "repeat_no"]).select(
         "sample_id", "entity_id", time_text("cutoff").alias("cutoff_time"), F.round("spend", 2).alias("spend")
     )
@@ -472,10 +523,44 @@ def leakage_audit(spark, folder):
     tables = _retail(spark, folder)
     samples = td.priority_samples(tables, ALL_CUTOFFS)
     rows = evidence.facts(samples, td.PRIORITY, tables)
-    audit = predict.leakage_audit(rows, samples)
+    audit = predict.leakage_audit(rows, samples).drop("violation_texts")
     return audit.withColumn("max_seen_time", F.coalesce("max_seen_time", F.lit("")))
 
 
+def leakage_violations(spark, folder):
+    """The same evidence against cutoffs 400 days earlier for every seventh customer: each leak with its query."""
+    tables = _retail(spark, folder)
+    samples = td.priority_samples(tables, ALL_CUTOFFS)
+    rows = evidence.facts(samples, td.PRIORITY, tables)
+    moved = F.when(F.col("entity_id").cast("long") % 7 == 0, F.col("cutoff") - F.expr("INTERVAL 400 DAYS")).otherwise(F.col("cutoff"))
+    audit = predict.leakage_audit(rows, samples.withColumn("cutoff", moved))
+    return audit.select("sample_id", "violations", F.posexplode("violation_texts").alias("position", "violation"))
+
+
+def prediction_records(spark, folder):
+    """The predictions file of the spend task, written as JSON lines and read back; two of three customers have a response."""
+    tables = _retail(spark, folder)
+    number = F.col("entity_id").cast("long")
+    output = F.when(number % 3 == 0, F.concat(F.lit('{"predicted_value": '), "entity_id", F.lit("}"))).when(number % 3 == 1, "no answer")
+    responses = _spend_predictions(tables).drop("predicted_value").withColumn("output", output)
+    samples = td.spend_samples(tables).select("sample_id", "entity_id", "cutoff")
+    facts = evidence.facts(samples, td.SPEND, tables)
+    audits = predict.leakage_audit(facts, samples)
+    records = predict.prediction_records(predict.coerced_prediction(responses), facts, audits, td.SPEND)
+    path = scratch_path(spark, "predictions")
+    sinks.append_json(records, path)
+    read = spark.read.schema(records.schema).json(path)
+    return read.select(
+        "sample_id", "question", "predictor_mode", F.round("predicted_value", 4).alias("predicted_value"),
+        F.round("absolute_error", 4).alias("absolute_error"), F.round("ground_truth", 2).alias("ground_truth"),
+        F.col("task_plan.target.name").alias("plan_target"), F.col("evidence_packet.benchmark_task.entity_col").alias("entity_col"),
+        F.round("evidence_packet.benchmark_baseline.train_target_mean", 4).alias("train_target_mean"),
+        F.size("evidence_packet.queries_run").alias("queries_run"), F.size("evidence_packet.facts").alias("facts"),
+        F.col("leakage_audit.passed").alias("audit_passed"), F.coalesce("leakage_audit.max_seen_time", F.lit("")).alias("max_seen_time"),
+        F.coalesce("predictor_output", F.lit("")).alias("output"),
+    )
+
+
 def evaluation_summary(spark, folder):
     tables = _retail(spark, folder)
     summary = predict.evaluation_summary(_spend_predictions(tables), _spend_audit(tables), "spend")
@@ -556,10 +641,16 @@ def _trajectories(spark, folder):
 
 
 def refine_rounds(spark, folder):
+    """Every round with what it brought and how the answer was judged then."""
     done = _trajectories(spark, folder)
+    told = F.transform(
+        "h.additional_evidence",
+        lambda e: F.concat_ws("#", e["evidence_type"], e["table_name"], e["row_count"].cast("string"), F.array_join(e["sample_rows"], "|")),
+    )
     return done.select("sample_id", F.explode("refinement_history").alias("h")).select(
         "sample_id", F.col("h.round").alias("round"), _joined("h.evidence_types").alias("evidence_types"),
-        F.col("h.score").alias("score"), F.col("h.matched").alias("matched"),
+        F.col("h.score").alias("score"), F.col("h.matched").alias("matched"), F.col("h.evaluation.reason").alias("reason"),
+        F.array_join(told, "~").alias("evidence"),
     )
 
 
@@ -700,6 +791,21 @@ def preference_pairs(spark, folder):
     return training.preference_pairs(attempts, ["o_custkey", "o_orderpriority"])
 
 
+def head_to_head(spark, folder):
+    """Orders as attempts of adapters (their priorities) at inputs (customers of a remainder), a year as a run."""
+    orders = _retail(spark, folder)["orders"]
+    attempts = orders.select(
+        (F.col("o_custkey") % 100).alias("input"),
+        F.col("o_orderpriority").alias("adapter"),
+        F.year("o_orderdate").alias("run"),
+        (F.col("o_orderstatus") == "F").alias("prompt_sufficient"),
+        F.when(F.col("o_totalprice") > 250000, 1.0).otherwise(0.0).alias("score"),
+        (F.col("o_orderkey") % 3).cast("int").alias("rounds"),
+    )
+    found = training.head_to_head(attempts, ["input"])
+    return found.withColumns({c: F.round(c, 4) for c in ("left_win_rate", "regression_rate")})
+
+
 # --- memory and logs -----------------------------------------------------------------------------------------------
 
 
@@ -738,6 +844,47 @@ def log_page(spark, folder):
     return page.select("event_id", time_text("ts").alias("ts"), "user_id", "event_type")
 
 
+def log_deep_page(spark, folder):
+    """A page from the middle of the stored events and the one that follows its last row."""
+    tables = _activity(spark, folder)
+    log = memory.store_log(tables["events"], "ts", "event_id", scratch_path(spark, "log"), range_rows=2_000)
+    offset = sum(rows for _number, rows, _newest, _oldest in log.ranges) // 2
+    page = log.page(spark, limit=50, offset=offset)
+    last = page.orderBy(F.asc("ts"), F.desc("event_id")).select("ts", "event_id").first()
+    parts = [page.withColumn("page", F.lit(1))]
+    if last:
+        parts.append(log.page_after(spark, last["ts"], last["event_id"], limit=50).withColumn("page", F.lit(2)))
+    return reduce(DataFrame.unionByName, parts).select("page", "event_id", time_text("ts").alias("ts"), "user_id", "event_type")
+
+
+def delete_closure(spark, folder):
+    """A region deleted with its nations, their customers and suppliers, their orders, and the line items of both."""
+    tables = {n: df for n, df in _retail(spark, folder).items()}
+    references = [
+        memory.Reference("nation", "n_regionkey", "region"),
+        memory.Reference("customer", "c_nationkey", "nation"),
+        memory.Reference("supplier", "s_nationkey", "nation"),
+        memory.Reference("orders", "o_custkey", "customer"),
+        memory.Reference("lineitem", "l_orderkey", "orders"),
+        memory.Reference("lineitem", "l_suppkey", "supplier"),
+    ]
+    keys = {
+        "region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey",
+        "orders": "o_orderkey",
+    }
+    deleted = tables["region"].filter(F.col("r_name") == "ASIA").select("r_regionkey")
+    left = memory.delete_closure(tables, keys, references, {"region": deleted})
+    firsts = {**keys, "lineitem": "l_orderkey", "part": "p_partkey"}
+    return memory.union_all(
+        [
+            df.agg(F.count("*").alias("rows_left"), F.sum(firsts[n]).cast("long").alias("key_sum")).select(
+                F.lit(n).alias("table_name"), "rows_left", "key_sum"
+            )
+            for n, df in left.items()
+        ]
+    )
+
+
 def cascade_delete(spark, folder):
     """Orders with status F deleted together with their line items."""
     tables = _retail(spark, folder)
@@ -760,8 +907,13 @@ def cascade_delete(spark, folder):
 
 
 def query_audit(spark, folder):
-    _samples, rows = _priority_facts(spark, folder)
-    return memory.query_audit(rows, "analyst", "retail").drop("error_message")
+    """The priority samples, and every fiftieth customer asked for by name, which is no key, of a task with a table too many."""
+    tables = _retail(spark, folder)
+    named = td.named_samples(tables)
+    samples = td.priority_samples(tables, ALL_CUTOFFS).unionByName(named)
+    task = dataclasses.replace(td.PRIORITY, candidate_tables=(*td.PRIORITY.candidate_tables, "returns"))
+    rows = evidence.facts(samples, task, tables)
+    return memory.query_audit(rows, "analyst", "retail", evidence.skipped_queries(named, task, tables))
 
 
 def sql_word_audit(spark, folder):
@@ -787,16 +939,16 @@ QUERIES = {
         table_inventory, split_reader, materialize_metadata, fingerprint_stale, fingerprint_rows,
         profile_row_counts, profile_nulls_distinct, profile_numeric, profile_temporal, profile_top_values,
         primary_key_guess, infer_relationships, relationship_support, table_sample, database_summary,
-        profile_refresh, column_profile,
+        profile_refresh, profile_incremental, profile_files_read, column_profile,
         date_range, evidence_agg_cutoff, evidence_entity_rows, evidence_entity_rows_recent, evidence_entity_static,
         evidence_fallback_sample, result_summary, evidence_packet, match_evidence_table, followup_evidence,
         render_question, masked_split, classify_question, initial_plan, predict_requests,
         predict_requests_all,
         train_mean_baseline, infer_label, heuristic_answer, coerce_prediction, regression_mae, ground_truth_match,
-        leakage_audit, evaluation_summary, customer_spend,
+        leakage_audit, leakage_violations, prediction_records, evaluation_summary, customer_spend,
         available_sections, final_prompt, critic_judgement, missing_evidence, refine_rounds, trajectories,
         sample_episodes, sample_roles, examples_planner, examples_explorer, examples_predictor, examples_critic,
-        examples_written, chat_text, run_state, loop_metrics, example_labels, preference_pairs,
-        memory_search, memory_upsert, log_page, cascade_delete, query_audit, sql_word_audit,
+        examples_written, chat_text, run_state, loop_metrics, example_labels, preference_pairs, head_to_head,
+        memory_search, memory_upsert, log_page, log_deep_page, cascade_delete, delete_closure, query_audit, sql_word_audit,
     )
 }

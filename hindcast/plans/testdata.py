@@ -27,6 +27,13 @@ TABLE_KEYS = {
     "part": TableKeys("p_partkey"),
     "region": TableKeys("r_regionkey"),
     "supplier": TableKeys("s_suppkey", None, {"s_nationkey": "nation"}),
+    "benchmark": TableKeys("item_id"),
+    "conversations": TableKeys(),
+    "documents": TableKeys("doc_id"),
+    "embeddings": TableKeys("vec_id"),
+    "events": TableKeys("event_id", "ts"),
+    "labels": TableKeys("doc_id", None, {"doc_id": "documents"}),
+    "pages": TableKeys("page_id"),
 }
 
 SPEND = Task(
@@ -123,6 +130,11 @@ def priority_samples(tables: dict[str, DataFrame], cutoffs=SPEND_TEST) -> DataFr
     return _samples(tables["customer"].select("c_custkey"), "c_custkey", PRIORITY, cutoffs)
 
 
+def named_samples(tables: dict[str, DataFrame], cutoffs=SPEND_TEST) -> DataFrame:
+    """Every fiftieth customer by name instead of by key."""
+    return _samples(tables["customer"].filter(F.col("c_custkey") % 50 == 0).select("c_name"), "c_name", PRIORITY, cutoffs)
+
+
 def _users(tables: dict[str, DataFrame]) -> DataFrame:
     return tables["events"].select("user_id").distinct()
 

@@ -49,10 +49,11 @@ def table_inventory(tables: dict[str, DataFrame]) -> DataFrame:
     return row_counts(tables).withColumn("column_count", widths[F.col("table_name")])
 
 
-def read_split(spark: SparkSession, path: str) -> DataFrame:
+def read_split(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Rows of a split file: .jsonl (one row per line), .json (one array) or .csv (header, all text).
 
-    A .json array is one document and therefore one task; large splits belong in .jsonl.
+    A .json array is one document and therefore one task; large splits belong in .jsonl. A .csv is split between tasks unless
+    ``multiline`` says that quoted values hold line ends.
     """
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if suffix == "jsonl":
@@ -60,7 +61,7 @@ def read_split(spark: SparkSession, path: str) -> DataFrame:
     if suffix == "json":
         return spark.read.option("multiLine", True).json(path)
     if suffix == "csv":
-        return spark.read.option("header", True).option("multiLine", True).csv(path)
+        return spark.read.option("header", True).option("multiLine", multiline).csv(path)
     raise ValueError(f"unsupported split format: {path}")
 
 
@@ -104,25 +105,21 @@ def table_metadata(tables: dict[str, DataFrame], keys: dict[str, TableKeys]) ->
     return declared.join(row_counts(tables), "table_name")
 
 
-def file_fingerprints(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """sha256 of name, size and modification time over the files of each table; contents are not read."""
+def file_listing(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """(table_name, path, file_id) of every file: sha256 of path, size and modification time; contents are not read."""
     per_table = []
     for table, path in paths.items():
         files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
         per_table.append(files.select(F.lit(table).alias("table_name"), "path", "length", "modificationTime"))
-    files = reduce(DataFrame.unionByName, per_table)
-    one = F.sha2(
-        F.concat_ws(
-            ":",
-            F.element_at(F.split("path", "/"), -1),
-            F.col("length").cast("string"),
-            F.unix_micros("modificationTime").cast("string"),
-        ),
-        256,
-    )
+    stamp = F.concat_ws(":", "path", F.col("length").cast("string"), F.unix_micros("modificationTime").cast("string"))
+    return reduce(DataFrame.unionByName, per_table).select("table_name", "path", F.sha2(stamp, 256).alias("file_id"))
+
+
+def file_fingerprints(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """One fingerprint per table over its files."""
     # The sum of 60-bit prefixes does not depend on file order and needs no list of files in one place.
-    part = F.conv(F.substring(one, 1, 15), 16, 10).cast("decimal(38,0)")
-    return files.groupBy("table_name").agg(
+    part = F.conv(F.substring("file_id", 1, 15), 16, 10).cast("decimal(38,0)")
+    return file_listing(spark, paths).groupBy("table_name").agg(
         F.sha2(F.concat_ws(":", F.count("*").cast("string"), F.sum(part).cast("string")), 256).alias("fingerprint")
     )
 

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from hindcast.operators import cutoffs, evidence
 
@@ -69,15 +70,16 @@ def found_rows(df):
 
 
 @pytest.mark.parametrize("cutoff_count,step", [(1, 3600), (2, 3600), (7, 20_000), (40, 60), (40, 5)])
-@pytest.mark.parametrize("plan", ["listed", "numbered", "shuffled"])
+@pytest.mark.parametrize("plan", ["compared", "swept", "shuffled"])
 def test_against_brute_force(spark, monkeypatch, cutoff_count, step, plan):
-    if plan != "listed":
-        monkeypatch.setattr(cutoffs, "LISTED_CUTOFFS", 0)
+    if plan != "compared":
+        monkeypatch.setattr(cutoffs, "COMPARED", 3)
     if plan == "shuffled":
         monkeypatch.setattr(cutoffs, "BROADCAST_ROWS", 0)
     events, samples, table, asked = tables(spark, cutoff_count * 7 + step, 1500, 6, cutoff_count, step)
     index = cutoffs.index_cutoffs(asked)
     assert index.small == (plan != "shuffled") and index.few_entities == (plan != "shuffled")
+    assert index.swept == (plan != "compared" and index.count > 3) and len(index.compared) <= max(3, cutoffs.COMPARED)
     numbers = sorted((r["cutoff"], r["idx"]) for r in index.cutoffs.collect())
     assert [i for _c, i in numbers] == list(range(1, index.count + 1))
     assert found_aggregate(evidence.aggregate_up_to_cutoff(asked, table, "ts", index)) == brute_aggregate(events, samples)
@@ -121,6 +123,21 @@ def test_limit_runs_before_the_shuffle(spark, tmp_path):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_columns_are_fetched_after_rows_are_chosen(spark):
+    """Choosing works on entity and number: an exchange that carries a note is the one that brings it to its sample."""
+    _events, _samples, table, asked = tables(spark, 7, 400, 4, 6, 600)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = evidence.entity_rows(asked, table, "user_id", "ts")
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and not any("note" in line for line in windows)
+    scans = [line for line in plan.splitlines() if "Relation" in line and "_place" in line]
+    assert len(scans) == 2
+
+
 @pytest.mark.parametrize("count", [1, 2, 3, 4, 5, 16, 37])
 def test_blocks_cover_every_prefix_once(spark, count):
     levels = max(1, count.bit_length())
@@ -128,3 +145,28 @@ def test_blocks_cover_every_prefix_once(spark, count):
     asked = spark.range(1, count + 1).selectExpr("id AS cut", f"inline({cutoffs.blocks_up_to('id', levels)})")
     pairs = sorted((r["cut"], r["id"]) for r in asked.join(holding, ["level", "block"]).collect())
     assert pairs == [(c, i) for c in range(1, count + 1) for i in range(1, c + 1)]
+
+
+def test_many_clustered_cutoffs_and_one_far_outlier(spark):
+    """20,000 cutoffs within seven hours and one a thousand years later: no bin, no task that sees all."""
+    rng = np.random.default_rng(8)
+    micros = np.unique(rng.integers(0, 25_000_000_000, 20_000))
+    far = 1000 * 365 * 86_400 * 1_000_000
+    marks = np.append(micros, far)
+    times = np.concatenate((rng.integers(-1_000_000, 25_000_100_000, 30_000), marks[::50], [far + 1], np.full(10_000, marks[77])))
+    asked = spark.createDataFrame(pd.DataFrame({"sample_id": marks.astype(str), "entity_id": "1", "us": marks}))
+    rows = spark.createDataFrame(pd.DataFrame({"us": times}))
+    base = "TIMESTAMP_NTZ'2024-01-01 00:00:00'"
+    at = F.expr(f"{base} + make_dt_interval(0, 0, 0, CAST(CAST(us AS DECIMAL(18,0)) / 1000000 AS DECIMAL(18,6)))")
+    asked, rows = asked.withColumn("cutoff", at), rows.withColumn("ts", at)
+    index = cutoffs.index_cutoffs(asked)
+    assert index.swept and index.count == len(marks)
+    placed = cutoffs.with_interval(rows, "ts", index)
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "NestedLoop" not in plan
+    found = sorted((r["us"], r["idx"]) for r in placed.collect())
+    seen = np.sort(times[times <= far])
+    assert found == list(zip(seen.tolist(), (np.searchsorted(marks, seen, "left") + 1).tolist()))
+    totals = found_aggregate(evidence.aggregate_up_to_cutoff(asked, rows, "ts", index))
+    upto = np.searchsorted(np.sort(times), marks, "right")
+    assert {k: v[0] for k, v in totals.items()} == dict(zip(marks.astype(str), upto.tolist()))

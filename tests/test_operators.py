@@ -2,6 +2,8 @@
 
 import json
 import random
+import re
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,6 +111,46 @@ def test_repeated_samples_meet_their_own_targets(spark):
     assert sorted(r["y"] for r in scored) == [2.0, 3.0]
 
 
+def test_repeat_numbers_tell_nothing_of_the_target(spark):
+    rows = [(str(i), "a", y) for i in range(40) for y in (3.0, 9.0)]
+    full = spark.createDataFrame(rows, "entity_id string, cutoff string, y double")
+    _masked, targets = evidence.masked_split(full, "y")
+    firsts = [r["y"] for r in targets.filter("repeat_no = 1").collect()]
+    assert len(firsts) == 40 and {3.0, 9.0} == set(firsts)
+    again = evidence.masked_split(full.repartition(7), "y")[1]
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, targets.collect()))
+
+
+def test_times_in_nested_columns(spark):
+    schema = "id int, s struct<at: timestamp_ntz, inner: struct<day: date, n: int>>, a array<struct<t: string>>, m map<string, array<date>>, e array<int>"
+    df = spark.createDataFrame(
+        [
+            (1, (datetime(2024, 5, 1), (date(2024, 6, 2), 1)), [("2024-07-03 x",), ("no time",)], {"2023-01-01": [date(2024, 8, 4)], "k": None}, [1]),
+            (2, None, None, None, None),
+        ],
+        schema,
+    )
+    found = {r["id"]: [tuple(x) for x in r["seen"]] for r in df.selectExpr("id", f"{evidence.seen_times_sql(df.schema)} AS seen").collect()}
+    assert found[2] == []
+    assert sorted(found[1]) == [
+        ("a[].t", "2024-07-03 x"), ("m.key", "2023-01-01"), ("m.value[]", "2024-08-04 00:00:00"),
+        ("s.at", "2024-05-01 00:00:00"), ("s.inner.day", "2024-06-02 00:00:00"),
+    ]
+
+
+def test_violations_name_their_query(spark):
+    rows = [("s", 0, "First", ["2024-01-01 00:00:00", "2024-03-01 00:00:00"]), ("s", 1, "Second", ["2024-04-01 00:00:00"]), ("t", 0, "First", None)]
+    facts = spark.createDataFrame(rows, "sample_id string, query_ordinal int, purpose string, times array<string>")
+    asked = spark.createDataFrame([("s", datetime(2024, 2, 1)), ("t", datetime(2024, 2, 1))], "sample_id string, cutoff timestamp_ntz")
+    found = {r["sample_id"]: r for r in predict.leakage_audit(facts, asked).collect()}
+    assert found["s"]["violation_texts"] == [
+        "First: saw value 2024-03-01 00:00:00 past cutoff 2024-02-01 00:00:00",
+        "Second: saw value 2024-04-01 00:00:00 past cutoff 2024-02-01 00:00:00",
+    ]
+    assert not found["s"]["passed"] and found["s"]["max_seen_time"] == "2024-04-01 00:00:00"
+    assert found["t"]["passed"] and found["t"]["violations"] == 0 and found["t"]["max_seen_time"] is None
+
+
 # --- critic --------------------------------------------------------------------------------------------------------
 
 
@@ -211,6 +253,21 @@ def test_preference_pairs(spark):
     assert found == expected
 
 
+def test_head_to_head(spark):
+    rows = [
+        # input, adapter, run, sufficient, score, rounds
+        (1, "a", 1, True, 1.0, 0), (1, "a", 2, False, 1.0, 0), (1, "b", 1, True, 0.0, 1), (1, "b", 1, True, 0.0, 2),
+        (2, "a", 1, True, 1.0, 1), (2, "a", 2, True, 1.0, 0), (2, "b", 7, True, 1.0, 0),
+        (3, "a", 1, True, 1.0, 0), (4, "b", 1, True, 1.0, 0),
+    ]
+    df = spark.createDataFrame(rows, "input int, adapter string, run int, prompt_sufficient boolean, score double, rounds int")
+    found = {(r["left_adapter"], r["right_adapter"]): r for r in training.head_to_head(df.repartition(3), ["input"]).collect()}
+    assert set(found) == {("a", "a"), ("a", "b")}
+    both, own = found["a", "b"], found["a", "a"]
+    assert (both["inputs"], both["left_wins"], both["right_wins"], both["draws"], both["regression_rate"]) == (2, 0, 1, 1, None)
+    assert (own["inputs"], own["left_wins"], own["right_wins"], own["sufficiency_lost"], own["regression_rate"]) == (2, 1, 1, 1, 0.5)
+
+
 # --- memory --------------------------------------------------------------------------------------------------------
 
 
@@ -224,12 +281,25 @@ def brute_search(entries, queries, results, summary_type):
     return sorted(out)
 
 
+def test_a_word_is_looked_up_by_its_rarest_piece(spark):
+    texts = ["payment made", "repayments", "pay now", "größe", "日本語", "xx"]
+    words = ["paym", "ments", "pay", "größe", "日本語", "nothing", "or"]
+    one = lambda values, name: spark.createDataFrame([(v,) for v in values], f"{name} string")
+    found = {r["word"]: r["gram"] for r in memory.rarest_pieces(one(words, "word"), one(texts, "haystack")).collect()}
+    held = lambda gram: sum(gram in t for t in texts)
+    assert set(found) == {w for w in words if len(w) > 2}
+    for word, gram in found.items():
+        pieces = {word[i : i + 3] for i in range(len(word) - 2)}
+        assert gram == min(pieces, key=lambda g: (held(g), g))
+
+
 @pytest.mark.parametrize("bound", [500_000, 0])
 @pytest.mark.parametrize("seed", range(3))
 def test_memory_search(spark, monkeypatch, seed, bound):
     monkeypatch.setattr(memory, "BROADCAST_WORDS", bound)
+    monkeypatch.setattr(memory, "LISTED_WORDS", min(bound, memory.LISTED_WORDS))
     rng = random.Random(seed)
-    vocabulary = ["pay", "payment", "Order", "risk", "É", "zz"]
+    vocabulary = ["pay", "payment", "Order", "risk", "É", "zz", "ymen", "or", "k"]
     kinds = ["database_summary", "note"]
     entries = [
         (i, f"s{rng.randrange(2)}", rng.choice(kinds), " ".join(rng.choices(vocabulary[:4], k=rng.randrange(3))))
@@ -269,6 +339,59 @@ def test_cascade_delete_keeps_null_references(spark):
     assert sorted(r["log"] for r in left["logs"].collect()) == [2, 3]
 
 
+def test_closure_follows_references(spark):
+    one = lambda rows, schema: spark.createDataFrame(rows, schema)
+    tables = {
+        "databases": one([(1,), (2,)], "id int"),
+        "runs": one([(10, 1, None), (11, 2, 10), (12, 2, 11), (13, 2, None), (14, 2, 15), (15, 2, 14)], "id int, db int, parent int"),
+        "logs": one([(100, 10, 2), (101, 13, 2), (102, None, 2), (103, 12, None), (104, 13, 1)], "id int, run int, db int"),
+        "notes": one([(100,), (101,), (None,)], "log int"),
+        "users": one([(1,)], "id int"),
+    }
+    references = [
+        memory.Reference(*r)
+        for r in [("runs", "db", "databases"), ("runs", "parent", "runs"), ("logs", "run", "runs"), ("logs", "db", "databases"), ("notes", "log", "logs")]
+    ]
+    keys = {"databases": "id", "runs": "id", "logs": "id"}
+    left = memory.delete_closure(tables, keys, references, {"databases": one([(1,), (None,)], "gone int")})
+    kept = {n: sorted((r[0] is None, r[0]) for r in df.collect()) for n, df in left.items()}
+    ids = {n: [i for _null, i in rows] for n, rows in kept.items()}
+    assert ids == {"databases": [2], "runs": [13, 14, 15], "logs": [101, 102], "notes": [101, None], "users": [1]}
+    # a cycle of rows goes as a whole, whichever of them is deleted
+    left = memory.delete_closure(tables, keys, references, {"runs": one([(14,)], "gone int")})
+    assert sorted(r["id"] for r in left["runs"].collect()) == [10, 11, 12, 13]
+    untouched = memory.delete_closure(tables, keys, references, {"users": one([], "gone int")})
+    assert {n: df.count() for n, df in untouched.items()} == {n: df.count() for n, df in tables.items()}
+
+
+def test_levels_follow_references_and_close_cycles():
+    chain = [memory.Reference("b", "x", "a"), memory.Reference("c", "x", "b"), memory.Reference("c", "y", "a")]
+    assert memory.reference_levels(["c", "b", "a", "d"], chain) == [["a"], ["d"], ["b"], ["c"]]
+    loop = [memory.Reference("b", "x", "c"), memory.Reference("c", "x", "b"), memory.Reference("b", "y", "a")]
+    assert memory.reference_levels(["c", "b", "a"], loop) == [["a"], ["b", "c"]]
+
+
+def test_stored_log_pages(spark, tmp_path):
+    rng = random.Random(2)
+    start = datetime(2024, 1, 1)
+    # many rows share a time, some have none
+    rows = [(i, None if rng.random() < 0.05 else start + timedelta(minutes=rng.randrange(40) if i % 3 else 7)) for i in range(700)]
+    log = spark.createDataFrame(rows, "id int, ts timestamp_ntz").repartition(4)
+    stored = memory.store_log(log, "ts", "id", str(tmp_path / "log"), range_rows=60)
+    assert len(stored.ranges) > 5 and sum(r[1] for r in stored.ranges) == 700
+    ordered = sorted(rows, key=lambda r: (r[1] is None, -(r[1] - start).total_seconds() if r[1] else 0, r[0]))
+    ids = lambda df: [r["id"] for r in df.collect()]
+    for offset in (0, 1, 59, 60, 233, 690, 699, 700, 5000):
+        page = stored.page(spark, 25, offset)
+        assert ids(page) == [r[0] for r in ordered[offset : offset + 25]]
+        if 0 < offset < 660 and ordered[offset - 1][1] is not None:
+            _last, at = ordered[offset - 1]
+            assert ids(stored.page_after(spark, at, ordered[offset - 1][0], 25)) == ids(page)
+    plan = stored.page(spark, 25, 233)._jdf.queryExecution().executedPlan().toString()
+    read = [int(n) for n in re.search(r"PartitionFilters: \[[^\]]*_range#\d+ (?:IN|INSET|=) ?\(?([^)\]]*)", plan).group(1).replace(",", " ").split()]
+    assert 1 <= len(read) <= 2
+
+
 # --- sources -------------------------------------------------------------------------------------------------------
 
 
@@ -278,7 +401,7 @@ def test_split_formats(spark, tmp_path):
     (tmp_path / "a.csv").write_text('id,t\n1,"x, and\nmore"\n2,y\n')
     for form in ("jsonl", "json"):
         assert sorted(map(tuple, sources.read_split(spark, str(tmp_path / f"a.{form}")).collect())) == [(1, "x"), (2, "y")]
-    rows = sources.read_split(spark, str(tmp_path / "a.csv")).collect()
+    rows = sources.read_split(spark, str(tmp_path / "a.csv"), multiline=True).collect()
     assert sorted(map(tuple, rows)) == [("1", "x, and\nmore"), ("2", "y")]
     with pytest.raises(ValueError):
         sources.read_split(spark, str(tmp_path / "a.parquet"))

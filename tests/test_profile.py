@@ -1,8 +1,9 @@
+from collections import Counter
 from datetime import date, datetime
 
 import pytest
 
-from hindcast.operators import profile
+from hindcast.operators import profile, profile_store
 from hindcast.sources import tables as sources
 from hindcast.tasks import STAR_RULE, IdRule, candidate_tables_of, expected_evidence_of
 
@@ -163,3 +164,53 @@ def test_task_rules(spark):
     keys = {"votes": {"owner": "users"}}
     assert candidate_tables_of("users", "user_id", schemas, keys) == ("users", "posts", "votes")
     assert IdRule().is_id("user_id") and not IdRule().is_id("userid") and STAR_RULE.is_id("o_custkey")
+
+
+def test_first_keys_are_those_of_the_profile(spark):
+    tables = {
+        "plain": spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.0), (2, "c", 3.0)], "x int, k string, y double"),
+        "none": spark.createDataFrame([(1, None), (1, 2)], "x int, y int"),
+        "empty": spark.createDataFrame([], "p string, q int"),
+        "zeros": spark.createDataFrame([(0.0, [1]), (-0.0, [2])], "z double, n array<int>"),
+    }
+    expected = {r["table_name"]: r["primary_key_guess"] for r in profile.primary_keys(profile.nulls_and_distinct(tables)).collect()}
+    assert {r["table_name"]: r["primary_key_guess"] for r in profile.first_keys(tables).collect()} == expected
+    assert expected == {"plain": "k", "none": None, "empty": "p", "zeros": None}
+
+
+def test_store_reads_only_changed_files(spark, tmp_path):
+    folder, schema = str(tmp_path / "t"), "id int, name string, at timestamp, n array<int>, x double"
+    row = lambda i, x: (i, f"n{i % 3}" if i % 4 else None, datetime(2024, 1, 1 + i % 20), [i], x)
+    write = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    write([row(i, float(i)) for i in range(10)])
+    write([row(i, None) for i in range(10, 15)])
+    table = lambda: {"t": spark.read.schema(schema).parquet(folder)}
+    store = profile_store.open_store(spark, str(tmp_path / "store"), {"t": ("id", "name")})
+    actions = lambda r: Counter(x["action"] for x in r.files.collect())
+    assert store.version() == 0 and actions(store.refresh(table(), {"t": folder})) == {"read": 2}
+
+    def check():
+        columns = {r["column_name"]: r for r in store.read("columns").collect()}
+        exact = {r["column_name"]: r for r in profile.column_profile(table()).collect()}
+        for name, e in exact.items():
+            c = columns[name]
+            assert (c["row_count"], round(c["null_rate"], 9)) == (e["row_count"], round(e["null_rate"], 9)), name
+            if c["distinct_is_exact"] or c["kind"] != "generic":
+                assert c["distinct_count"] == e["distinct_count"]  # a sketch of so few values is exact too
+            if c["kind"] == "numeric":
+                assert abs(c["avg_value"] - e["avg_value"]) < 1e-9 and abs(c["stddev_value"] - e["stddev_value"]) < 1e-9
+            if c["kind"] in ("numeric", "temporal"):
+                assert (c["min_value"], c["max_value"]) == (e["min_value"], e["max_value"])
+        assert store.read("tables").first()["primary_key_guess"] == "id"
+        assert f"{e['row_count']}" in store.read("summary").first()["summary"]
+
+    check()
+    write([row(i, 0.5) for i in range(20, 24)])
+    assert actions(store.refresh(table(), {"t": folder})) == {"read": 1, "kept": 2}
+    check()
+    oldest = min((p for p in (tmp_path / "t").glob("*.parquet")), key=lambda p: p.stat().st_mtime_ns)
+    oldest.unlink()
+    found = store.refresh(table(), {"t": folder})
+    assert actions(found) == {"kept": 2, "dropped": 1} and found.version == 3
+    check()
+    assert {r["file_id"] for r in store.files().collect()} == {r["file_id"] for r in found.files.filter("action = 'kept'").collect()}

@@ -175,3 +175,15 @@ def test_unknown_entity_finds_nothing(spark, shop):
 def test_index_of_one_cutoff(samples):
     index = index_cutoffs(samples.filter("entity_id = '1'"))
     assert (index.count, index.levels, index.small, index.few_entities) == (1, 1, True, True)
+
+
+def test_samples_that_repeat_or_share_an_entity_and_cutoff(shop, samples):
+    asked = samples.select("sample_id", "entity_id", "cutoff")
+    other = asked.withColumn("sample_id", F.concat(F.lit("other "), "sample_id"))
+    rows = lambda df: sorted(map(str, df.collect()))
+    once = evidence.facts(asked, TASK, shop)
+    assert rows(evidence.facts(asked.union(asked), TASK, shop)) == rows(once)
+    both = evidence.facts(asked.union(other), TASK, shop)
+    assert rows(both.filter("NOT startswith(sample_id, 'other ')")) == rows(once)
+    renamed = both.filter("startswith(sample_id, 'other ')").withColumn("sample_id", F.substring("sample_id", 7, 100))
+    assert rows(renamed.select(*once.columns)) == rows(once)
