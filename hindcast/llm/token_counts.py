@@ -128,9 +128,10 @@ def frequent_pieces(docs: DataFrame, path: str, text: str = "text", keep: int =
     # The sketches of tasks are merged in groups before they meet.
     group = F.pmod(F.spark_partition_id(), F.lit(GROUPS)).alias("group")
     partly = short.groupBy(group).agg(F.expr(f"approx_top_k_accumulate(piece, {TRACKED})").alias("sketch"))
-    whole = partly.agg(F.expr(f"approx_top_k_combine(sketch, {TRACKED})").alias("sketch"))
-    found = whole.select(F.expr(f"approx_top_k_estimate(sketch, {keep})").alias("top")).first()["top"]
-    names = sorted(r["item"] for r in found or [])
+    # One group, which is not there if no text has a piece.
+    whole = partly.groupBy(F.lit("all").alias("all")).agg(F.expr(f"approx_top_k_combine(sketch, {TRACKED})").alias("sketch"))
+    found = whole.select(F.expr(f"approx_top_k_estimate(sketch, {keep})").alias("top")).collect()
+    names = sorted(r["item"] for row in found for r in row["top"] or [])
     counter = Counter(path, {})
     return {name: counter.count(name) for name in names}
 
