@@ -169,6 +169,18 @@ def test_sql_words(spark):
     assert tuple(words("DROP table x; call y()")) == (["DROP", "CALL"], ["DROP", "CALL"])
 
 
+def test_sql_words_of_odd_statements_fold_each_text_once(spark):
+    texts = [None, "", "drop; Create x drop", "pragma_x insert", "copy,load\ncall", "created drop_ é drop"]
+    df = spark.createDataFrame([(t,) for t in texts], "sql string")
+    df = df.select(*[c.alias(n) for n, c in memory.forbidden_words(F.col("sql")).items()])
+    assert [tuple(r) for r in df.collect()] == [
+        ([], []), ([], []), (["DROP", "CREATE"], ["DROP", "CREATE"]), (["INSERT", "PRAGMA"], ["INSERT"]),
+        (["COPY", "LOAD", "CALL"], ["COPY", "LOAD", "CALL"]), (["DROP", "CREATE"], ["DROP"]),
+    ]
+    # A function with a lambda folds and splits the text anew for each word.
+    assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 # --- training ------------------------------------------------------------------------------------------------------
 
 
