@@ -214,3 +214,19 @@ def test_store_reads_only_changed_files(spark, tmp_path):
     assert actions(found) == {"kept": 2, "dropped": 1} and found.version == 3
     check()
     assert {r["file_id"] for r in store.files().collect()} == {r["file_id"] for r in found.files.filter("action = 'kept'").collect()}
+
+
+def test_store_counts_keys_in_parts_of_bounded_size(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(profile_store, "TASK_KEYS", 100)
+    path = str(tmp_path / "a+b c" / "t")
+    rows = spark.range(1000, numPartitions=3).selectExpr("id AS k", "id % 7 AS few", "IF(id % 2 = 0, 'x', CAST(NULL AS STRING)) AS s")
+    rows.write.parquet(path)
+    tables = {"t": spark.read.schema(rows.schema).parquet(path)}
+    store = profile_store.open_store(spark, str(tmp_path / "store"), {"t": ("k", "few", "s")})
+    store.refresh(tables, {"t": path})
+    rows.limit(300).selectExpr("k + 5000 AS k", "few", "s").coalesce(1).write.mode("append").parquet(path)
+    store.refresh(tables, {"t": path})
+    found = {r["column_name"]: (r["row_count"], r["distinct_count"], r["distinct_is_exact"]) for r in store.read("columns").collect()}
+    assert found == {"k": (1300, 1300, True), "few": (1300, 7, True), "s": (1300, 1, True)}
+    keys = spark.createDataFrame([("t", "k", str(i)) for i in range(1000)], "table_name string, column_name string, value_key string")
+    assert profile_store.distinct_keys(keys, 1000).rdd.getNumPartitions() == 10
