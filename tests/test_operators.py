@@ -450,3 +450,24 @@ def test_views(spark):
 
 def test_expected_evidence_of_the_tasks():
     assert NEXT_EVENT.expected_evidence == ("next", "event", "events", "user_id")
+
+
+def test_rows_that_lie_in_one_of_many_parts_are_spread(spark):
+    # As a file of one row group: cut into many parts, of which one is given all rows.
+    rows = spark.range(0, 3200, 1, 32).filter("id < 100")
+    parts = memory.spread(rows).groupBy(F.spark_partition_id().alias("part")).count().collect()
+    assert sum(p["count"] for p in parts) == 100 and max(p["count"] for p in parts) < 50
+    even = spark.range(0, 3200, 1, 32)
+    assert memory.spread(even) is even
+    assert memory.spread(spark.range(0)).count() == 0
+
+
+@pytest.mark.parametrize("listed", [0, 2, 2_000])
+def test_memory_search_finds_the_same_with_and_without_a_list_of_pieces(spark, monkeypatch, listed):
+    monkeypatch.setattr(memory, "LISTED_GRAMS", listed)
+    entries = [(1, "a", "note", "payment risk"), (2, "a", "note", "no risk"), (3, "b", "note", "order paid"), (4, "b", "note", None)]
+    queries = [(1, "a", "payment risk orders late"), (2, "b", "paid"), (3, "c", "paid")]
+    e = spark.createDataFrame(entries, "entry_id int, scope string, memory_type string, content string")
+    q = spark.createDataFrame(queries, "query_id int, scope string, query string")
+    found = sorted((r["query_id"], r["entry_id"], r["score"]) for r in memory.search_memory(e, q, results=5).collect())
+    assert found == [(1, 1, 2), (1, 2, 1), (2, 3, 1)]
