@@ -8,6 +8,10 @@ the prefix is extended until the tokens of all cells beyond the first k - 1 numb
 tokens whichever ``d`` are lacking. The cells of a document follow its size, and it is indexed for the cells of every
 size a partner may have.
 
+Near copies share most of their entries, so the entries that begin with the same node, and of those the ones that end with the
+same, are made one wherever all pairs of the nodes together are fewer than those of the entries one by one. A group of near
+copies is then compared about once and not once for each entry; every pair of an entry is still a pair of what it went into.
+
 Work on an index entry with several documents is done in blocks of bounded size. A parity sketch bounds the symmetric
 difference of two sets from below, so most pairs are ruled out without their sets. Of the pairs left an entry passes on
 only a spanning forest; those are held against wider sketches, with a bit for each token, as a narrow one is full for
@@ -49,6 +53,8 @@ CLASSES = ((16, 2), (1024, 3))
 MAX_FREQUENT = 1 << 20
 # Documents of an index entry that are compared in one go.
 BLOCK = 256
+# Blocks that are one where sketches alone are compared: rows are copied once for each block of their entry.
+SKETCHED = 4
 # Tokens of a block of a component, whose sets one task holds.
 BLOCK_TOKENS = 1 << 20
 SKETCH_BYTES = 64
@@ -284,22 +290,27 @@ def indexed(docs: DataFrame, key: str, text: str, similarity: Similarity, names:
 
 # --- pairs within an index entry -----------------------------------------------------------------------------------
 
-_FAR = 1 << 20
+# more than the bits of a sketch; distances are 16 bits, as a task holds those of all pairs of two blocks
+_FAR = 1 << 14
 
 
 def _possible(part: dict, similarity: Similarity, crossing: bool) -> np.ndarray:
     """Distances of sketches where the sizes and the sketches allow a link, else ``_FAR``."""
     sketch, n, block = part["sketch"], part["n"], part["block"]
     times, over = similarity.times, similarity.over
-    out = np.full((len(n), len(n)), _FAR, np.int32)
-    for i in range(len(n)):
-        distance = np.bitwise_count(sketch[i] ^ sketch).sum(axis=1).astype(np.int64)
-        allowed = (over + times) * distance <= (over - times) * (n + n[i])
-        allowed &= over * np.minimum(n, n[i]) >= times * np.maximum(n, n[i])
-        if crossing:  # two different blocks: pairs within one belong to another part of the entry
-            allowed &= block != block[i]
-        allowed[i] = False
-        out[i, allowed] = distance[allowed]
+    out = np.full((len(n), len(n)), _FAR, np.int16)
+    # of two different blocks: pairs within one belong to another part of the entry
+    across = np.flatnonzero(block != block[0])
+    sketches, sizes = (sketch[across], n[across]) if crossing else (sketch, n)
+    for i in np.flatnonzero(block == block[0]) if crossing else range(len(n) - 1):
+        after = 0 if crossing else i + 1
+        m = sizes[after:]
+        distance = np.bitwise_count(sketch[i] ^ sketches[after:]).sum(axis=1, dtype=np.int64)
+        allowed = (over + times) * distance <= (over - times) * (m + n[i])
+        allowed &= over * np.minimum(m, n[i]) >= times * np.maximum(m, n[i])
+        found = np.flatnonzero(allowed)
+        others = across[found] if crossing else found + after
+        out[i, others] = out[others, i] = distance[found]
     return out
 
 
@@ -326,7 +337,7 @@ def _forest(distance: np.ndarray, nodes: np.ndarray) -> list[tuple[int, int]]:
 
 
 _FOREST = "a long, b long, entry long"
-_CROSSING = "entry long, block_a int, block_b int, block int, node long"
+_CROSSING = "entry long, block_a int, block_b int, node long"
 
 
 def _hopeless(rows, similarity: Similarity) -> bool:
@@ -421,7 +432,7 @@ def _crossing(similarity: Similarity):
                 if not (marked[i] and marked[j]) and wanted(i, j):
                     marked[i] = marked[j] = True
         for i in np.flatnonzero(marked):
-            yield (*where, rows[i][3], rows[i][0])
+            yield (*where, rows[i][0])
 
     return _block_reader(similarity, found, _CROSSING, "root", "firsts", "wide")
 
@@ -503,9 +514,26 @@ def _counts_of(similarity: Similarity):
     return lambda batches: _set_reader(batches, ("copies",), count)
 
 
-def _blocked(members: DataFrame, sizes: DataFrame) -> DataFrame:
+def _merged(members: DataFrame) -> DataFrame:
+    """``members`` (entry, node) with entries of the same first node, then of the same last node, made one where that is fewer pairs."""
+    for name, end in (("first", F.min), ("last", F.max)):
+        ends = members.groupBy("entry").agg(end("node").alias("hub"), F.count(F.lit(1)).cast("double").alias("members"))
+        ends = written(ends, "ends")
+        several = ends.groupBy("hub").agg(F.count(F.lit(1)).alias("entries"), F.sum(F.col("members") * F.col("members")).alias("apart"))
+        several = written(several.where("entries > 1").drop("entries"), "hubs")
+        shared = ends.join(_few(several.select("hub")), "hub", "left_semi").select("entry", "hub")
+        together = written(members.join(shared, "entry").select("hub", "node").distinct(), "together")
+        united = together.groupBy("hub").agg(F.count(F.lit(1)).cast("double").alias("members")).join(several, "hub")
+        united = _few(written(united.where("members * members <= apart").select("hub"), "united"))
+        one = together.join(united, "hub", "left_semi").select(F.xxhash64(F.lit(name), "hub").alias("entry"), "node")
+        left = members.join(ends.join(united, "hub", "left_anti").select("entry"), "entry", "left_semi")
+        members = written(left.select("entry", "node").unionByName(one), "merged")
+    return members
+
+
+def _blocked(members: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
     """Rows (entry, node, ...) copied to each pair of blocks of their entry that they take part in."""
-    blocks = F.ceil(F.col("members") / BLOCK)
+    blocks = F.ceil(F.col("members") / block)
     if "tokens" in sizes.columns:
         blocks = F.greatest(blocks, F.ceil(F.col("tokens") / BLOCK_TOKENS))
     rows = members.join(sizes.select("entry", blocks.cast("int").alias("blocks")), "entry")
@@ -602,7 +630,7 @@ def _linked(roots: DataFrame, keyed: DataFrame, sets: DataFrame, similarity: Sim
     two = placed.join(sizes.where("members = 2"), "entry").select("node", (F.col("documents") - F.col("copies")).alias("linked"))
     larger = sizes.where("members > 2")
     rows = placed.join(larger.select("entry"), "entry", "left_semi").select("entry", "node", "copies").join(sets, "node")
-    dealt = _blocked(rows, larger).repartition("entry", "block_a", "block_b").sortWithinPartitions("entry", "block_a", "block_b")
+    dealt = _blocked(rows, larger, BLOCK).repartition("entry", "block_a", "block_b").sortWithinPartitions("entry", "block_a", "block_b")
     counted = dealt.mapInArrow(_counts_of(similarity), "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked"))
     return written(two.unionByName(counted), "degrees")
 
@@ -638,7 +666,7 @@ def _joined(docs: DataFrame, key: str, text: str, similarity: Similarity, counts
     met = entries.groupBy("entry").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("rows"))
     met = written(met.where("a <> b"), "entries")
     large = written(met.where("rows > 2").select("entry"), "large")
-    members = written(entries.join(_few(large), "entry", "left_semi").distinct(), "members")
+    members = _merged(written(entries.join(_few(large), "entry", "left_semi").distinct(), "members"))
     sizes = written(members.groupBy("entry").agg(F.count(F.lit(1)).alias("members")), "sizes")
     twos = met.where("rows = 2").select("a", "b").distinct()
 
@@ -647,7 +675,7 @@ def _joined(docs: DataFrame, key: str, text: str, similarity: Similarity, counts
     shapes = written(shapes, "sketches")
 
     narrow = shapes.drop("wide")
-    forest = _dealt(_blocked(members, sizes).join(narrow, "node")).mapInArrow(_forests(similarity), _FOREST)
+    forest = _dealt(_blocked(members.join(narrow, "node"), sizes, SKETCHED * BLOCK)).mapInArrow(_forests(similarity), _FOREST)
     forest = written(forest, "forest")
     # a pair of a forest counts as failed if it is not near: its entry may hold another that links; a pair by itself does not
     pairs = forest.select("a", "b", F.lit(True).alias("forest")).union(twos.withColumn("forest", F.lit(False)))
@@ -668,13 +696,16 @@ def _joined(docs: DataFrame, key: str, text: str, similarity: Similarity, counts
         firsts = listed.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("entry")), 1, _FIRST_SIGNATURES).alias("firsts"))
         known = shapes.join(firsts, "node").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
         known = written(known, "known")
-        blocked = _blocked(listed.join(failed, "entry", "left_semi"), sizes).join(known, "node")
+        blocked = _blocked(listed.join(failed, "entry", "left_semi").join(known, "node"), sizes, SKETCHED * BLOCK)
         crossing = written(_dealt(blocked).mapInArrow(_crossing(similarity), _CROSSING), "crossing")
         if not crossing.isEmpty():
             unread = crossing.select("node").distinct().join(sets.select("node"), "node", "left_anti")
             sets = sets.unionByName(_sets_for(unread, docs, keyed, key, text, similarity))
-            parts = crossing.join(known.select("node", "root"), "node").join(sets, "node")
-            dealt = parts.repartition("entry", "block_a", "block_b").sortWithinPartitions("entry", "block_a", "block_b")
+            # a part of an entry is cut again, so that the sets of a task stay few
+            parts = crossing.select(F.xxhash64("entry", "block_a", "block_b").alias("entry"), "node").distinct()
+            parts = written(parts.join(known.select("node", "n", "root"), "node"), "parts")
+            held = parts.groupBy("entry").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens"))
+            dealt = _blocked(parts.drop("n").join(sets, "node"), held, BLOCK).repartition("entry", "block_a", "block_b").sortWithinPartitions("entry", "block_a", "block_b")
             links = written(links.union(dealt.mapInArrow(_links_of(similarity), "a long, b long")).distinct(), "links")
     roots = components(links)
     found = _named(rows, keyed, roots)

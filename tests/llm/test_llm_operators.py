@@ -332,6 +332,61 @@ def test_jaccard_join_against_brute_force(spark, monkeypatch, words, times):
     assert rows_of(found) == brute_components(rows, sim)
 
 
+def test_a_group_of_near_copies_is_compared_about_once(spark, monkeypatch):
+    rng = random.Random(12)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for i in range(80):  # some link to most others, some to none
+        copy = list(base)
+        for at in rng.sample(range(120), rng.randrange(6)):
+            copy[at] = f"other{i}"
+        rows.append((i, " ".join([*copy, f"end{i}"])))
+    tables, write = {}, jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "written", lambda df, name: tables.update({name: write(df, name)}) or tables[name])
+    monkeypatch.setattr(jaccard_join, "CLASSES", ((3, 2), (6, 3)))
+    sim = jaccard_join.Similarity(5, 80, 100)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = rows_of(jaccard_join.joined(df, similarity=sim, links=False).select("key", "n_shingles", "component_id"))
+    assert found == brute_components(rows, sim) and 2 <= len({c for _, _, c in found}) <= 60
+    assert tables["large"].count() > 200  # that share these entries
+    assert tables["forest"].count() <= 4 * len(rows)
+
+
+def test_merged_entries_keep_every_pair(spark):
+    rng = random.Random(3)
+    sets = [rng.sample(range(k, k + 12), rng.randrange(3, 12)) for k in (0, 5, 40) for _ in range(25)]
+    sets += [[200, *range(300 + 10 * i, 310 + 10 * i)] for i in range(5)]  # one node in common: not worth a merge
+    members = spark.createDataFrame([(e, n) for e, nodes in enumerate(sets) for n in nodes], "entry long, node long")
+    groups = defaultdict(set)
+    rows = jaccard_join._merged(members).collect()
+    for r in rows:
+        groups[r["entry"]].add(r["node"])
+    pairs = lambda parts: {p for nodes in parts for p in itertools.combinations(sorted(nodes), 2)}
+    assert sum(map(len, groups.values())) == len(rows)
+    assert pairs(sets) <= pairs(groups.values())
+    assert sum(len(g) ** 2 for g in groups.values()) < sum(len(g) ** 2 for g in sets) / 2
+    assert all(set(s) in groups.values() for s in sets[-5:])
+    assert jaccard_join._merged(members.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("words, times", [(3, 90), (5, 80)])
+def test_jaccard_join_in_blocks_of_six(spark, monkeypatch, words, times):
+    monkeypatch.setattr(jaccard_join, "CLASSES", ((3, 2), (6, 3)))
+    monkeypatch.setattr(jaccard_join, "BLOCK", 6)
+    monkeypatch.setattr(jaccard_join, "SKETCHED", 1)
+    rows = near_copies()
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(400)}" for _ in range(900)]
+    for i in range(30):  # about as many words differ as may
+        copy = list(base)
+        for at in rng.sample(range(900), 2 * i):
+            copy[at] = f"other{i}"
+        rows.append((1000 + i, " ".join(copy)))
+    sim = jaccard_join.Similarity(words, times, 100)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = jaccard_join.joined(df, similarity=sim, links=False).select("key", "n_shingles", "component_id")
+    assert rows_of(found) == brute_components(rows, sim)
+
+
 def brute_links(rows, sim):
     def shingles(text):
         w = SPACED.findall(lower(text))
