@@ -5,8 +5,11 @@ document are put in one global order: rare classes first, by a hash within a cla
 ``d`` of a document's n tokens, so some ``d + 1`` of its first tokens must be shared. Rare tokens are indexed one by one. In a
 frequent class one token says little, so k-token combinations are indexed instead, within cells of the hash range, and
 the prefix is extended until the tokens of all cells beyond the first k - 1 number ``d + 1``: then one cell keeps k shared
-tokens whichever ``d`` are lacking. The cells of a document follow its size, and it is indexed for the cells of every
-size a partner may have.
+tokens whichever ``d`` are lacking. The cells follow the size of the larger of two documents, so a document is indexed for the
+cells of its own size and of every larger one a partner may have. Small cells give few combinations, but each loses k - 1
+tokens: a document that does not reach ``d + 1`` is indexed for cells twice the size as well. Of two that link, one that
+reaches it finds the other, and two that do not meet there, where every document reaches it. Documents with equal sets are
+indexed once.
 
 Near copies share most of their entries, so the entries that begin with the same node, and of those the ones that end with the
 same, are made one wherever all pairs of the nodes together are fewer than those of the entries one by one. A group of near
@@ -50,6 +53,8 @@ from hindcast.llm.components import components
 
 # Tokens in fewer documents than the first bound are indexed one by one; from a bound on, by combinations of k.
 CLASSES = ((16, 2), (1024, 3))
+# Least tokens of a cell on average, before classes; the combinations of a cell grow with the power k of it.
+CELL = 4
 MAX_FREQUENT = 1 << 20
 # Documents of an index entry that are compared in one go.
 BLOCK = 256
@@ -186,10 +191,27 @@ def frequent_tokens(docs: DataFrame, text: str, size: int, bounds: tuple[int, ..
 
 
 def _cell_levels(n: int, similarity: Similarity) -> range:
-    """Levels (powers of two) of cells for every size a partner of a set of ``n`` may have."""
-    low, high = similarity.sizes(n)
-    level = lambda s: max(0, (s // 8).bit_length() - 1)
-    return range(level(low), level(high) + 1)
+    """Levels (powers of two) of cells for the size of a set of ``n`` and every larger size a partner may have."""
+    level = lambda s: max(0, (s // CELL).bit_length() - 1)
+    return range(level(n), level(similarity.sizes(n)[1]) + 1)
+
+
+def _combined(tokens: np.ndarray, classes: np.ndarray, ks: tuple[int, ...], level: int, cut: int, credit: int) -> tuple[list[int], int]:
+    """Entries of the frequent tokens in the ``2 ** cut`` cells used at a level, and what they lack of ``credit``."""
+    entries: list[int] = []
+    for c, k in enumerate(ks, start=1):
+        members = tokens[classes == c]
+        # cells are ranges of the hash, so cell by cell is the order of the hash
+        cells = members >> np.uint64(64 - cut) if cut else np.zeros(len(members), np.uint64)
+        edges = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1], [True]))) if len(members) else []
+        for a, b in zip(edges[:-1], edges[1:]):
+            taken = members[a : min(b, a + credit + k - 1)].tolist()
+            credit -= max(0, len(taken) - k + 1)
+            for combination in combinations(taken, k):
+                entries.append(hash((level, cut, c, *combination)))
+            if credit <= 0:
+                return entries, 0
+    return entries, credit
 
 
 def signatures(tokens: np.ndarray, classes: np.ndarray, similarity: Similarity, ks: tuple[int, ...]) -> np.ndarray:
@@ -201,21 +223,10 @@ def signatures(tokens: np.ndarray, classes: np.ndarray, similarity: Similarity,
     if len(rare) < needed:
         entries: list[int] = []
         for level in _cell_levels(n, similarity):
-            credit = needed - len(rare)
-            for c, k in enumerate(ks, start=1):
-                members = tokens[classes == c]
-                # cells are ranges of the hash, so cell by cell is the order of the hash
-                cells = members >> np.uint64(64 - level) if level else np.zeros(len(members), np.uint64)
-                edges = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1], [True]))) if len(members) else []
-                for a, b in zip(edges[:-1], edges[1:]):
-                    taken = members[a : min(b, a + credit + k - 1)].tolist()
-                    credit -= max(0, len(taken) - k + 1)
-                    for combination in combinations(taken, k):
-                        entries.append(hash((level, c, *combination)))
-                    if credit <= 0:
-                        break
-                if credit <= 0:
-                    break
+            fine, short = _combined(tokens, classes, ks, level, level, needed - len(rare))
+            entries += fine
+            if short and level:
+                entries += _combined(tokens, classes, ks, level, level - 1, needed - len(rare))[0]
         found.append(tx.mix(np.array(entries, np.int64).view(np.uint64)))
     return np.unique(np.concatenate(found)).view(np.int64)
 
@@ -514,6 +525,14 @@ def _counts_of(similarity: Similarity):
     return lambda batches: _set_reader(batches, ("copies",), count)
 
 
+def _once(filled: DataFrame, keyed: DataFrame) -> DataFrame:
+    """One row for each node of ``filled`` (node, n, sketch, wide, entries); only the rows of copies are brought together."""
+    columns = ("n", "sketch", "wide", "entries")
+    copied = _few(written(keyed.where("copies > 1").select("node"), "copied"))
+    one = filled.join(copied, "node", "left_semi").groupBy("node").agg(*[F.min(c).alias(c) for c in columns])
+    return filled.join(copied, "node", "left_anti").select("node", *columns).unionByName(written(one, "once"))
+
+
 def _merged(members: DataFrame) -> DataFrame:
     """``members`` (entry, node) with entries of the same first node, then of the same last node, made one where that is fewer pairs."""
     for name, end in (("first", F.min), ("last", F.max)):
@@ -661,18 +680,20 @@ def _joined(docs: DataFrame, key: str, text: str, similarity: Similarity, counts
     keyed = filled.groupBy("node").agg(F.min("key").alias("key"), F.min("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     keyed = written(keyed, "nodes")
 
-    # An entry of two documents is a pair by itself; only entries of more are gathered.
+    # Copies have the same entries and sketches, which are taken from one of them.
+    filled = _once(filled, keyed)
+
+    # An entry of two nodes is a pair by itself; only entries of more are gathered.
     entries = filled.select("node", F.explode("entries").alias("entry"))
     met = entries.groupBy("entry").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("rows"))
     met = written(met.where("a <> b"), "entries")
     large = written(met.where("rows > 2").select("entry"), "large")
-    members = _merged(written(entries.join(_few(large), "entry", "left_semi").distinct(), "members"))
+    members = _merged(written(entries.join(_few(large), "entry", "left_semi"), "members"))
     sizes = written(members.groupBy("entry").agg(F.count(F.lit(1)).alias("members")), "sizes")
     twos = met.where("rows = 2").select("a", "b").distinct()
 
     taking_part = members.select("node").union(twos.select("a")).union(twos.select("b")).distinct()
-    shapes = filled.join(taking_part, "node", "left_semi").groupBy("node").agg(*[F.min(c).alias(c) for c in ("n", "sketch", "wide")])
-    shapes = written(shapes, "sketches")
+    shapes = written(filled.join(taking_part, "node", "left_semi").select("node", "n", "sketch", "wide"), "sketches")
 
     narrow = shapes.drop("wide")
     forest = _dealt(_blocked(members.join(narrow, "node"), sizes, SKETCHED * BLOCK)).mapInArrow(_forests(similarity), _FOREST)

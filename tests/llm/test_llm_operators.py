@@ -445,6 +445,58 @@ def test_prefixes_always_earn_enough():
                 assert np.intersect1d(a, b).size, (times, n)
 
 
+def test_frequent_tokens_add_few_entries():
+    """A set whose tokens have all become frequent, as in a group that grows, has a bounded multiple of the entries."""
+    rng = np.random.default_rng(4)
+    for times in (80, 90):
+        sim, rare, often = jaccard_join.Similarity(5, times, 100), 0, 0
+        for n in range(40, 640, 20):
+            x = np.sort(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+            rare += jaccard_join.signatures(x, np.zeros(n, np.int8), sim, (2, 3)).size
+            often += jaccard_join.signatures(x, np.full(n, 2, np.int8), sim, (2, 3)).size
+        assert often <= 20 * rare, (times, often / rare)
+
+
+def test_cells_twice_the_size_always_earn_enough():
+    """Where cells lose the most tokens (two classes lose 1 and 2 in each), a set still reaches what a linked one shares."""
+    for times in (80, 85, 90, 99):
+        sim = jaccard_join.Similarity(3, times, 100)
+        for n in range(1, 2000):
+            if sim.sizes(n) != (n, n):  # else only equal sets link, which are one node
+                level = jaccard_join._cell_levels(n, sim)[-1]
+                assert n - 3 * 2 ** max(0, level - 1) > sim.lacking(n), (times, n)
+
+
+def test_sets_short_of_tokens_meet_in_larger_cells():
+    """Both classes in every cell, one and two tokens of each: the cells of their size give nothing."""
+    sim = jaccard_join.Similarity(3, 80, 100)
+    for n in (32, 64, 128, 256, 500):
+        level = jaccard_join._cell_levels(n, sim)[-1]
+        width = 2 ** (64 - level)
+        places = [(i * width + j, c) for i in range(2**level) for j, c in ((1, 1), (2, 2), (3, 2))][:n]
+        x, cx = np.array([t for t, _ in places], np.uint64), np.array([c for _, c in places], np.int8)
+        assert jaccard_join._combined(x, cx, (2, 3), level, level, 1) == ([], 1)
+        n = len(x)
+        rng = np.random.default_rng(n)
+        for _ in range(20):
+            keep = np.sort(rng.permutation(n)[sim.lacking(n) :])
+            a, b = (jaccard_join.signatures(x[i], cx[i], sim, (2, 3)) for i in (np.arange(n), keep))
+            assert np.intersect1d(a, b).size, n
+
+
+def test_copies_are_indexed_once(spark, monkeypatch):
+    near = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, (near, near + " end")[i % 2]) for i in range(30)] + [(100 + i, f"other {i} text of its own") for i in range(5)]
+    tables, write = {}, jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "written", lambda df, name: tables.update({name: write(df, name)}) or tables[name])
+    sim = jaccard_join.Similarity(5, 80, 100)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = rows_of(jaccard_join.joined(df, similarity=sim, links=False).select("key", "n_shingles", "component_id"))
+    assert found == brute_components(rows, sim) and {c for _, _, c in found} == {0, *range(100, 105)}
+    assert {r["rows"] for r in tables["entries"].collect()} == {2}  # two texts, not thirty documents
+    assert tables["large"].count() == tables["members"].count() == 0
+
+
 def test_wide_sketches_bound_the_difference():
     """Sketches of any two widths differ in no more bits than the sets in tokens, and fold to the narrow one."""
     rng = np.random.default_rng(2)
